@@ -26,7 +26,7 @@ from tablelens.shared import materialize, ship
 
 CHUNK = 8
 _KEYS = ("snapshot-diff-01", "snapshot-diff-02", "snapshot-diff-03")  # of the hashes, 16 bytes each
-_CHUNKS = "table_uuid string, file string, kind string, chunk string, n bigint, d1 bigint, d2 bigint, keys array<string>, vals array<string>"
+_CHUNKS = "fid bigint, kind string, chunk string, n bigint, d1 bigint, d2 bigint, keys array<string>, vals array<string>"
 _DAY_MS = 86_400_000
 
 
@@ -103,66 +103,69 @@ def _chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             c = cut(owner, pc.cast(keys, pa.string()), pc.cast(vals, pa.string()))
             take = pa.array(c["owner"])
             yield pa.RecordBatch.from_arrays(
-                [batch["table_uuid"].take(take), batch["file"].take(take), pa.array([kind] * len(take), pa.string()), c["chunk"], c["n"], c["d1"], c["d2"], c["keys"], c["vals"]],
-                ["table_uuid", "file", "kind", "chunk", "n", "d1", "d2", "keys", "vals"],
+                [batch["fid"].take(take), pa.array([kind] * len(take), pa.string()), c["chunk"], c["n"], c["d1"], c["d2"], c["keys"], c["vals"]],
+                ["fid", "kind", "chunk", "n", "d1", "d2", "keys", "vals"],
             )
 
 
 def chunk_files(files: DataFrame) -> DataFrame:
-    """The chunks of each file's property map and metadata log. A null map or log
-    is an empty one; a log entry without metadata_file names no record."""
+    """The chunks of the property map and metadata log of each file, which fid
+    names. A null map or log is an empty one; a log entry without metadata_file names no record."""
     ship(files.sparkSession)
     log = F.transform("metadata_log", lambda e: F.struct(e["metadata_file"].alias("metadata_file"), e["timestamp_ms"].alias("timestamp_ms")))
-    return files.select("table_uuid", "file", "properties", log.alias("metadata_log")).mapInArrow(_chunks, _CHUNKS)
+    return files.select("fid", "properties", log.alias("metadata_log")).mapInArrow(_chunks, _CHUNKS)
 
 
 # ---------------------------------------------------------------- comparison
 
 
 def neighbours(files: DataFrame) -> DataFrame:
-    """(table_uuid, file, prev, next) by (ms, file). Ordered within days first,
-    then the days, so that a table with a large part of all files is not sorted
-    by one task."""
-    heads = files.select("table_uuid", "file", "ms", F.floor(F.col("ms") / _DAY_MS).alias("day"))
+    """(fid, prev, next) by (ms, file) within each table. Ordered within days
+    first, then the days, so that a table with a large part of all files is not
+    sorted by one task."""
+    heads = files.select("table_uuid", "file", "fid", "ms", F.floor(F.col("ms") / _DAY_MS).alias("day"))
     within = Window.partitionBy("table_uuid", "day").orderBy("ms", "file")
-    local = heads.select("table_uuid", "file", "day", F.lag("file").over(within).alias("lag"), F.lead("file").over(within).alias("lead"))
-    days = heads.groupBy(F.col("table_uuid").alias("dt"), F.col("day").alias("dd")).agg(F.min_by("file", F.struct("ms", "file")).alias("first"), F.max_by("file", F.struct("ms", "file")).alias("last"))
+    local = heads.select("table_uuid", "fid", "day", F.lag("fid").over(within).alias("lag"), F.lead("fid").over(within).alias("lead"))
+    ends = (local.filter(F.col("lag").isNull()).select("table_uuid", "day", F.col("fid").alias("first"), F.lit(None).cast("bigint").alias("last"))).unionByName(
+        local.filter(F.col("lead").isNull()).select("table_uuid", "day", F.lit(None).cast("bigint").alias("first"), F.col("fid").alias("last"))
+    )
+    days = ends.groupBy(F.col("table_uuid").alias("dt"), F.col("day").alias("dd")).agg(F.max("first").alias("first"), F.max("last").alias("last"))
     over = Window.partitionBy("dt").orderBy("dd")
     days = days.select("dt", "dd", F.lag("last").over(over).alias("before"), F.lead("first").over(over).alias("after"))
     joined = local.join(days, (F.col("table_uuid") == F.col("dt")) & (F.col("day") == F.col("dd")))
-    return joined.select("table_uuid", "file", F.coalesce("lag", "before").alias("prev"), F.coalesce("lead", "after").alias("next"))
+    return joined.select("fid", F.coalesce("lag", "before").alias("prev"), F.coalesce("lead", "after").alias("next"))
 
 
 def unmatched_chunks(chunks: DataFrame, order: DataFrame) -> DataFrame:
-    """(table_uuid, later, file, kind, chunk, new): the chunks of both files of
-    each consecutive pair that the other file doesn't have alike. Reads and moves
-    digests only."""
-    o = order.select(F.col("table_uuid").alias("ot"), F.col("file").alias("of"), "prev", "next")
-    c = chunks.select("table_uuid", "file", "kind", "chunk", "n", "d1", "d2").join(o, (F.col("table_uuid") == F.col("ot")) & (F.col("file") == F.col("of")))
+    """(later, fid, kind, chunk, new): the chunks of both files of each consecutive
+    pair that the other file doesn't have alike. Reads and moves digests only."""
+    o = order.select(F.col("fid").alias("of"), "prev", "next")
+    c = chunks.select("fid", "kind", "chunk", "n", "d1", "d2").join(o, F.col("fid") == F.col("of"))
     sides = F.array(
-        F.struct(F.lit(True).alias("new"), F.when(F.col("prev").isNotNull(), F.col("file")).alias("later")),
+        F.struct(F.lit(True).alias("new"), F.when(F.col("prev").isNotNull(), F.col("fid")).alias("later")),
         F.struct(F.lit(False).alias("new"), F.col("next").alias("later")),
     )
-    sided = c.select("table_uuid", "file", "kind", "chunk", "n", "d1", "d2", F.explode(sides).alias("s")).filter(F.col("s.later").isNotNull())
-    grouped = sided.groupBy("table_uuid", F.col("s.later").alias("later"), "kind", "chunk").agg(
+    sided = c.select("fid", "kind", "chunk", "n", "d1", "d2", F.explode(sides).alias("s")).filter(F.col("s.later").isNotNull())
+    grouped = sided.groupBy(F.col("s.later").alias("later"), "kind", "chunk").agg(
         F.count("*").alias("sides"), F.min("n").alias("n0"), F.max("n").alias("n1"), F.min("d1").alias("a0"), F.max("d1").alias("a1"), F.min("d2").alias("b0"), F.max("d2").alias("b1"),
-        F.max(F.when(F.col("s.new"), F.col("file"))).alias("new_file"), F.max(F.when(~F.col("s.new"), F.col("file"))).alias("old_file"),
+        F.max(F.when(F.col("s.new"), F.col("fid"))).alias("new_fid"), F.max(F.when(~F.col("s.new"), F.col("fid"))).alias("old_fid"),
     )
     same = (F.col("sides") == 2) & (F.col("n0") == F.col("n1")) & (F.col("a0") == F.col("a1")) & (F.col("b0") == F.col("b1"))
-    both = F.explode(F.array(F.struct(F.col("new_file").alias("file"), F.lit(True).alias("new")), F.struct(F.col("old_file").alias("file"), F.lit(False).alias("new"))))
-    return grouped.filter(~same).select("table_uuid", "later", "kind", "chunk", both.alias("b")).filter(F.col("b.file").isNotNull()).select("table_uuid", "later", "b.file", "kind", "chunk", "b.new")
+    both = F.explode(F.array(F.struct(F.col("new_fid").alias("fid"), F.lit(True).alias("new")), F.struct(F.col("old_fid").alias("fid"), F.lit(False).alias("new"))))
+    return grouped.filter(~same).select("later", "kind", "chunk", both.alias("b")).filter(F.col("b.fid").isNotNull()).select("later", "b.fid", "kind", "chunk", "b.new")
 
 
 def classify(chunks: DataFrame, unmatched: DataFrame) -> DataFrame:
-    """The records of unmatched chunks, joined by key and classified."""
-    u = unmatched.select(F.col("table_uuid").alias("ut"), "later", F.col("file").alias("uf"), F.col("kind").alias("uk"), F.col("chunk").alias("uc"), "new")
-    read = chunks.select("table_uuid", "file", "kind", "chunk", "keys", "vals").join(u, (F.col("table_uuid") == F.col("ut")) & (F.col("file") == F.col("uf")) & (F.col("kind") == F.col("uk")) & (F.col("chunk") == F.col("uc")))
-    rows = read.select("table_uuid", "later", "kind", "new", F.explode(F.arrays_zip("keys", "vals")).alias("r"))
+    """The records of unmatched chunks, joined by key and classified:
+    (later, kind, record_key, change_kind, value_then, value_now)."""
+    u = unmatched.select("later", F.col("fid").alias("uf"), F.col("kind").alias("uk"), F.col("chunk").alias("uc"), "new")
+    read = chunks.select("fid", "kind", "chunk", "keys", "vals").join(u, (F.col("fid") == F.col("uf")) & (F.col("kind") == F.col("uk")) & (F.col("chunk") == F.col("uc")))
+    rows = read.select("later", "kind", "new", F.explode(F.arrays_zip("keys", "vals")).alias("r"))
     val = lambda new: F.max(F.when(F.col("new") == new, F.col("r.vals")))
     had = lambda new: F.max(F.col("new") == new)
-    by_key = rows.groupBy("table_uuid", "later", "kind", F.col("r.keys").alias("record_key")).agg(had(True).alias("now"), had(False).alias("then"), val(True).alias("value_now"), val(False).alias("value_then"))
+    by_key = rows.groupBy("later", "kind", F.col("r.keys").alias("record_key")).agg(had(True).alias("now"), had(False).alias("then"), val(True).alias("value_now"), val(False).alias("value_then"))
     kind = F.when(~F.col("then"), "added").when(~F.col("now"), "removed").when(~F.col("value_now").eqNullSafe(F.col("value_then")), "changed")
-    return by_key.select("table_uuid", F.col("later").alias("metadata_file"), F.col("kind").alias("record_kind"), "record_key", kind.alias("change_kind"), "value_then", "value_now").filter(F.col("change_kind").isNotNull())
+    return by_key.select("later", "kind", "record_key", kind.alias("change_kind"), "value_then", "value_now").filter(F.col("change_kind").isNotNull())
 
 
 def snapshot_changes(deliveries: DataFrame) -> DataFrame:
@@ -172,8 +175,12 @@ def snapshot_changes(deliveries: DataFrame) -> DataFrame:
 
     Files are ordered by last_updated_ms, ties by name; a file sent again counts
     once, as sent last. Values are compared exactly, null equals null. The first
-    file of a table has no changes; an empty input gives none.
+    file of a table has no changes; an empty input gives none. Files go by a
+    number in between, which is fixed when they are written; their long names
+    are only joined to the changes.
     """
-    files = materialize(delivered_files(deliveries), "files")
+    files = materialize(delivered_files(deliveries).withColumn("fid", F.monotonically_increasing_id()), "files")
     chunks = materialize(chunk_files(files), "chunks")
-    return classify(chunks, unmatched_chunks(chunks, neighbours(files)))
+    found = classify(chunks, unmatched_chunks(chunks, neighbours(files)))
+    names = files.select(F.col("fid").alias("nf"), "table_uuid", F.col("file").alias("metadata_file"))
+    return found.join(names, F.col("later") == F.col("nf")).select("table_uuid", "metadata_file", F.col("kind").alias("record_kind"), "record_key", "change_kind", "value_then", "value_now")
