@@ -1 +1 @@
-
+"""Partition transforms and sort orders as Catalyst columns."""

@@ -1 +1 @@
-
+"""Reading and writing metadata documents."""
