@@ -22,7 +22,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tablelens.operators.fieldtree import inner, tag_of
-from tablelens.shared import materialize, ship
+from tablelens.shared import exact, materialize, ship
 
 BLOCK = 256
 _FLAT = "table_uuid string, schema_id int, top_id int, id int, parent_id int, name string, tag string, loaded_at timestamp_ntz"
@@ -33,7 +33,8 @@ def latest_fields(fields: DataFrame) -> DataFrame:
     equal times the greatest (name, type). Rows without schema_id or id are no fields."""
     best = F.max(F.struct(F.col("loaded_at").cast("timestamp_ntz").alias("loaded_at"), "name", F.col("field_type").cast("string").alias("field_type")))
     return (
-        fields.filter(F.col("schema_id").isNotNull() & F.col("id").isNotNull())
+        exact(fields, "table_uuid", "schema_id", "id", "name", "field_type", "loaded_at")
+        .filter(F.col("schema_id").isNotNull() & F.col("id").isNotNull())
         .groupBy("table_uuid", F.col("schema_id").cast("int").alias("schema_id"), F.col("id").cast("int").alias("id"))
         .agg(best.alias("b"))
         .select("table_uuid", "schema_id", "id", "b.name", "b.field_type", "b.loaded_at")
@@ -63,14 +64,14 @@ def _flatten(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def flatten_fields(fields: DataFrame) -> DataFrame:
     """One row per field at any depth: the rows given, and those inside their types."""
     ship(fields.sparkSession)
-    return fields.select("table_uuid", "schema_id", "id", "name", "field_type", "loaded_at").mapInArrow(_flatten, _FLAT)
+    return exact(fields, "table_uuid", "schema_id", "id", "name", "field_type", "loaded_at").mapInArrow(_flatten, _FLAT)
 
 
 def schema_ordinals(fields: DataFrame) -> DataFrame:
     """(table_uuid, schema_id, ord, prev_id, next_id) of the schemas present,
     numbered by schema_id. Counted in ranges of ids first, so that a table with
     a large part of all schemas is not sorted by one task."""
-    ids = fields.select("table_uuid", F.col("schema_id").cast("int").alias("schema_id")).filter(F.col("schema_id").isNotNull()).distinct()
+    ids = exact(fields, "table_uuid", "schema_id").select("table_uuid", F.col("schema_id").cast("int").alias("schema_id")).filter(F.col("schema_id").isNotNull()).distinct()
     ids = ids.withColumn("span", F.floor(F.col("schema_id") / 1024))
     within = Window.partitionBy("table_uuid", "span").orderBy("schema_id")
     spans = ids.groupBy("table_uuid", "span").agg(F.count("*").alias("n"), F.min("schema_id").alias("lo"), F.max("schema_id").alias("hi"))
@@ -243,6 +244,6 @@ def unify_rows(rows: DataFrame, fields: DataFrame) -> DataFrame:
     per_schema = flat.groupBy("table_uuid", "schema_id").agg(F.map_from_entries(F.collect_list(F.struct("id", F.struct("name", "tag")))).alias("written"))
     shape = F.expr("transform(all_fields, f -> named_struct('id', f.uid, 'name', f.now_name, 'branch', written[f.uid].tag, 'canonical_type', f.canonical_type, 'written_name', written[f.uid].name))")
     shapes = per_schema.join(per_table, F.col("table_uuid").eqNullSafe(F.col("ut"))).select(F.col("table_uuid").alias("st"), F.col("schema_id").alias("ss"), shape.alias("shape"))
-    joined = rows.select("row_id", "table_uuid", F.col("schema_id").cast("int").alias("schema_id"), "payload").join(shapes, F.col("table_uuid").eqNullSafe(F.col("st")) & (F.col("schema_id") == F.col("ss")), "left")
+    joined = exact(rows, "row_id", "table_uuid", "schema_id", "payload").select("row_id", "table_uuid", F.col("schema_id").cast("int").alias("schema_id"), "payload").join(shapes, F.col("table_uuid").eqNullSafe(F.col("st")) & (F.col("schema_id") == F.col("ss")), "left")
     kind = "row_id bigint, table_uuid string, schema_id int, fields array<struct<id int, name string, branch string, canonical_type string, value string, state string>>, unknown_keys array<string>"
     return joined.select("row_id", "table_uuid", "schema_id", "payload", "shape").mapInArrow(_unify, kind)

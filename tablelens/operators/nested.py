@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tablelens.operators.fieldtree import as_int, children, get, opened, type_tag
-from tablelens.shared import shared_dir, ship
+from tablelens.shared import exact, shared_dir, ship
 
 TAGS = ("schema", "field", "spec", "spec_field", "snapshot", "ref")
 _PARTS = ("schemas", "partition-specs", "snapshots", "refs")
@@ -163,7 +163,7 @@ def flatten_documents(docs: DataFrame) -> DataFrame:
     many documents as a file split holds, and there is no shuffle.
     """
     ship(docs.sparkSession)
-    return docs.select("meta_id", "body").mapInArrow(_emit, _ROWS)
+    return exact(docs, "meta_id", "body").mapInArrow(_emit, _ROWS)
 
 
 def write_tables(nodes: DataFrame, path: str | None = None) -> str:

@@ -116,6 +116,13 @@ def metadata_batch(table_metadata: DataFrame, snapshots: DataFrame, schema_field
     current_snapshot_id (null and -1 are none), source_id and refs.snapshot_id
     against schemas, snapshots and fields (ids inside types count)."""
     from tablelens.operators.drift import flatten_fields
+    from tablelens.shared import exact
+
+    table_metadata = exact(table_metadata, "table_uuid", "metadata_file", "delivered_at", "current_schema_id", "current_snapshot_id")
+    snapshots = exact(snapshots, "table_uuid", "snapshot_id", "loaded_at", "expired_at")
+    schema_fields = exact(schema_fields, "table_uuid", "schema_id", "id", "field_type", "loaded_at")
+    partition_fields = exact(partition_fields, "table_uuid", "spec_id", "source_id", "field_id", "loaded_at")
+    refs = exact(refs, "table_uuid", "ref_name", "snapshot_id", "loaded_at")
 
     def ref(df: DataFrame, kind: str, key: Column, target_kind: str, target: str, at: str) -> DataFrame:
         return df.select(F.lit(kind).alias("ref_kind"), "table_uuid", key.alias("record_key"), F.lit(target_kind).alias("target_kind"), F.col(target).cast("bigint").alias("target_id"), _ntz(at).alias("first_seen"))

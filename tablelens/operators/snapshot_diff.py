@@ -22,7 +22,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tablelens.shared import materialize, ship
+from tablelens.shared import exact, materialize, ship
 
 CHUNK = 8
 _KEYS = ("snapshot-diff-01", "snapshot-diff-02", "snapshot-diff-03")  # of the hashes, 16 bytes each
@@ -37,7 +37,8 @@ def delivered_files(deliveries: DataFrame) -> DataFrame:
     state = F.struct("properties", F.col("metadata_log"))
     order = F.struct("delivered_at", F.coalesce("last_updated_ms", F.lit(0)).alias("ms"), F.xxhash64(F.to_json(state)).alias("h"))
     return (
-        deliveries.filter(F.col("table_uuid").isNotNull() & F.col("metadata_file").isNotNull())
+        exact(deliveries, "table_uuid", "metadata_file", "delivered_at", "last_updated_ms", "properties", "metadata_log")
+        .filter(F.col("table_uuid").isNotNull() & F.col("metadata_file").isNotNull())
         .select("table_uuid", F.col("metadata_file").alias("file"), order.alias("o"), F.struct("properties", "metadata_log").alias("s"))
         .groupBy("table_uuid", "file")
         .agg(F.max_by("s", "o").alias("s"), F.max("o").alias("o"))

@@ -13,6 +13,7 @@ import zipfile
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 _DIR_KEY = "spark.checkpoint.dir"
 
@@ -48,6 +49,19 @@ def drop_table(spark: SparkSession, path: str) -> None:
     target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
 
 
+def exact(df: DataFrame, *names: str) -> DataFrame:
+    """Only the named columns of df, matched by exact spelling, so that further
+    columns never clash with what an operator adds, whatever their names are."""
+    have = df.columns
+    missing = [n for n in names if n not in have]
+    if missing:
+        raise ValueError(f"no column {', '.join(missing)}; there are {', '.join(have)}")
+    if len({c.lower() for c in have}) == len(have):
+        return df.select(*(F.col(f"`{n}`") for n in names))
+    numbered = df.toDF(*(f"c{i}" for i in range(len(have))))
+    return numbered.select(*(F.col(f"c{have.index(n)}").alias(n) for n in names))
+
+
 def write_shared(df: DataFrame, name: str) -> tuple[DataFrame, str]:
     """Writes df as a table in the shared folder; returns it read back, and its path."""
     spark = df.sparkSession
