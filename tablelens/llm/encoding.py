@@ -11,10 +11,11 @@ from pyspark import Broadcast
 from pyspark.sql import DataFrame, SparkSession
 
 from tablelens.llm.bpe import PrefixEncoder, load_ranks
-from tablelens.shared import ship
+from tablelens.shared import exact, ship
 
 TOKENIZER_DIR = "/opt/tokenizers"
 TOKENIZER = "byte_bpe_50k"
+_FLUSH = 2_000_000  # ids held before they are handed on
 
 _encoders: dict[str, PrefixEncoder] = {}
 
@@ -38,12 +39,14 @@ def _encode(batches: Iterator[pa.RecordBatch], shared: Broadcast) -> Iterator[pa
     encode = _encoder(shared).encode
     for batch in batches:
         ids: list[int] = []
-        ends = [0]
-        for text in batch["text"]:
+        ends, first = [0], 0
+        for row, text in enumerate(batch["text"], 1):
             ids += encode(text.as_py())
             ends.append(len(ids))
-        out = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(ids, pa.int32()))
-        yield pa.RecordBatch.from_arrays([batch["doc_id"], out], ["doc_id", "ids"])
+            if len(ids) >= _FLUSH or row == batch.num_rows:
+                out = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(ids, pa.int32()))
+                yield pa.RecordBatch.from_arrays([batch["doc_id"].slice(first, row - first), out], ["doc_id", "ids"])
+                ids, ends, first = [], [0], row
 
 
 def _count(batches: Iterator[pa.RecordBatch], shared: Broadcast, keep: list[str]) -> Iterator[pa.RecordBatch]:
@@ -59,7 +62,7 @@ def encode_documents(docs: DataFrame, tokenizer: str = TOKENIZER, folder: str =
     empty list. Rows stay where they are; a row per row, repeated ones too."""
     ship(docs.sparkSession)
     shared = _vocabulary(docs.sparkSession, tokenizer, folder)
-    return docs.select("doc_id", "text").mapInArrow(lambda b: _encode(b, shared), "doc_id bigint, ids array<int>")
+    return exact(docs, "doc_id", "text").mapInArrow(lambda b: _encode(b, shared), "doc_id bigint, ids array<int>")
 
 
 def count_tokens(docs: DataFrame, keep: list[str], tokenizer: str = TOKENIZER, folder: str = TOKENIZER_DIR) -> DataFrame:

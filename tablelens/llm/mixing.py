@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 
 from tablelens.llm.common import canonical_source
 from tablelens.llm.encoding import TOKENIZER, TOKENIZER_DIR, count_tokens
-from tablelens.shared import materialize
+from tablelens.shared import exact, materialize
 
 RANGE_BITS = 12
 
@@ -134,9 +134,9 @@ def mix_sources(docs: DataFrame, weights: DataFrame, seed: int = 42, total: floa
     same seed gives the same choice.
     """
     spark = docs.sparkSession
-    wanted = clean_weights(weights)
+    wanted = clean_weights(exact(weights, "source", "target_share", "max_repeats"))
     listed = {r["source"]: (r["target_share"], r["max_repeats"]) for r in wanted.collect()}
-    named = docs.select("doc_id", canonical_source(F.col("source")).alias("source"), language(F.col("lang")).alias("lang"), "text")
+    named = exact(docs, "doc_id", "text", "lang", "source").select("doc_id", canonical_source(F.col("source")).alias("source"), language(F.col("lang")).alias("lang"), "text")
     used = named.join(F.broadcast(wanted.select("source")), "source", "left_semi")  # the weights table is the configuration: one row a source
     counted = count_tokens(used, ["doc_id", "source", "lang"], tokenizer, folder).filter(F.col("tokens") > 0)
     counted = materialize(counted, "tokens")

@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tablelens.llm.common import canonical_source
-from tablelens.shared import ship
+from tablelens.shared import exact, ship
 
 _WORD = re.compile(r"[A-ZÀ-ÖØ-ÞŒ]?[a-zß-öø-ÿœ]+|[A-ZÀ-ÖØ-ÞŒ]+(?![a-zß-öø-ÿœ])")
 _BOT = re.compile(r"bot\b|robot|\bauto", re.I)
@@ -374,6 +374,8 @@ def _chain(x: np.ndarray, source: np.ndarray, y: np.ndarray, order: list[int], n
 
 def train(texts: list[str | None], sources: list[str], labels: list[frozenset[str]], subjects: list[str], folds: int = 3) -> SubjectModel:
     """A model from labelled documents; an empty set of labels means no subject."""
+    if not subjects:
+        return SubjectModel([], [], Terms({}, set()), {}, np.zeros(_EVIDENCE), np.zeros((0, 2)), {})
     number = {s: k for k, s in enumerate(subjects)}
     y_sets = [frozenset(number[s] for s in y if s in number) for y in labels]
     names = [s for s, n in Counter(sources).most_common() if n >= 20]
@@ -431,13 +433,13 @@ def fit_subjects(docs: DataFrame, labels: DataFrame, subjects: DataFrame, sample
     A null subject means none; a document with several labels has all of them.
     Without labels the model gives no subject to any document.
     """
-    names = sorted(r[0] for r in subjects.select("subject").filter(F.col("subject").isNotNull()).distinct().collect())
+    names = sorted(r[0] for r in exact(subjects, "subject").filter(F.col("subject").isNotNull()).distinct().collect())
     picked = (
-        labels.select("doc_id", "subject").filter(F.col("doc_id").isNotNull())
+        exact(labels, "doc_id", "subject").filter(F.col("doc_id").isNotNull())
         .groupBy("doc_id").agg(F.array_sort(F.collect_set("subject")).alias("labels"))
         .orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
     )
-    labelled = docs.select("doc_id", "text", canonical_source(F.col("source")).alias("source")).filter(F.length("text") <= longest)
+    labelled = exact(docs, "doc_id", "text", "source").select("doc_id", "text", canonical_source(F.col("source")).alias("source")).filter(F.length("text") <= longest)
     rows = labelled.join(F.broadcast(picked.withColumnRenamed("doc_id", "labelled_id")), F.col("doc_id") == F.col("labelled_id")).select("doc_id", "text", "source", "labels").collect()
     rows.sort(key=lambda r: (r["doc_id"], r["text"] or ""))
     rows = rows[: 2 * sample]  # doc_id is unique; this bounds the fit where it isn't
@@ -468,4 +470,4 @@ def assign_subjects(docs: DataFrame, model: SubjectModel) -> DataFrame:
     model, which the training sample bounds."""
     ship(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(model)
-    return docs.select("doc_id", "text", canonical_source(F.col("source")).alias("source")).mapInArrow(lambda b: _predict(b, shared.value), "doc_id bigint, subject string")
+    return exact(docs, "doc_id", "text", "source").select("doc_id", "text", canonical_source(F.col("source")).alias("source")).mapInArrow(lambda b: _predict(b, shared.value), "doc_id bigint, subject string")
