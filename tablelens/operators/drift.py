@@ -195,7 +195,7 @@ def _canonical(value: Any, tag: str | None) -> tuple[str | None, bool]:
 def _unify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     value_type = pa.list_(pa.struct([("id", pa.int32()), ("name", pa.string()), ("branch", pa.string()), ("canonical_type", pa.string()), ("value", pa.string()), ("state", pa.string())]))
     for batch in batches:
-        out, unknown = [], []
+        out, rest = [], []
         for payload, shape in zip(batch["payload"].to_pylist(), batch["shape"].to_pylist()):
             try:
                 record = json.loads(payload, parse_float=Decimal) if payload else {}
@@ -216,19 +216,20 @@ def _unify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                     state = "null" if raw is None else "ok" if fits else "misfit"
                 values.append({"id": f["id"], "name": f["name"], "branch": f["branch"], "canonical_type": f["canonical_type"], "value": text, "state": state})
             out.append(values)
-            unknown.append(sorted(k for k in record if k not in known) if isinstance(record, dict) else [])
-        yield pa.RecordBatch.from_arrays([batch["row_id"], batch["table_uuid"], batch["schema_id"], pa.array(out, value_type), pa.array(unknown, pa.list_(pa.string()))], ["row_id", "table_uuid", "schema_id", "fields", "unknown_keys"])
+            rest.append(sorted((k, _canonical(v, None)[0]) for k, v in record.items() if k not in known) if isinstance(record, dict) else [])
+        yield pa.RecordBatch.from_arrays([batch["row_id"], batch["table_uuid"], batch["schema_id"], pa.array(out, value_type), pa.array(rest, pa.map_(pa.string(), pa.string()))], ["row_id", "table_uuid", "schema_id", "fields", "rest"])
 
 
 def unify_rows(rows: DataFrame, fields: DataFrame) -> DataFrame:
     """All rows of a table in one consistent shape: (row_id, table_uuid, schema_id,
-    fields, unknown_keys), fields with one entry per top-level field id that the
+    fields, rest), fields with one entry per top-level field id that the
     table ever had, by id: its present name, the branch (the type the row was
     written with, null where its schema lacks the field), the canonical type,
     the value as text in canonical form, and its state: ok, null, missing (an
-    optional key left out), absent (not in the row's schema), misfit (kept as
-    written), unreadable (payload isn't a JSON object). Keys that the schema
-    lacks are listed, never dropped. A row of an unknown table has no entries.
+    optional key left out; so are all of a null or empty payload), absent (not in
+    the row's schema), misfit (kept as written), unreadable (payload isn't a JSON
+    object). Keys that the schema lacks, all of them where the schema itself is
+    unknown, are kept with their values as text in rest.
 
     Schemas are joined by (table, schema) to the rows; a hot schema is split by
     Spark at run time. Each table's shape is bounded by its number of fields.
@@ -245,5 +246,5 @@ def unify_rows(rows: DataFrame, fields: DataFrame) -> DataFrame:
     shape = F.expr("transform(all_fields, f -> named_struct('id', f.uid, 'name', f.now_name, 'branch', written[f.uid].tag, 'canonical_type', f.canonical_type, 'written_name', written[f.uid].name))")
     shapes = per_schema.join(per_table, F.col("table_uuid").eqNullSafe(F.col("ut"))).select(F.col("table_uuid").alias("st"), F.col("schema_id").alias("ss"), shape.alias("shape"))
     joined = exact(rows, "row_id", "table_uuid", "schema_id", "payload").select("row_id", "table_uuid", F.col("schema_id").cast("int").alias("schema_id"), "payload").join(shapes, F.col("table_uuid").eqNullSafe(F.col("st")) & (F.col("schema_id") == F.col("ss")), "left")
-    kind = "row_id bigint, table_uuid string, schema_id int, fields array<struct<id int, name string, branch string, canonical_type string, value string, state string>>, unknown_keys array<string>"
+    kind = "row_id bigint, table_uuid string, schema_id int, fields array<struct<id int, name string, branch string, canonical_type string, value string, state string>>, rest map<string,string>"
     return joined.select("row_id", "table_uuid", "schema_id", "payload", "shape").mapInArrow(_unify, kind)
