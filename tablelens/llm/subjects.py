@@ -69,7 +69,7 @@ def read_lines(text: str | None) -> Lines:
         if line.startswith("diff --git "):
             in_diff = True
             files += 1
-            words = find(line[11:].partition(" b/")[0])
+            words = find(line[11:].removeprefix("a/").partition(" b/")[0])
             out.append((PATH, words))
         elif not in_diff:
             if line:
@@ -170,7 +170,7 @@ def learn_terms(docs: list[Lines], labels: list[frozenset[int]], n_subjects: int
             n = total[w]
             share = (k + 2 * base[s]) / (n + 2)
             others = sum(counts.values()) - k
-            if k >= 2 and share >= 0.4 and share >= 3 * base[s] and k > 1.4 * max((c for o, c in counts.items() if o != s), default=0) and others <= 1.2 * k:
+            if k >= 2 and share >= 0.4 and share * (1 - base[s]) >= 4 * base[s] * (1 - share) and k > 1.4 * max((c for o, c in counts.items() if o != s), default=0) and others <= 1.2 * k:
                 terms[w] = s
     plain = {w for w, n in total.items() if n >= 4 and w not in terms}
     return Terms(terms, plain)
@@ -395,7 +395,7 @@ def train(texts: list[str | None], sources: list[str], labels: list[frozenset[st
     y = np.zeros((len(docs), k), bool)
     for i, ys in enumerate(y_sets):
         y[i, list(ys)] = True
-    src = np.array([source_of.get(s, len(source_of)) for s in sources])
+    src = np.array([source_of.get(s, len(source_of)) for s in sources], int)
     order = sorted(range(k), key=lambda s: (-int(y[:, s].sum()), subjects[s]))
     half = np.arange(len(docs)) % 2 == 0
     # calibration on documents the chain did not see
@@ -459,7 +459,7 @@ def _predict(batches: Iterator[pa.RecordBatch], model: SubjectModel) -> Iterator
                 sources.append(model.sources.get(source or "", none))
         if not ids or not k:
             continue
-        labels = model.decode(np.stack(found), np.array(sources))
+        labels = model.decode(np.stack(found), np.array(sources, int))
         doc, subject = np.nonzero(labels)
         yield pa.RecordBatch.from_arrays([pa.array([ids[i] for i in doc], pa.int64()), pa.array([model.subjects[s] for s in subject], pa.string())], ["doc_id", "subject"])
 
