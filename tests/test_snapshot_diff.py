@@ -3,10 +3,13 @@
 import datetime as dt
 import random
 
+import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from tablelens.operators.snapshot_diff import chunk_files, delivered_files, neighbours, snapshot_changes, unmatched_chunks
+from tablelens.operators import snapshot_diff
+from tablelens.operators.snapshot_diff import cut, snapshot_changes, unmatched
 
 SCHEMA = "table_uuid string, metadata_file string, delivered_at timestamp_ntz, last_updated_ms bigint, properties map<string,string>, metadata_log array<struct<metadata_file string, timestamp_ms bigint>>"
 T0 = dt.datetime(2024, 1, 1)
@@ -65,14 +68,33 @@ def test_changes(spark, seed):
     assert len(got) == len(set(got)) and set(got) == brute(rows)
 
 
-def test_equal_chunks_are_discarded(spark):
+def test_equal_chunks_are_discarded():
     big = {f"key{i}": "v" for i in range(2000)}
-    rows = [("a", "f1", T0, 1, big, None), ("a", "f2", T0, 2, big | {"key500": "w", "new": "1"}, None)]
-    files = delivered_files(spark.createDataFrame(rows, SCHEMA)).withColumn("fid", F.when(F.col("file") == "f1", 1).otherwise(2).cast("bigint")).cache()
-    chunks = chunk_files(files).cache()
-    assert chunks.count() > 200
-    left = unmatched_chunks(chunks, neighbours(files)).join(chunks, ["fid", "kind", "chunk"]).agg(F.sum("n")).first()[0]
-    assert left < 200  # of 4001 records, those of the chunks that changed
+    keys = pa.array([*big, *big, "new"])
+    vals = pa.array(["w" if i == 500 else "v" for i in range(2000)] + ["v"] * 2001)
+    chunks = cut(np.repeat([0, 1], [2000, 2001]), keys, vals)
+    assert len(chunks.start) > 800
+    _, _, left = unmatched(chunks, np.array([-1, 0]), np.array([0, -1]))
+    assert (chunks.end - chunks.start)[left].sum() < 60  # of 4001 records, those of the chunks that changed
+
+
+@pytest.mark.parametrize("parts", ["1", "3", "40"])
+def test_partitions_and_odd_files(spark, monkeypatch, parts):
+    """Boundaries between partitions anywhere; a file sent with two times; hot files."""
+    monkeypatch.setattr(snapshot_diff, "HOT_DELIVERIES", 2)
+    rows = random_rows(7)
+    again = [(t, f, at + dt.timedelta(days=400), ms + 10**10, {"late": "1"}, log) for t, f, at, ms, _, log in rows[:6]]
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", parts)
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "7")
+    try:
+        got = [tuple(r)[:5] for r in snapshot_changes(spark.createDataFrame(rows + again, SCHEMA)).collect()]
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+        spark.conf.set("spark.sql.adaptive.enabled", "true")
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "10000")
+    assert len(got) == len(set(got)) and set(got) == brute(rows + again)
 
 
 def test_edges(spark):
