@@ -18,6 +18,8 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tablelens.shared import materialize
+
 HOT_REFERENCES = 200_000
 MAX_SALTS = 64
 REFERENCE = ("ref_kind", "table_uuid", "record_key", "target_kind", "target_id", "first_seen")
@@ -51,6 +53,15 @@ def advance(state: OrphanState, references: DataFrame, parents: DataFrame) -> Or
     return OrphanState(_index(index), _references(refs))
 
 
+def _hot_keys(refs: DataFrame) -> DataFrame | None:
+    """(hk, ht, hi, salts) of the keys with more than HOT_REFERENCES references, at
+    most one per so many references; None where there is none, so that the index
+    need not be shuffled again for the salt."""
+    counts = refs.groupBy(F.col("target_kind").alias("hk"), F.col("table_uuid").alias("ht"), F.col("target_id").alias("hi")).agg(F.count("*").alias("n")).filter(F.col("n") > HOT_REFERENCES)
+    hot = materialize(counts.select("hk", "ht", "hi", F.least(F.ceil(F.col("n") / HOT_REFERENCES), F.lit(MAX_SALTS)).alias("salts")), "hot")
+    return hot if hot.limit(1).count() else None
+
+
 def lifecycles(state: OrphanState, salted: bool = True) -> DataFrame:
     """Each reference with opened, resolved and reopened, any of them null.
 
@@ -60,17 +71,16 @@ def lifecycles(state: OrphanState, salted: bool = True) -> DataFrame:
     from its arrival (inclusive) until its deletion (exclusive), and never again
     after that. Without a known time (null) a reference counts as first of all.
     """
-    refs, index = state.references, state.index
-    at = F.coalesce("first_seen", F.lit("0001-01-01").cast("timestamp_ntz"))
-    i = index.select(F.col("target_kind").alias("ik"), F.col("table_uuid").alias("it"), F.col("target_id").alias("ii"), "arrived", "deleted")
+    refs = materialize(state.references, "references") if salted else state.references
+    i = state.index.select(F.col("target_kind").alias("ik"), F.col("table_uuid").alias("it"), F.col("target_id").alias("ii"), "arrived", "deleted")
     same = (F.col("target_kind") == F.col("ik")) & F.col("table_uuid").eqNullSafe(F.col("it")) & (F.col("target_id") == F.col("ii"))
-    if salted:
-        hot = refs.groupBy(F.col("target_kind").alias("hk"), F.col("table_uuid").alias("ht"), F.col("target_id").alias("hi")).agg(F.count("*").alias("n")).filter(F.col("n") > HOT_REFERENCES)
-        hot = hot.select("hk", "ht", "hi", F.least(F.ceil(F.col("n") / HOT_REFERENCES), F.lit(MAX_SALTS)).alias("salts"))
+    hot = _hot_keys(refs) if salted else None
+    if hot is not None:
         on = lambda k, t, d: (F.col(k) == F.col("hk")) & F.col(t).eqNullSafe(F.col("ht")) & (F.col(d) == F.col("hi"))
         refs = refs.join(hot, on("target_kind", "table_uuid", "target_id"), "left").withColumn("salt", F.pmod(F.xxhash64("record_key"), F.coalesce("salts", F.lit(1))).cast("int")).drop("hk", "ht", "hi", "salts")
         i = i.join(hot, on("ik", "it", "ii"), "left").withColumn("isalt", F.explode(F.sequence(F.lit(0), F.coalesce(F.col("salts"), F.lit(1)).cast("int") - 1))).drop("hk", "ht", "hi", "salts")
         same = same & (F.col("salt") == F.col("isalt"))
+    at = F.coalesce("first_seen", F.lit("0001-01-01").cast("timestamp_ntz"))
     joined = refs.join(i, same, "left")
     lives = F.col("arrived").isNotNull() & (F.col("deleted").isNull() | (F.col("arrived") < F.col("deleted")))
     there = F.coalesce(lives & (F.col("arrived") <= at) & (F.col("deleted").isNull() | (at < F.col("deleted"))), F.lit(False))
