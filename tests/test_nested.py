@@ -40,7 +40,15 @@ def texts(x):
     return [texts(v) for v in x] if isinstance(x, list) else x
 
 
+def in_text(x):
+    """Types of fields as JSON text in the document."""
+    if isinstance(x, dict):
+        return {k: json.dumps(in_text(v)) if k == "field_type" and isinstance(v, dict) else in_text(v) for k, v in x.items()}
+    return [in_text(v) for v in x] if isinstance(x, list) else x
+
+
 SPELLINGS = {
+    13: json.dumps(in_text(DOC)), 14: json.dumps([json.dumps(DOC)]),
     1: json.dumps(DOC), 2: json.dumps(snake(DOC), indent=1), 3: json.dumps(typed(DOC)), 4: json.dumps(texts(DOC)), 5: json.dumps([DOC]), 6: json.dumps(json.dumps(DOC)),
     7: json.dumps({"metadata": DOC}), 8: json.dumps({"kind": "table", "payload": {"metadata": snake(DOC)}}), 9: "﻿" + json.dumps(DOC) + "  \n", 10: "\t" + json.dumps({**DOC, "schemas": DOC["schemas"][0], "partition-specs": DOC["partition-specs"][0]}),
     11: json.dumps({**DOC, "refs": [{"name": "main", **DOC["refs"]["main"]}]}), 12: "﻿" + json.dumps(json.dumps(DOC)),
