@@ -7,6 +7,7 @@ only the columns they need.
 
 from __future__ import annotations
 
+import io
 import tempfile
 import uuid
 import zipfile
@@ -79,17 +80,22 @@ _shipped: set[str] = set()
 
 
 def ship(spark: SparkSession) -> None:
-    """Gives this package to the Python workers of the session's executors, once.
-
-    An installed copy or one on PYTHONPATH is not needed there then.
-    """
+    """Gives this package to the Python workers of the session's executors, once,
+    through the shared folder. An installed copy is not needed there then."""
     sc = spark.sparkContext
     if sc.applicationId in _shipped:
         return
     package = Path(__file__).resolve().parent
-    target = Path(tempfile.mkdtemp(prefix="tablelens-code-")) / "tablelens.zip"
-    with zipfile.ZipFile(target, "w") as z:
+    code = io.BytesIO()
+    with zipfile.ZipFile(code, "w") as z:
         for source in sorted(package.rglob("*.py")):
             z.write(source, Path(package.name) / source.relative_to(package))
-    sc.addPyFile(str(target))
+    jvm = sc._jvm
+    target = f"{shared_dir(spark)}/tablelens/code-{uuid.uuid4().hex}/tablelens.zip"
+    path = jvm.org.apache.hadoop.fs.Path(target)
+    out = path.getFileSystem(sc._jsc.hadoopConfiguration()).create(path)
+    out.write(code.getvalue())
+    out.close()
+    _delete_on_exit(spark, target)
+    sc.addPyFile(target)
     _shipped.add(sc.applicationId)
