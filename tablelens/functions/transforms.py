@@ -149,14 +149,16 @@ def _time(name: str, column: Column, kind: T.DataType) -> Column:
 
 def _truncate(column: Column, kind: T.DataType, width: int) -> Column:
     if isinstance(kind, (T.ByteType, T.ShortType, T.IntegerType, T.LongType)):
-        return (column - F.pmod(column, F.lit(width).cast(kind))).cast(kind)
+        big = column.cast("bigint")
+        return F.try_subtract(big, F.pmod(big, F.lit(width).cast("bigint"))).try_cast(kind)
     if isinstance(kind, T.DecimalType):
-        step = F.lit(Decimal(width).scaleb(-kind.scale)).cast(kind)
-        return (column - F.pmod(column, step)).cast(kind)
+        wide = T.DecimalType(38, kind.scale)
+        value, step = column.cast(wide), F.lit(Decimal(width).scaleb(-kind.scale)).cast(wide)
+        return F.try_subtract(value, F.pmod(value, step)).try_cast(kind)
     if isinstance(kind, T.StringType):
-        return F.left(column, F.lit(width))
+        return F.left(column, F.lit(min(width, _INT_MAX)))
     if isinstance(kind, T.BinaryType):
-        return F.substring(column, 1, width)
+        return F.substring(column, 1, min(width, _INT_MAX))
     raise TransformError(f"{kind.simpleString()} cannot be truncated")
 
 
@@ -164,8 +166,8 @@ def apply_transform(transform: Transform, column: Column, kind: T.DataType) -> C
     """The partition values of a column of the given type; null for null.
 
     void is always null; year, month, day and hour count from 1970-01-01 in UTC,
-    downwards before; truncate rounds numbers down, also below zero, and cuts
-    strings by characters.
+    downwards before; truncate rounds numbers down, also below zero (null where
+    the type holds no such number), and cuts strings by characters.
     """
     name = transform.name
     if name in ("bucket", "truncate") and not transform.arg:

@@ -15,6 +15,7 @@ from __future__ import annotations
 import json
 from collections.abc import Iterator
 from decimal import Decimal, InvalidOperation
+from functools import lru_cache
 from typing import Any
 
 import pyarrow as pa
@@ -192,32 +193,51 @@ def _canonical(value: Any, tag: str | None) -> tuple[str | None, bool]:
     return text, tag not in ("struct", "list", "map")
 
 
+@lru_cache(maxsize=20_000)
+def _columns(shape: str | None) -> tuple[list, list, list, list, list]:
+    """ids, present names, branches, canonical types and written keys of a shape's
+    JSON text, which all rows of a schema share; a field that the schema lacks has
+    no written key."""
+    fields = json.loads(shape) if shape else []
+    written = [f.get("written_name", "") if f.get("written") else None for f in fields]
+    return [f["id"] for f in fields], [f.get("name") for f in fields], [f.get("branch") for f in fields], [f.get("canonical_type") for f in fields], written
+
+
 def _unify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    value_type = pa.list_(pa.struct([("id", pa.int32()), ("name", pa.string()), ("branch", pa.string()), ("canonical_type", pa.string()), ("value", pa.string()), ("state", pa.string())]))
+    names = ["id", "name", "branch", "canonical_type", "value", "state"]
     for batch in batches:
-        out, rest = [], []
+        parts: tuple[list, ...] = ([], [], [], [])
+        values, states, ends, rest = [], [], [0], []
         for payload, shape in zip(batch["payload"].to_pylist(), batch["shape"].to_pylist()):
             try:
                 record = json.loads(payload, parse_float=Decimal) if payload else {}
-            except ValueError:
+            except (ValueError, RecursionError):
                 record = None
-            values = []
-            known = set()
-            for f in shape or ():
-                key = f["written_name"]
-                known.add(key)
-                if not isinstance(record, dict):
-                    text, state = None, "unreadable"
-                elif f["written_name"] is None or key not in record:
-                    text, state = None, "missing" if f["branch"] else "absent"
-                else:
-                    raw = record[key]
-                    text, fits = _canonical(raw, f["canonical_type"])
-                    state = "null" if raw is None else "ok" if fits else "misfit"
-                values.append({"id": f["id"], "name": f["name"], "branch": f["branch"], "canonical_type": f["canonical_type"], "value": text, "state": state})
-            out.append(values)
-            rest.append(sorted((k, _canonical(v, None)[0]) for k, v in record.items() if k not in known) if isinstance(record, dict) else [])
-        yield pa.RecordBatch.from_arrays([batch["row_id"], batch["table_uuid"], batch["schema_id"], pa.array(out, value_type), pa.array(rest, pa.map_(pa.string(), pa.string()))], ["row_id", "table_uuid", "schema_id", "fields", "rest"])
+            *shared, written = _columns(shape)
+            for whole, own in zip(parts, shared):
+                whole.extend(own)
+            if isinstance(record, dict):
+                for key, kind in zip(written, shared[3]):
+                    if key is None:
+                        values.append(None)
+                        states.append("absent")
+                    elif key not in record:
+                        values.append(None)
+                        states.append("missing")
+                    else:
+                        text, fits = _canonical(record[key], kind)
+                        values.append(text)
+                        states.append("null" if record[key] is None else "ok" if fits else "misfit")
+                known = set(written)
+                rest.append(sorted((k, _canonical(v, None)[0]) for k, v in record.items() if k not in known))
+            else:
+                values.extend([None] * len(written))
+                states.extend(["unreadable"] * len(written))
+                rest.append([])
+            ends.append(len(values))
+        columns = [pa.array(parts[0], pa.int32()), *(pa.array(x, pa.string()) for x in (*parts[1:], values, states))]
+        fields = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.StructArray.from_arrays(columns, names))
+        yield pa.RecordBatch.from_arrays([batch["row_id"], batch["table_uuid"], batch["schema_id"], fields, pa.array(rest, pa.map_(pa.string(), pa.string()))], ["row_id", "table_uuid", "schema_id", "fields", "rest"])
 
 
 def unify_rows(rows: DataFrame, fields: DataFrame) -> DataFrame:
@@ -243,8 +263,8 @@ def unify_rows(rows: DataFrame, fields: DataFrame) -> DataFrame:
     per_id = per_id.select("ut", "uid", F.col("now.name").alias("now_name"), canonical_type("tags").alias("canonical_type"))
     per_table = per_id.groupBy("ut").agg(F.array_sort(F.collect_list(F.struct("uid", "now_name", "canonical_type"))).alias("all_fields"))
     per_schema = flat.groupBy("table_uuid", "schema_id").agg(F.map_from_entries(F.collect_list(F.struct("id", F.struct("name", "tag")))).alias("written"))
-    shape = F.expr("transform(all_fields, f -> named_struct('id', f.uid, 'name', f.now_name, 'branch', written[f.uid].tag, 'canonical_type', f.canonical_type, 'written_name', written[f.uid].name))")
-    shapes = per_schema.join(per_table, F.col("table_uuid").eqNullSafe(F.col("ut"))).select(F.col("table_uuid").alias("st"), F.col("schema_id").alias("ss"), shape.alias("shape"))
+    shape = F.expr("transform(all_fields, f -> named_struct('id', f.uid, 'name', f.now_name, 'branch', written[f.uid].tag, 'canonical_type', f.canonical_type, 'written', written[f.uid] is not null, 'written_name', written[f.uid].name))")
+    shapes = per_schema.join(per_table, F.col("table_uuid").eqNullSafe(F.col("ut"))).select(F.col("table_uuid").alias("st"), F.col("schema_id").alias("ss"), F.to_json(shape).alias("shape"))
     joined = exact(rows, "row_id", "table_uuid", "schema_id", "payload").select("row_id", "table_uuid", F.col("schema_id").cast("int").alias("schema_id"), "payload").join(shapes, F.col("table_uuid").eqNullSafe(F.col("st")) & (F.col("schema_id") == F.col("ss")), "left")
     kind = "row_id bigint, table_uuid string, schema_id int, fields array<struct<id int, name string, branch string, canonical_type string, value string, state string>>, rest map<string,string>"
     return joined.select("row_id", "table_uuid", "schema_id", "payload", "shape").mapInArrow(_unify, kind)

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from tablelens.codec import parse_table_metadata
 from tablelens.functions.ordering import sort_columns
 from tablelens.functions.transforms import apply_transform, parse_transform_columns, with_partition_columns
-from tablelens.model import NameMapping, NameMappings, PartitionField, PartitionSpec, Schema, SortField, SortOrder, StructField, Transform
+from tablelens.model import NameMapping, NameMappings, Schema, SortField, SortOrder, StructField, Transform
 from tablelens.operators import drift, frames, timeline
 from tablelens.plans.core_queries import _DEEP, _P1, table
 from tablelens.plans.pruning import And, Compare, prune

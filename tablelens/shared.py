@@ -29,7 +29,7 @@ def shared_dir(spark: SparkSession) -> str:
     found = spark.conf.get(_DIR_KEY, None) or spark.sparkContext.getConf().get(_DIR_KEY)
     if found:
         return found.rstrip("/")
-    if not spark.sparkContext.master.startswith("local["):
+    if spark.sparkContext.master != "local" and not spark.sparkContext.master.startswith("local["):
         raise RuntimeError(f"{_DIR_KEY} must name a folder shared by all executors")
     made = "file://" + tempfile.mkdtemp(prefix="tablelens-")
     _delete_on_exit(spark, made)

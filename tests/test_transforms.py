@@ -90,6 +90,10 @@ def test_truncate_identity_void(spark):
     assert applied(spark, [1, -1, 0, 10, -10, -11, None], "int", "truncate", 10) == [0, -10, 0, 10, -10, -20, None]
     assert applied(spark, [2**62 + 7, None], "bigint", "truncate", 10) == [(2**62 + 7) // 10 * 10, None]
     assert applied(spark, [Decimal("10.65"), Decimal("-0.05")], "decimal(9,2)", "truncate", 50) == [Decimal("10.50"), Decimal("-0.50")]
+    assert applied(spark, [-(2**31), 2**31 - 1, 5], "int", "truncate", 10) == [None, 2147483640, 0]
+    assert applied(spark, [7, -7], "int", "truncate", 2**32 - 1) == [0, None] and applied(spark, [-(2**63)], "bigint", "truncate", 10) == [None]
+    assert applied(spark, [Decimal("1.23"), Decimal("-1.23")], "decimal(3,2)", "truncate", 5000) == [Decimal("0.00"), None]
+    assert applied(spark, ["abc"], "string", "truncate", 2**32 - 1) == ["abc"]
     assert applied(spark, ["iceland", "🙂🙂🙂🙂", "a", "", None], "string", "truncate", 3) == ["ice", "🙂🙂🙂", "a", "", None]
     assert applied(spark, [bytearray(b"abcd"), None], "binary", "truncate", 2) == [bytearray(b"ab"), None]
     assert applied(spark, ["a", None], "string", "identity") == ["a", None]
