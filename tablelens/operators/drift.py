@@ -5,9 +5,9 @@ paths (field ids, at any depth) keep every alternative form they ever had, as
 ``(ordinal of the schema, name, type tag)``. A change is an alternative that
 appears or ends between two neighbouring ordinals.
 
-Fusing is a grouped aggregation by (table, field id, block of ordinals). A
-block holds at most ``BLOCK`` schemas plus the last one before it, so no group
-grows with the data, and the one shuffle is by a key that no table dominates.
+Forms are fused by (table, field id, block of ordinals). A block holds at most
+``BLOCK`` schemas plus the last one before it, so no group grows with the data,
+and their shuffle is by a key that no table dominates.
 """
 
 from __future__ import annotations
@@ -26,104 +26,126 @@ from tablelens.operators.fieldtree import inner, tag_of
 from tablelens.shared import exact, materialize, ship
 
 BLOCK = 256
-_FLAT = "table_uuid string, schema_id int, top_id int, id int, parent_id int, name string, tag string, loaded_at timestamp_ntz"
+SPAN = 1024
+HOT_ROWS = 100_000
+_KEPT = {"table_uuid": "string", "schema_id": "int", "loaded_at": "timestamp_ntz", "ord": "bigint", "prev_id": "int", "next_id": "int"}
+_FOUND = {"id": pa.int32(), "top_id": pa.int32(), "parent_id": pa.int32(), "name": pa.string(), "tag": pa.string()}
 
 
-def latest_fields(fields: DataFrame) -> DataFrame:
+def _fields(fields: DataFrame) -> DataFrame:
+    """The columns used; rows without table_uuid, schema_id or id are no fields."""
+    columns = exact(fields, "table_uuid", "schema_id", "id", "name", "field_type", "loaded_at")
+    typed = columns.select("table_uuid", F.col("schema_id").cast("int").alias("schema_id"), F.col("id").cast("int").alias("id"), "name", F.col("field_type").cast("string").alias("field_type"), F.col("loaded_at").cast("timestamp_ntz").alias("loaded_at"))
+    return typed.filter(F.col("table_uuid").isNotNull() & F.col("schema_id").isNotNull() & F.col("id").isNotNull())
+
+
+def latest_fields(fields: DataFrame, by_schema: bool = False) -> DataFrame:
     """Of several rows of a field (table, schema, id) the one loaded last; among
-    equal times the greatest (name, type). Rows without schema_id or id are no fields."""
-    best = F.max(F.struct(F.col("loaded_at").cast("timestamp_ntz").alias("loaded_at"), "name", F.col("field_type").cast("string").alias("field_type")))
-    return (
-        exact(fields, "table_uuid", "schema_id", "id", "name", "field_type", "loaded_at")
-        .filter(F.col("schema_id").isNotNull() & F.col("id").isNotNull())
-        .groupBy("table_uuid", F.col("schema_id").cast("int").alias("schema_id"), F.col("id").cast("int").alias("id"))
-        .agg(best.alias("b"))
-        .select("table_uuid", "schema_id", "id", "b.name", "b.field_type", "b.loaded_at")
-    )
+    equal times the greatest (name, type). With by_schema the rows are partitioned
+    by (table, schema) for what follows, instead of being aggregated before the shuffle."""
+    rows = _fields(fields)
+    rows = rows.repartition("table_uuid", "schema_id") if by_schema else rows
+    best = rows.groupBy("table_uuid", "schema_id", "id").agg(F.max(F.struct("loaded_at", "name", "field_type")).alias("b"))
+    return best.select("table_uuid", "schema_id", "id", "b.name", "b.field_type", "b.loaded_at")
 
 
-def _flatten(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _flatten(batches: Iterator[pa.RecordBatch], kept: list[str]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         ids, names, types = batch["id"].to_pylist(), batch["name"].to_pylist(), batch["field_type"].to_pylist()
         rows: list[int] = []
         found: list[tuple] = []
         for row, (top, name, text) in enumerate(zip(ids, names, types)):
             rows.append(row)
-            found.append((top, None, name, None if text is None else tag_of(text)))
+            found.append((top, top, None, name, None if text is None else tag_of(text)))
             if text is not None and "{" in text:
                 for field, above, inner_name, tag in inner(text):
                     rows.append(row)
-                    found.append((field, top if above is None else above, inner_name, tag))
+                    found.append((field, top, top if above is None else above, inner_name, tag))
         take = pa.array(rows, pa.int64())
-        field, above, name, tag = zip(*found) if found else ((), (), (), ())
-        yield pa.RecordBatch.from_arrays(
-            [batch["table_uuid"].take(take), batch["schema_id"].take(take), batch["id"].take(take), pa.array(field, pa.int32()), pa.array(above, pa.int32()), pa.array(name, pa.string()), pa.array(tag, pa.string()), batch["loaded_at"].take(take)],
-            ["table_uuid", "schema_id", "top_id", "id", "parent_id", "name", "tag", "loaded_at"],
-        )
+        columns = zip(*found) if found else [()] * len(_FOUND)
+        yield pa.RecordBatch.from_arrays([*(batch[k].take(take) for k in kept), *(pa.array(c, t) for c, t in zip(columns, _FOUND.values()))], [*kept, *_FOUND])
 
 
 def flatten_fields(fields: DataFrame) -> DataFrame:
-    """One row per field at any depth: the rows given, and those inside their types."""
+    """One row per field at any depth, those given and those inside their types:
+    (id, top_id, parent_id, name, tag), with table, schema, time and ordinals as given."""
     ship(fields.sparkSession)
-    return exact(fields, "table_uuid", "schema_id", "id", "name", "field_type", "loaded_at").mapInArrow(_flatten, _FLAT)
+    kept = [c for c in _KEPT if c in fields.columns]
+    schema = ", ".join(f"{c} {_KEPT[c]}" for c in kept) + ", id int, top_id int, parent_id int, name string, tag string"
+    return exact(fields, *kept, "id", "name", "field_type").mapInArrow(lambda b: _flatten(b, kept), schema)
 
 
 def schema_ordinals(fields: DataFrame) -> DataFrame:
-    """(table_uuid, schema_id, ord, prev_id, next_id) of the schemas present,
-    numbered by schema_id. Counted in ranges of ids first, so that a table with
-    a large part of all schemas is not sorted by one task."""
-    ids = exact(fields, "table_uuid", "schema_id").select("table_uuid", F.col("schema_id").cast("int").alias("schema_id")).filter(F.col("schema_id").isNotNull()).distinct()
-    ids = ids.withColumn("span", F.floor(F.col("schema_id") / 1024))
+    """(table_uuid, schema_id, n, ord, prev_id, next_id) of the schemas present,
+    with their number of rows, numbered by schema_id. Counted in spans of ids
+    first, so that a table with a large part of all schemas is not sorted by one task."""
+    ids = _fields(fields).groupBy("table_uuid", "schema_id").agg(F.count("*").alias("n")).withColumn("span", F.floor(F.col("schema_id") / SPAN))
     within = Window.partitionBy("table_uuid", "span").orderBy("schema_id")
-    spans = ids.groupBy("table_uuid", "span").agg(F.count("*").alias("n"), F.min("schema_id").alias("lo"), F.max("schema_id").alias("hi"))
+    spans = ids.groupBy("table_uuid", "span").agg(F.count("*").alias("c"), F.min("schema_id").alias("lo"), F.max("schema_id").alias("hi"))
     over = Window.partitionBy("table_uuid").orderBy("span")
     spans = spans.select(
-        F.col("table_uuid").alias("st"), F.col("span").alias("ss"), F.lag("hi").over(over).alias("before"), F.lead("lo").over(over).alias("after"),
-        F.coalesce(F.sum("n").over(over.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("base"),
+        "table_uuid", "span", F.lag("hi").over(over).alias("before"), F.lead("lo").over(over).alias("after"),
+        F.coalesce(F.sum("c").over(over.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("base"),
     )
-    local = ids.select("table_uuid", "schema_id", "span", F.row_number().over(within).alias("rn"), F.lag("schema_id").over(within).alias("lag"), F.lead("schema_id").over(within).alias("lead"))
-    joined = local.join(spans, F.col("table_uuid").eqNullSafe(F.col("st")) & (F.col("span") == F.col("ss")))
-    return joined.select("table_uuid", "schema_id", (F.col("base") + F.col("rn") - 1).alias("ord"), F.coalesce("lag", "before").alias("prev_id"), F.coalesce("lead", "after").alias("next_id"))
+    local = ids.select("table_uuid", "schema_id", "n", "span", F.row_number().over(within).alias("rn"), F.lag("schema_id").over(within).alias("lag"), F.lead("schema_id").over(within).alias("lead"))
+    return local.join(spans, ["table_uuid", "span"]).select("table_uuid", "schema_id", "n", (F.col("base") + F.col("rn") - 1).alias("ord"), F.coalesce("lag", "before").alias("prev_id"), F.coalesce("lead", "after").alias("next_id"))
+
 
+def placed_fields(fields: DataFrame) -> DataFrame:
+    """All fields at any depth, as loaded last, with the ordinal of their schema.
 
-def fuse(flat: DataFrame, ordinals: DataFrame) -> DataFrame:
-    """The union: (table_uuid, id, block, forms), forms sorted by ordinal, one per
-    schema that has the id; where a schema has an id twice, the one loaded last
-    (then the greatest) counts. A form also carries the neighbouring schema ids."""
-    o = ordinals.select(F.col("table_uuid").alias("ot"), F.col("schema_id").alias("os"), "ord", "prev_id", "next_id")
-    placed = flat.join(o, F.col("table_uuid").eqNullSafe(F.col("ot")) & (F.col("schema_id") == F.col("os")))
+    One shuffle by (table, schema) serves the choice of the last row and the join
+    with the ordinals. Where some schema was sent so often that its rows would
+    fill a task, the last rows are picked by an aggregation that starts before a
+    shuffle of its own.
+    """
+    ordinals = materialize(schema_ordinals(fields), "ordinals")
+    hot = ordinals.filter(F.col("n") > HOT_ROWS).limit(1).count() > 0
+    return flatten_fields(latest_fields(fields, by_schema=not hot).join(ordinals.drop("n"), ["table_uuid", "schema_id"]))
+
+
+def fuse(placed: DataFrame) -> DataFrame:
+    """The union in rows: (table_uuid, id, block, ord, name, tag, schema_id, prev_id,
+    next_id), the form that each schema gives to an id; where one has an id twice,
+    the form loaded last (then the greatest) counts. A block also holds the last
+    form before it, so that each change lies within one block."""
     blocks = F.array_distinct(F.array(F.floor(F.col("ord") / BLOCK), F.floor((F.col("ord") + 1) / BLOCK)))
-    form = F.struct("ord", "loaded_at", "name", "tag", "schema_id", "prev_id", "next_id")
-    grouped = placed.select("table_uuid", "id", F.explode(blocks).alias("block"), form.alias("form")).groupBy("table_uuid", "id", "block").agg(F.array_sort(F.collect_set("form")).alias("all"))
-    last = F.expr("filter(all, (x, i) -> i = size(all) - 1 or all[i + 1].ord != x.ord)")
-    return grouped.select("table_uuid", "id", "block", last.alias("forms"))
+    forms = placed.select("table_uuid", "id", F.explode(blocks).alias("block"), "ord", "loaded_at", "name", "tag", "schema_id", "prev_id", "next_id")
+    order = Window.partitionBy("table_uuid", "id", "block").orderBy("ord", "loaded_at", "name", "tag")
+    return forms.withColumn("later", F.lead("ord").over(order)).filter(~F.col("later").eqNullSafe(F.col("ord"))).drop("later", "loaded_at")
 
 
 def changes(union: DataFrame) -> DataFrame:
     """(table_uuid, from_schema_id, to_schema_id, id, change_kind): what appears
     or ends in the union between neighbouring schemas."""
-    events = F.expr(f"""
-        flatten(transform(forms, (x, i) -> concat(
-            if(x.prev_id is not null and x.ord div {BLOCK} = block and (i = 0 or forms[i - 1].ord != x.ord - 1),
-               array(named_struct('f', x.prev_id, 't', x.schema_id, 'k', 'added')), array()),
-            if(x.next_id is not null and (x.ord + 1) div {BLOCK} = block and (i = size(forms) - 1 or forms[i + 1].ord != x.ord + 1),
-               array(named_struct('f', x.schema_id, 't', x.next_id, 'k', 'removed')), array()),
-            if(i > 0 and forms[greatest(i - 1, 0)].ord = x.ord - 1 and not (forms[greatest(i - 1, 0)].name <=> x.name),
-               array(named_struct('f', x.prev_id, 't', x.schema_id, 'k', 'renamed')), array()),
-            if(i > 0 and forms[greatest(i - 1, 0)].ord = x.ord - 1 and not (forms[greatest(i - 1, 0)].tag <=> x.tag),
-               array(named_struct('f', x.prev_id, 't', x.schema_id, 'k', 'type_changed')), array()))))
-    """)
-    return union.select("table_uuid", "id", F.explode(events).alias("e")).select("table_uuid", F.col("e.f").alias("from_schema_id"), F.col("e.t").alias("to_schema_id"), "id", F.col("e.k").alias("change_kind"))
+    order = Window.partitionBy("table_uuid", "id", "block").orderBy("ord")
+    near = union.select("*", *(F.lag(c).over(order).alias(f"old_{c}") for c in ("ord", "name", "tag")), F.lead("ord").over(order).alias("next_ord"))
+    here = F.floor(F.col("ord") / BLOCK) == F.col("block")
+    leaves = F.floor((F.col("ord") + 1) / BLOCK) == F.col("block")
+    goes_on = F.coalesce(F.col("old_ord") == F.col("ord") - 1, F.lit(False))
+    stays = F.coalesce(F.col("next_ord") == F.col("ord") + 1, F.lit(False))
+
+    def event(when: Column, old: str, new: str, kind: str) -> Column:
+        return F.when(when, F.struct(F.col(old).alias("f"), F.col(new).alias("t"), F.lit(kind).alias("k")))
+
+    events = F.array(
+        event(F.col("prev_id").isNotNull() & here & ~goes_on, "prev_id", "schema_id", "added"),
+        event(F.col("next_id").isNotNull() & leaves & ~stays, "schema_id", "next_id", "removed"),
+        event(goes_on & ~F.col("old_name").eqNullSafe(F.col("name")), "prev_id", "schema_id", "renamed"),
+        event(goes_on & ~F.col("old_tag").eqNullSafe(F.col("tag")), "prev_id", "schema_id", "type_changed"),
+    )
+    found = near.select("table_uuid", "id", F.explode(events).alias("e")).filter(F.col("e").isNotNull())
+    return found.select("table_uuid", F.col("e.f").alias("from_schema_id"), F.col("e.t").alias("to_schema_id"), "id", F.col("e.k").alias("change_kind"))
 
 
 def schema_changes(fields: DataFrame) -> DataFrame:
     """Every change between consecutive schemas of each table.
 
-    A null table_uuid is a table of its own. Names are compared exactly (null
-    equals null); a field that is nowhere else in the table and a table with one
-    schema have no changes; an empty input gives no rows.
+    Rows without table_uuid, schema_id or id are no fields. Names are compared
+    exactly (null equals null); a table with one schema has no changes; an empty
+    input gives no rows.
     """
-    return changes(fuse(flatten_fields(latest_fields(fields)), schema_ordinals(fields)))
+    return changes(fuse(placed_fields(fields)))
 
 
 # ---------------------------------------------------------------- the consistent shape
@@ -154,10 +176,7 @@ def fused_schema(fields: DataFrame) -> DataFrame:
     first ordinal. Forms are counted before they are gathered, so that the list
     is bounded by the number of different forms.
     """
-    flat, ordinals = flatten_fields(latest_fields(fields)), schema_ordinals(fields)
-    o = ordinals.select(F.col("table_uuid").alias("ot"), F.col("schema_id").alias("os"), "ord")
-    placed = flat.join(o, F.col("table_uuid").eqNullSafe(F.col("ot")) & (F.col("schema_id") == F.col("os")))
-    forms = placed.groupBy("table_uuid", "id", "name", "tag").agg(F.min("ord").alias("first"), F.max("ord").alias("last"), F.count_distinct("ord").alias("schemas"), F.max(F.struct("ord", "loaded_at", "parent_id")).alias("p"))
+    forms = placed_fields(fields).groupBy("table_uuid", "id", "name", "tag").agg(F.min("ord").alias("first"), F.max("ord").alias("last"), F.count_distinct("ord").alias("schemas"), F.max(F.struct("ord", "loaded_at", "parent_id")).alias("p"))
     union = forms.groupBy("table_uuid", "id").agg(
         F.max(F.struct("last", "p.loaded_at", "p.parent_id", "name")).alias("now"),
         F.array_sort(F.collect_list(F.struct("first", "last", "name", "tag", "schemas"))).alias("alternatives"),
@@ -255,16 +274,13 @@ def unify_rows(rows: DataFrame, fields: DataFrame) -> DataFrame:
     Spark at run time. Each table's shape is bounded by its number of fields.
     """
     ship(rows.sparkSession)
-    flat = materialize(latest_fields(fields).select("table_uuid", "schema_id", "id", "name", "field_type", "loaded_at").mapInArrow(_flatten, _FLAT).filter(F.col("parent_id").isNull()), "fields")
-    ordinals = schema_ordinals(fields)
-    o = ordinals.select(F.col("table_uuid").alias("ot"), F.col("schema_id").alias("os"), "ord")
-    placed = flat.join(o, F.col("table_uuid").eqNullSafe(F.col("ot")) & (F.col("schema_id") == F.col("os")))
-    per_id = placed.groupBy(F.col("table_uuid").alias("ut"), F.col("id").alias("uid")).agg(F.max(F.struct("ord", "name")).alias("now"), F.array_sort(F.collect_set("tag")).alias("tags"))
+    flat = materialize(placed_fields(fields).filter(F.col("parent_id").isNull()), "fields")
+    per_id = flat.groupBy(F.col("table_uuid").alias("ut"), F.col("id").alias("uid")).agg(F.max(F.struct("ord", "name")).alias("now"), F.array_sort(F.collect_set("tag")).alias("tags"))
     per_id = per_id.select("ut", "uid", F.col("now.name").alias("now_name"), canonical_type("tags").alias("canonical_type"))
     per_table = per_id.groupBy("ut").agg(F.array_sort(F.collect_list(F.struct("uid", "now_name", "canonical_type"))).alias("all_fields"))
     per_schema = flat.groupBy("table_uuid", "schema_id").agg(F.map_from_entries(F.collect_list(F.struct("id", F.struct("name", "tag")))).alias("written"))
     shape = F.expr("transform(all_fields, f -> named_struct('id', f.uid, 'name', f.now_name, 'branch', written[f.uid].tag, 'canonical_type', f.canonical_type, 'written', written[f.uid] is not null, 'written_name', written[f.uid].name))")
-    shapes = per_schema.join(per_table, F.col("table_uuid").eqNullSafe(F.col("ut"))).select(F.col("table_uuid").alias("st"), F.col("schema_id").alias("ss"), F.to_json(shape).alias("shape"))
-    joined = exact(rows, "row_id", "table_uuid", "schema_id", "payload").select("row_id", "table_uuid", F.col("schema_id").cast("int").alias("schema_id"), "payload").join(shapes, F.col("table_uuid").eqNullSafe(F.col("st")) & (F.col("schema_id") == F.col("ss")), "left")
+    shapes = per_schema.join(per_table, F.col("table_uuid") == F.col("ut")).select(F.col("table_uuid").alias("st"), F.col("schema_id").alias("ss"), F.to_json(shape).alias("shape"))
+    joined = exact(rows, "row_id", "table_uuid", "schema_id", "payload").select("row_id", "table_uuid", F.col("schema_id").cast("int").alias("schema_id"), "payload").join(shapes, (F.col("table_uuid") == F.col("st")) & (F.col("schema_id") == F.col("ss")), "left")
     kind = "row_id bigint, table_uuid string, schema_id int, fields array<struct<id int, name string, branch string, canonical_type string, value string, state string>>, rest map<string,string>"
     return joined.select("row_id", "table_uuid", "schema_id", "payload", "shape").mapInArrow(_unify, kind)

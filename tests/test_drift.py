@@ -22,7 +22,7 @@ def row(t, s, i, name, kind, day=0):
 def brute(rows):
     best = {}
     for t, s, _, i, name, _, kind, _, at in rows:
-        if s is None or i is None:
+        if t is None or s is None or i is None:
             continue
         key = (at is not None, at or T0, name is not None, name or "", kind is not None, kind or "")
         if (t, s, i) not in best or key > best[(t, s, i)][0]:
@@ -82,9 +82,10 @@ def random_rows(seed):
     return rows
 
 
-@pytest.mark.parametrize("seed,block", [(1, 256), (2, 3), (3, 1)])
-def test_changes(spark, monkeypatch, seed, block):
+@pytest.mark.parametrize("seed,block,hot", [(1, 256, 10**5), (2, 3, 2), (3, 1, 10**5)])
+def test_changes(spark, monkeypatch, seed, block, hot):
     monkeypatch.setattr(drift, "BLOCK", block)
+    monkeypatch.setattr(drift, "HOT_ROWS", hot)
     rows = random_rows(seed)
     got = drift.schema_changes(spark.createDataFrame(rows, SCHEMA)).collect()
     assert sorted((tuple(r) for r in got), key=str) == brute(rows)
@@ -94,7 +95,7 @@ def test_ordinals_over_spans(spark):
     ids = [-2000, -1, 0, 5, 1023, 1024, 5000]
     rows = [row("a", s, 1, "n", "int") for s in ids]
     got = sorted(tuple(r)[1:] for r in drift.schema_ordinals(spark.createDataFrame(rows, SCHEMA)).collect())
-    assert got == [(s, k, ids[k - 1] if k else None, ids[k + 1] if k + 1 < len(ids) else None) for k, s in enumerate(ids)]
+    assert got == [(s, 1, k, ids[k - 1] if k else None, ids[k + 1] if k + 1 < len(ids) else None) for k, s in enumerate(ids)]
 
 
 def test_fused_schema(spark):
