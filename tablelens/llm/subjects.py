@@ -425,10 +425,12 @@ def _calibrate(x: np.ndarray, source: np.ndarray, y: np.ndarray, order: list[int
 # ---------------------------------------------------------------- on Spark
 
 
-def fit_subjects(docs: DataFrame, labels: DataFrame, subjects: DataFrame, sample: int = 10_000, longest: int = 200_000) -> SubjectModel:
+def fit_subjects(docs: DataFrame, labels: DataFrame, subjects: DataFrame, sample: int = 10_000, longest: int = 20_000, sample_chars: int = 24_000_000) -> SubjectModel:
     """A model from at most ``sample`` labelled documents, taken by a hash of
-    doc_id; labelled documents of more than ``longest`` characters are no training
-    rows. Everything else than this fit sees all documents.
+    doc_id, and of those as many as have ``sample_chars`` characters together, which
+    bounds the driver's memory; labelled documents of more than ``longest``
+    characters are no training rows. Everything else than this fit sees all
+    documents, whole.
 
     A null subject means none; a document with several labels has all of them.
     Without labels the model gives no subject to any document.
@@ -440,9 +442,11 @@ def fit_subjects(docs: DataFrame, labels: DataFrame, subjects: DataFrame, sample
         .orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
     )
     labelled = exact(docs, "doc_id", "text", "source").select("doc_id", "text", canonical_source(F.col("source")).alias("source")).filter(F.length("text") <= longest)
-    rows = labelled.join(F.broadcast(picked.withColumnRenamed("doc_id", "labelled_id")), F.col("doc_id") == F.col("labelled_id")).select("doc_id", "text", "source", "labels").collect()
-    rows.sort(key=lambda r: (r["doc_id"], r["text"] or ""))
-    rows = rows[: 2 * sample]  # doc_id is unique; this bounds the fit where it isn't
+    picked = picked.withColumnRenamed("doc_id", "labelled_id")  # at most sample rows
+    rows = labelled.join(F.broadcast(picked), F.col("doc_id") == F.col("labelled_id")).select(F.xxhash64("doc_id").alias("h"), "doc_id", "text", "source", "labels").collect()
+    rows.sort(key=lambda r: (r["h"], r["doc_id"], r["text"]))
+    ends = np.cumsum([len(r["text"]) for r in rows])
+    rows = [r for r, end in zip(rows, ends) if end <= sample_chars]
     return train([r["text"] for r in rows], [r["source"] or "" for r in rows], [frozenset(r["labels"]) for r in rows], names)
 
 

@@ -7,6 +7,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from tablelens.llm import subjects
 from tablelens.llm.common import canonical_source
 from tablelens.llm.subjects import CHANGE, MESSAGE, PATH, Terms, assign_subjects, fit_subjects, read_lines, train
 
@@ -74,6 +75,19 @@ def test_no_labels_and_no_subjects(spark):
     assert assign_subjects(docs.limit(0), model).collect() == []
 
 
+def test_sample_is_bounded(spark, monkeypatch):
+    docs = spark.createDataFrame([(i, "the violin " * (1 + i % 50), "s") for i in range(300)], "doc_id bigint, text string, source string")
+    labels = spark.createDataFrame([(i, "music") for i in range(300)], "doc_id bigint, subject string")
+    names = spark.createDataFrame([("music",)], "subject string")
+    seen = []
+    monkeypatch.setattr(subjects, "train", lambda texts, *rest: seen.append(texts))
+    for how in ({"sample": 40}, {"sample_chars": 9_000}, {"longest": 100}, {}):
+        fit_subjects(docs, labels, names, **how)
+    assert len(seen[0]) == 40 and 0 < sum(map(len, seen[1])) <= 9_000 and max(map(len, seen[2])) <= 100 and len(seen[3]) == 300
+    fit_subjects(docs.repartition(5), labels, names, sample_chars=9_000)
+    assert seen[4] == seen[1]
+
+
 def test_canonical_source(spark):
     df = spark.createDataFrame([("Forge-Alpha ",), (" forge_alpha",), ("FORGE  ALPHA\t",), (None,), ("",)], "s string")
     assert [r[0] for r in df.select(canonical_source(F.col("s"))).collect()] == ["forge_alpha"] * 3 + [None, ""]
