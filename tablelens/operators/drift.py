@@ -13,16 +13,17 @@ and their shuffle is by a key that no table dominates.
 from __future__ import annotations
 
 import json
+import sys
 from collections.abc import Iterator
 from decimal import Decimal, InvalidOperation
 from functools import lru_cache
-from typing import Any
+from typing import Any, NamedTuple
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tablelens.operators.fieldtree import inner, tag_of
+from tablelens.operators.fieldtree import NESTED, as_int, children, get, inner, opened, tag_of, type_tag
 from tablelens.shared import exact, materialize, ship
 
 BLOCK = 256
@@ -66,13 +67,15 @@ def _flatten(batches: Iterator[pa.RecordBatch], kept: list[str]) -> Iterator[pa.
         yield pa.RecordBatch.from_arrays([*(batch[k].take(take) for k in kept), *(pa.array(c, t) for c, t in zip(columns, _FOUND.values()))], [*kept, *_FOUND])
 
 
-def flatten_fields(fields: DataFrame) -> DataFrame:
+def flatten_fields(fields: DataFrame, types: bool = False) -> DataFrame:
     """One row per field at any depth, those given and those inside their types:
-    (id, top_id, parent_id, name, tag), with table, schema, time and ordinals as given."""
+    (id, top_id, parent_id, name, tag), with table, schema, time and ordinals as given;
+    with types also the given field_type that each was found in."""
     ship(fields.sparkSession)
-    kept = [c for c in _KEPT if c in fields.columns]
-    schema = ", ".join(f"{c} {_KEPT[c]}" for c in kept) + ", id int, top_id int, parent_id int, name string, tag string"
-    return exact(fields, *kept, "id", "name", "field_type").mapInArrow(lambda b: _flatten(b, kept), schema)
+    kinds = _KEPT | ({"field_type": "string"} if types else {})
+    kept = [c for c in kinds if c in fields.columns]
+    schema = ", ".join(f"{c} {kinds[c]}" for c in kept) + ", id int, top_id int, parent_id int, name string, tag string"
+    return exact(fields, *dict.fromkeys([*kept, "id", "name", "field_type"])).mapInArrow(lambda b: _flatten(b, kept), schema)
 
 
 def schema_ordinals(fields: DataFrame) -> DataFrame:
@@ -91,7 +94,7 @@ def schema_ordinals(fields: DataFrame) -> DataFrame:
     return local.join(spans, ["table_uuid", "span"]).select("table_uuid", "schema_id", "n", (F.col("base") + F.col("rn") - 1).alias("ord"), F.coalesce("lag", "before").alias("prev_id"), F.coalesce("lead", "after").alias("next_id"))
 
 
-def placed_fields(fields: DataFrame) -> DataFrame:
+def placed_fields(fields: DataFrame, types: bool = False) -> DataFrame:
     """All fields at any depth, as loaded last, with the ordinal of their schema.
 
     One shuffle by (table, schema) serves the choice of the last row and the join
@@ -101,7 +104,7 @@ def placed_fields(fields: DataFrame) -> DataFrame:
     """
     ordinals = materialize(schema_ordinals(fields), "ordinals")
     hot = ordinals.filter(F.col("n") > HOT_ROWS).limit(1).count() > 0
-    return flatten_fields(latest_fields(fields, by_schema=not hot).join(ordinals.drop("n"), ["table_uuid", "schema_id"]))
+    return flatten_fields(latest_fields(fields, by_schema=not hot).join(ordinals.drop("n"), ["table_uuid", "schema_id"]), types)
 
 
 def fuse(placed: DataFrame) -> DataFrame:
@@ -185,12 +188,26 @@ def fused_schema(fields: DataFrame) -> DataFrame:
     return tags.select("table_uuid", "id", "now.parent_id", "now.name", canonical_type("tags").alias("canonical_type"), "alternatives")
 
 
+def _json(value: Any) -> str:
+    """Compact JSON text, keys sorted, numbers with all their digits."""
+    if isinstance(value, dict):
+        return "{" + ",".join(f"{_json(k)}:{_json(v)}" for k, v in sorted(value.items())) + "}"
+    if isinstance(value, list):
+        return "[" + ",".join(map(_json, value)) + "]"
+    if isinstance(value, Decimal):
+        text = str(value)
+        if "." in text and "E" not in text:
+            text = text.rstrip("0")
+        return text + "0" if text.endswith(".") else text
+    return json.dumps(value, ensure_ascii=False)
+
+
 def _canonical(value: Any, tag: str | None) -> tuple[str | None, bool]:
     """(text in canonical form, whether the value fits the type)."""
     if value is None:
         return None, True
     if isinstance(value, (dict, list)):
-        return json.dumps(value, ensure_ascii=False, sort_keys=True, separators=(",", ":"), default=float), tag in ("struct", "list", "map", "string", None)
+        return _json(value), tag in ("struct", "list", "map", "string", None)
     if isinstance(value, bool):
         return ("true" if value else "false"), tag in ("boolean", "string")
     text = str(value)
@@ -212,31 +229,146 @@ def _canonical(value: Any, tag: str | None) -> tuple[str | None, bool]:
     return text, tag not in ("struct", "list", "map")
 
 
+class _Node(NamedTuple):
+    """A field as a schema writes it, with its place in the one shape. key is the
+    written key, None where the schema lacks the field; out the key in the shape.
+    inner: the fields of a struct, the element, or key and value, where None has no id."""
+
+    id: int
+    key: str | None
+    out: str
+    name: str | None
+    branch: str | None
+    canonical: str | None
+    inner: tuple[_Node | None, ...] = ()
+
+
+def _inner_nodes(kind: Any, parent: int, union: dict[int, dict[int, tuple]]) -> tuple[_Node | None, ...]:
+    """The nodes under a type; union: by parent and id the present name, canonical type
+    and last ordinal of all inner fields that the table ever had."""
+    kind = opened(kind)
+    ever, tag = union.get(parent, {}), type_tag(kind)
+
+    def node(field: int, key: str | None, out: str, inside: Any) -> _Node:
+        name, canonical, _ = ever[field]
+        return _Node(field, key, out, name, type_tag(inside), canonical, _inner_nodes(inside, field, union))
+
+    if not isinstance(kind, dict) or tag not in NESTED:
+        return ()
+    if tag == "list":
+        field = as_int(get(kind, "element-id"))
+        return (None if field is None else node(field, "", "", kind.get("element")),)
+    if tag == "map":
+        ids = [(as_int(get(kind, f"{part}-id")), kind.get(part)) for part in ("key", "value")]
+        return tuple(None if field is None else node(field, "", "", inside) for field, inside in ids)
+    outs: dict[int, str] = {}
+    for field, (name, _, _) in sorted(ever.items(), key=lambda x: (-x[1][2], -x[0])):  # of equal names the last one's is plain
+        out = name or ""
+        outs[field] = out if out not in outs.values() else f"{out}#{field}"
+    written = [node(field, name or "", outs[field], inside) for field, name, inside in children(kind)]
+    there = {n.id for n in written}
+    return (*written, *(_Node(i, None, outs[i], name, None, canonical) for i, (name, canonical, _) in sorted(ever.items()) if i not in there))
+
+
 @lru_cache(maxsize=20_000)
 def _columns(shape: str | None) -> tuple[list, list, list, list, list]:
-    """ids, present names, branches, canonical types and written keys of a shape's
-    JSON text, which all rows of a schema share; a field that the schema lacks has
-    no written key."""
-    fields = json.loads(shape) if shape else []
-    written = [f.get("written_name", "") if f.get("written") else None for f in fields]
-    return [f["id"] for f in fields], [f.get("name") for f in fields], [f.get("branch") for f in fields], [f.get("canonical_type") for f in fields], written
+    """ids, present names, branches, canonical types and nodes of a shape's JSON
+    text, which all rows of a schema share; a field that the schema lacks has no
+    written key in its node."""
+    found = json.loads(shape) if shape else {}
+    fields = found.get("fields", [])
+    union: dict[int, dict[int, tuple]] = {}
+    for f in found.get("inner") or ():
+        union.setdefault(f["p"], {})[f["i"]] = (f.get("n"), f.get("c"), f["o"])
+    nodes = []
+    for f in fields:
+        written = f.get("written_name", "") if f.get("written") else None
+        nodes.append(_Node(f["id"], written, f.get("name") or "", f.get("name"), f.get("branch"), f.get("canonical_type"), _inner_nodes(f.get("kind"), f["id"], union)))
+    return [f["id"] for f in fields], [f.get("name") for f in fields], [f.get("branch") for f in fields], [f.get("canonical_type") for f in fields], nodes
+
+
+def _free(key: str, taken: dict) -> str:
+    while key in taken:
+        key += "#"
+    return key
+
+
+def _shaped(value: Any, node: _Node, path: tuple[str, ...], found: list[tuple]) -> tuple[str, str | None, bool]:
+    """(JSON, text, whether it fits) of a value in the one shape; what is inside goes to found."""
+    if value is None:
+        return "null", None, True
+    if not isinstance(value, (dict, list)):
+        text, fits = _canonical(value, node.canonical)
+        if not fits or node.canonical is None:
+            return _json(value), text, fits
+        bare = node.canonical in ("int", "long", "boolean") or (node.canonical in ("float", "double") and Decimal(text).is_finite())
+        return text if bare else _json(text), text, True
+    if node.branch not in NESTED:
+        text, fits = _canonical(value, node.canonical)
+        return _json(text) if node.canonical == "string" else text, text, fits
+    if isinstance(value, list) != (node.branch == "list"):
+        return _json(value), _json(value), False
+    pairs: dict[str, str] = {}
+    if node.branch == "struct":
+        for child in node.inner:
+            pairs[child.out] = _visit(value, child.key, child, (*path, child.out), found)
+        known = {child.key for child in node.inner}
+        for key in sorted(value.keys() - known):
+            out = _free(key, pairs)
+            pairs[out] = _json(value[key])
+            found.append(((*path, out), None, key, None, None, _canonical(value[key], None)[0], "unknown"))
+    elif node.branch == "list":
+        (element,) = node.inner or (None,)
+        text = "[" + ",".join(_json(v) if element is None else _visit(value, i, element, (*path, str(i)), found) for i, v in enumerate(value)) + "]"
+    else:
+        name, inside = node.inner or (None, None)
+        for key in sorted(value):
+            text, fits = (key, True) if name is None else _canonical(key, name.canonical)
+            out = _free(text, pairs)
+            at = (*path, out)
+            if name is not None:
+                found.append((at, name.id, name.name, name.branch, name.canonical, text, "ok" if fits else "misfit"))
+            pairs[out] = ""
+            pairs[out] = _json(value[key]) if inside is None else _visit(value, key, inside, at, found)
+    if node.branch != "list":
+        text = "{" + ",".join(f"{_json(k)}:{v}" for k, v in sorted(pairs.items())) + "}"
+    return _json(text) if node.canonical == "string" else text, text, node.canonical in (node.branch, "string", None)
+
+
+def _visit(record: Any, key: Any, node: _Node, path: tuple[str, ...], found: list[tuple]) -> str:
+    """JSON of an inner value, whose own entry goes to found before those inside it."""
+    at = len(found)
+    found.append(())
+    if node.key is None or (isinstance(record, dict) and key not in record):
+        out, text, state = "null", None, "absent" if node.key is None else "missing"
+    else:
+        out, text, fits = _shaped(record[key], node, path, found)
+        state = "null" if record[key] is None else "ok" if fits else "misfit"
+        if state == "ok" and node.canonical in NESTED:
+            text = None
+    found[at] = (path, node.id, node.name, node.branch, node.canonical, text, state)
+    return out
 
 
 def _unify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     names = ["id", "name", "branch", "canonical_type", "value", "state"]
+    sys.setrecursionlimit(max(sys.getrecursionlimit(), 200_000))  # _shaped goes as deep as json reads
     for batch in batches:
         parts: tuple[list, ...] = ([], [], [], [])
         values, states, ends, rest = [], [], [0], []
+        found: list[tuple] = []
+        inner_ends = [0]
         for payload, shape in zip(batch["payload"].to_pylist(), batch["shape"].to_pylist()):
             try:
                 record = json.loads(payload, parse_float=Decimal) if payload else {}
             except (ValueError, RecursionError):
                 record = None
-            *shared, written = _columns(shape)
+            *shared, nodes = _columns(shape)
             for whole, own in zip(parts, shared):
                 whole.extend(own)
             if isinstance(record, dict):
-                for key, kind in zip(written, shared[3]):
+                for node in nodes:
+                    key = node.key
                     if key is None:
                         values.append(None)
                         states.append("absent")
@@ -244,24 +376,28 @@ def _unify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                         values.append(None)
                         states.append("missing")
                     else:
-                        text, fits = _canonical(record[key], kind)
+                        _, text, fits = _shaped(record[key], node, (node.out,), found)
                         values.append(text)
                         states.append("null" if record[key] is None else "ok" if fits else "misfit")
-                known = set(written)
+                known = {node.key for node in nodes}
                 rest.append(sorted((k, _canonical(v, None)[0]) for k, v in record.items() if k not in known))
             else:
-                values.extend([None] * len(written))
-                states.extend(["unreadable"] * len(written))
+                values.extend([None] * len(nodes))
+                states.extend(["unreadable"] * len(nodes))
                 rest.append([])
             ends.append(len(values))
+            inner_ends.append(len(found))
         columns = [pa.array(parts[0], pa.int32()), *(pa.array(x, pa.string()) for x in (*parts[1:], values, states))]
         fields = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.StructArray.from_arrays(columns, names))
-        yield pa.RecordBatch.from_arrays([batch["row_id"], batch["table_uuid"], batch["schema_id"], fields, pa.array(rest, pa.map_(pa.string(), pa.string()))], ["row_id", "table_uuid", "schema_id", "fields", "rest"])
+        paths, ids, *others = zip(*found) if found else [()] * 7
+        columns = [pa.array(paths, pa.list_(pa.string())), pa.array(ids, pa.int32()), *(pa.array(x, pa.string()) for x in others)]
+        insides = pa.ListArray.from_arrays(pa.array(inner_ends, pa.int32()), pa.StructArray.from_arrays(columns, ["path", *names]))
+        yield pa.RecordBatch.from_arrays([batch["row_id"], batch["table_uuid"], batch["schema_id"], fields, insides, pa.array(rest, pa.map_(pa.string(), pa.string()))], ["row_id", "table_uuid", "schema_id", "fields", "inner", "rest"])
 
 
 def unify_rows(rows: DataFrame, fields: DataFrame) -> DataFrame:
     """All rows of a table in one consistent shape: (row_id, table_uuid, schema_id,
-    fields, rest), fields with one entry per top-level field id that the
+    fields, inner, rest), fields with one entry per top-level field id that the
     table ever had, by id: its present name, the branch (the type the row was
     written with, null where its schema lacks the field), the canonical type,
     the value as text in canonical form, and its state: ok, null, missing (an
@@ -270,17 +406,32 @@ def unify_rows(rows: DataFrame, fields: DataFrame) -> DataFrame:
     object). Keys that the schema lacks, all of them where the schema itself is
     unknown, are kept with their values as text in rest.
 
+    Structs, lists and maps are brought into the shape at any depth, by the ids
+    inside the type they were written with, an id being matched under its parent's:
+    the value is JSON in which a struct has all fields that it ever had in the
+    table under their present names (of several with one name the last has it
+    plain, others have #id behind it), numbers and booleans as such, decimals and
+    all others as text, misfits as written, and keys that the schema lacks as they
+    are (with # behind one that is taken). inner has an entry for each field,
+    element, key and value inside, outer ones first: its path (present names,
+    positions, keys), and the rest as in fields; value is null for nested ones that
+    are in their parent's JSON, id for unknown keys, whose state is unknown.
+
     Schemas are joined by (table, schema) to the rows; a hot schema is split by
     Spark at run time. Each table's shape is bounded by its number of fields.
     """
     ship(rows.sparkSession)
-    flat = materialize(placed_fields(fields).filter(F.col("parent_id").isNull()), "fields")
+    every = materialize(placed_fields(fields, types=True), "fields")
+    flat = every.filter(F.col("parent_id").isNull())
     per_id = flat.groupBy(F.col("table_uuid").alias("ut"), F.col("id").alias("uid")).agg(F.max(F.struct("ord", "name")).alias("now"), F.array_sort(F.collect_set("tag")).alias("tags"))
     per_id = per_id.select("ut", "uid", F.col("now.name").alias("now_name"), canonical_type("tags").alias("canonical_type"))
     per_table = per_id.groupBy("ut").agg(F.array_sort(F.collect_list(F.struct("uid", "now_name", "canonical_type"))).alias("all_fields"))
-    per_schema = flat.groupBy("table_uuid", "schema_id").agg(F.map_from_entries(F.collect_list(F.struct("id", F.struct("name", "tag")))).alias("written"))
-    shape = F.expr("transform(all_fields, f -> named_struct('id', f.uid, 'name', f.now_name, 'branch', written[f.uid].tag, 'canonical_type', f.canonical_type, 'written', written[f.uid] is not null, 'written_name', written[f.uid].name))")
-    shapes = per_schema.join(per_table, F.col("table_uuid") == F.col("ut")).select(F.col("table_uuid").alias("st"), F.col("schema_id").alias("ss"), F.to_json(shape).alias("shape"))
+    per_inner = every.filter(F.col("parent_id").isNotNull()).groupBy(F.col("table_uuid").alias("ut"), F.col("parent_id").alias("p"), F.col("id").alias("i")).agg(F.max(F.struct("ord", "loaded_at", "name")).alias("now"), F.array_sort(F.collect_set("tag")).alias("tags"))
+    per_inner = per_inner.select("ut", F.struct("p", "i", F.col("now.name").alias("n"), canonical_type("tags").alias("c"), F.col("now.ord").alias("o")).alias("f"))
+    per_table = per_table.join(per_inner.groupBy(F.col("ut").alias("it")).agg(F.array_sort(F.collect_list("f")).alias("all_inner")), F.col("ut") == F.col("it"), "left")
+    per_schema = flat.groupBy("table_uuid", "schema_id").agg(F.map_from_entries(F.collect_list(F.struct("id", F.struct("name", "tag", F.when(F.contains("field_type", F.lit("{")), F.col("field_type")).alias("kind"))))).alias("written"))
+    shape = F.expr("transform(all_fields, f -> named_struct('id', f.uid, 'name', f.now_name, 'branch', written[f.uid].tag, 'canonical_type', f.canonical_type, 'written', written[f.uid] is not null, 'written_name', written[f.uid].name, 'kind', written[f.uid].kind))")
+    shapes = per_schema.join(per_table, F.col("table_uuid") == F.col("ut")).select(F.col("table_uuid").alias("st"), F.col("schema_id").alias("ss"), F.to_json(F.struct(shape.alias("fields"), F.col("all_inner").alias("inner"))).alias("shape"))
     joined = exact(rows, "row_id", "table_uuid", "schema_id", "payload").select("row_id", "table_uuid", F.col("schema_id").cast("int").alias("schema_id"), "payload").join(shapes, (F.col("table_uuid") == F.col("st")) & (F.col("schema_id") == F.col("ss")), "left")
-    kind = "row_id bigint, table_uuid string, schema_id int, fields array<struct<id int, name string, branch string, canonical_type string, value string, state string>>, rest map<string,string>"
+    kind = "row_id bigint, table_uuid string, schema_id int, fields array<struct<id int, name string, branch string, canonical_type string, value string, state string>>, inner array<struct<path array<string>, id int, name string, branch string, canonical_type string, value string, state string>>, rest map<string,string>"
     return joined.select("row_id", "table_uuid", "schema_id", "payload", "shape").mapInArrow(_unify, kind)

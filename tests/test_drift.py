@@ -118,6 +118,25 @@ def test_rows_in_one_shape(spark):
     assert len(got) == 8 and got[5]["rest"] == {"q": "[1]"}
 
 
+def test_rows_in_one_shape_inside(spark):
+    old = '{"type": "struct", "fields": [{"id": 11, "name": "lot", "field_type": "int"}, {"id": 12, "name": "price", "field_type": "decimal(38,20)"}, {"id": 13, "name": "tags", "field_type": {"type": "list", "element-id": 14, "element": {"type": "struct", "fields": [{"id": 15, "name": "a", "type": "int"}]}}}]}'
+    new = '{"type": "struct", "fields": [{"id": 16, "name": "lot", "field_type": "date"}, {"id": 11, "name": "batch", "field_type": "long"}, {"id": 12, "name": "price", "field_type": "decimal(38,20)"}, {"id": 13, "name": "tags", "field_type": {"type": "list", "element-id": 14, "element": {"type": "struct", "fields": [{"id": 15, "name": "b", "type": "long"}]}}}]}'
+    sums = '{"type": "map", "key-id": 21, "key": "int", "value-id": 22, "value": "%s"}'
+    fields = [row("a", 0, 1, "s", old), row("a", 1, 1, "t", new), row("a", 0, 2, "m", sums % "float"), row("a", 1, 2, "m", sums % "double")]
+    payloads = ['{"s": {"lot": "14", "price": 0.12345678901234567890, "tags": [{"a": "7"}, null, 3], "batch": 1.10}, "m": {"07": "2.5", "x": 1}}', '{"t": {"lot": "2024-01-01", "batch": 15}, "m": [1]}']
+    got = drift.unify_rows(spark.createDataFrame([(k, "a", k, p) for k, p in enumerate(payloads)], ROWS), spark.createDataFrame(fields, SCHEMA)).orderBy("row_id").collect()
+    values = [{f["name"]: (f["value"], f["state"]) for f in r["fields"]} for r in got]
+    assert values[0]["t"] == ('{"batch":14,"batch#":1.1,"lot":null,"price":"0.12345678901234567890","tags":[{"b":7},null,3]}', "ok")
+    assert values[0]["m"] == ('{"7":2.5,"x":1.0}', "ok")
+    assert values[1] == {"t": ('{"batch":15,"lot":"2024-01-01","price":null,"tags":null}', "ok"), "m": ("[1]", "misfit")}
+    inner = [{(*f["path"], f["id"]): tuple(f)[2:] for f in r["inner"]} for r in got]
+    assert inner[0]["t", "batch", 11] == ("batch", "int", "long", "14", "ok") and inner[0]["t", "lot", 16] == ("lot", None, "date", None, "absent")
+    assert inner[0]["t", "tags", "0", "b", 15] == ("b", "int", "long", "7", "ok") and inner[0]["t", "tags", "2", 14] == (None, "struct", "struct", "3", "misfit")
+    assert inner[0]["t", "tags", "1", 14][-1] == "null" and inner[0]["t", "batch#", None] == ("batch", None, None, "1.10", "unknown")
+    assert inner[0]["m", "7", 21][-2:] == ("7", "ok") and inner[0]["m", "x", 21][-2:] == ("x", "misfit") and inner[0]["m", "7", 22] == (None, "float", "double", "2.5", "ok")
+    assert inner[1]["t", "price", 12][-1] == "missing" and not any(k[0] == "m" for k in inner[1])
+
+
 def test_empty_and_nulls(spark):
     assert drift.schema_changes(spark.createDataFrame([], SCHEMA)).count() == 0
     assert drift.unify_rows(spark.createDataFrame([], ROWS), spark.createDataFrame([], SCHEMA)).count() == 0
