@@ -64,15 +64,24 @@ def schemas_at_snapshots(snapshots: DataFrame, table_metadata: DataFrame, schema
     return at.join(sizes, ["table_uuid", "schema_id"], "left").select("table_uuid", "snapshot_id", "schema_id", F.col("fields").isNotNull().alias("known"), F.coalesce("fields", F.lit(0)).alias("fields"))
 
 
-def ancestors(snapshots: DataFrame, starts: DataFrame) -> DataFrame:
+def ancestors(snapshots: DataFrame, starts: DataFrame, cyclic: bool = True) -> DataFrame:
     """(table_uuid, start_id, pos, snapshot_id): the chain of parents of each start
-    (table_uuid, snapshot_id), itself at pos 0. Starts on or below a cycle have
-    no chain; a chain ends where a parent isn't there."""
+    (table_uuid, snapshot_id), itself at pos 0. A chain ends where a parent isn't
+    there, or where a snapshot would come again; without cyclic, starts on or
+    below a cycle have no chain."""
     forest = materialize(hierarchy.resolve_forest(snapshots, SNAPSHOT_LINKS, shape=True), "forest")
     wanted = starts.select(F.col("table_uuid").alias("wt"), F.col("snapshot_id").alias("ws")).distinct()
     marked = forest.join(wanted, F.col("g").eqNullSafe(F.col("wt")) & (F.col("node") == F.col("ws")), "left").withColumn("wanted", F.col("ws").isNotNull())
-    paths = hierarchy.full_paths(marked, F.col("wanted"))
-    return paths.select(F.col("g").alias("table_uuid"), F.col("node").alias("start_id"), F.posexplode(F.reverse("path")).alias("pos", "snapshot_id"))
+    paths = hierarchy.full_paths(marked, F.col("wanted"), cyclic=cyclic)
+    chain = F.reverse("path")
+    if cyclic:
+        # a path begins at the smallest snapshot of the cycle; the path of its parent is the whole cycle
+        ends = forest.filter("closes_cycle").select(F.col("g").alias("eg"), F.col("parent").alias("end"))
+        last = forest.join(ends, F.col("g").eqNullSafe(F.col("eg")) & (F.col("node") == F.col("end")), "left").withColumn("last", F.col("end").isNotNull())
+        rings = hierarchy.full_paths(last, F.col("last"), cyclic=True).select(F.col("g").alias("rg"), F.col("path").alias("ring"))
+        paths = paths.join(rings, F.col("g").eqNullSafe(F.col("rg")) & (F.col("path")[0] == F.col("ring")[0]), "left")
+        chain = F.concat(chain, F.coalesce(F.reverse(F.array_except("ring", "path")), F.array().cast("array<bigint>")))
+    return paths.select(F.col("g").alias("table_uuid"), F.col("node").alias("start_id"), F.posexplode(chain).alias("pos", "snapshot_id"))
 
 
 def in_sequence(snapshots: DataFrame, span: int = 1024) -> DataFrame:
@@ -117,15 +126,17 @@ def live_refs(refs: DataFrame, snapshots: DataFrame, now_ms: int) -> DataFrame:
     return joined.withColumn("expired", F.coalesce(too_old, F.lit(False))).drop("at")
 
 
-def expire_candidates(refs: DataFrame, snapshots: DataFrame, now_ms: int) -> DataFrame:
+def expire_candidates(refs: DataFrame, snapshots: DataFrame, now_ms: int, cyclic: bool = True) -> DataFrame:
     """(table_uuid, snapshot_id) that no live ref keeps.
 
     A tag keeps its snapshot. A branch keeps, of the chain of its snapshot, the
     first min_snapshots_to_keep (at least its own) and those not older than
     max_snapshot_age_ms (inclusive). Snapshots that are marked expired already are no candidates.
+    A chain that leads into a cycle ends where a snapshot would come again; without
+    cyclic, a branch on or below one keeps its own snapshot only.
     """
     live = live_refs(refs, snapshots, now_ms).filter(~F.col("expired"))
-    chains = ancestors(snapshots, live.filter(F.col("ref_type") == "branch").select("table_uuid", "snapshot_id"))
+    chains = ancestors(snapshots, live.filter(F.col("ref_type") == "branch").select("table_uuid", "snapshot_id"), cyclic)
     rows = latest_snapshots(snapshots).select("table_uuid", "snapshot_id", "timestamp_ms", "expired_at")
     branches = live.filter(F.col("ref_type") == "branch").groupBy("table_uuid", F.col("snapshot_id").alias("start_id")).agg(F.max(F.coalesce("min_snapshots_to_keep", F.lit(1))).alias("keep"), F.max("max_snapshot_age_ms").alias("age"))
     chained = chains.join(branches, ["table_uuid", "start_id"]).join(rows, ["table_uuid", "snapshot_id"])

@@ -173,9 +173,18 @@ def current_snapshot(spark: SparkSession, sf_dir: str) -> DataFrame:
     return timeline.current_snapshots(table(spark, sf_dir, "table_metadata"), table(spark, sf_dir, "snapshots")).select(*_SNAPSHOT_COLUMNS)
 
 
-def snapshot_lineage(spark: SparkSession, sf_dir: str) -> DataFrame:
+def _lineage(spark: SparkSession, sf_dir: str, cyclic: bool) -> DataFrame:
     starts = timeline.current_snapshots(table(spark, sf_dir, "table_metadata"), table(spark, sf_dir, "snapshots")).select("table_uuid", "snapshot_id")
-    return timeline.ancestors(table(spark, sf_dir, "snapshots"), starts)
+    return timeline.ancestors(table(spark, sf_dir, "snapshots"), starts, cyclic)
+
+
+def snapshot_lineage(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """As its SQL, without current snapshots on or below a cycle; snapshot_lineage_whole has them."""
+    return _lineage(spark, sf_dir, False)
+
+
+def snapshot_lineage_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _lineage(spark, sf_dir, True)
 
 
 def snapshot_sequence(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -196,6 +205,12 @@ def refs(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def expire_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """As its SQL, where a branch on or below a cycle keeps its own snapshot only;
+    expire_candidates_whole applies its limits too."""
+    return timeline.expire_candidates(table(spark, sf_dir, "refs"), table(spark, sf_dir, "snapshots"), NOW_MS, cyclic=False)
+
+
+def expire_candidates_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
     return timeline.expire_candidates(table(spark, sf_dir, "refs"), table(spark, sf_dir, "snapshots"), NOW_MS)
 
 
@@ -259,11 +274,13 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "snapshots_by_operation": snapshots_by_operation,
     "current_snapshot": current_snapshot,
     "snapshot_lineage": snapshot_lineage,
+    "snapshot_lineage_whole": snapshot_lineage_whole,
     "snapshot_sequence": snapshot_sequence,
     "as_of_timestamp": as_of_timestamp,
     "resolve_ref": resolve_ref,
     "refs": refs,
     "expire_candidates": expire_candidates,
+    "expire_candidates_whole": expire_candidates_whole,
     "metadata_log": metadata_log,
     "table_properties": table_properties,
 }

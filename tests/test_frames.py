@@ -121,3 +121,15 @@ def test_retention(spark):
     assert candidates([("t", "main", 5, "branch", None, None, None, None), ("t", "keep", 2, "tag", None, None, None, None)]) == [1, 3, 4, 6]
     assert candidates([("t", "main", 6, "branch", 1, None, None, None), ("t", "old", 2, "tag", None, None, 4 * hour - 1, None)]) == [1, 2, 3, 4, 5]
     assert candidates([("t", "main", 99, "branch", 1, None, None, None)]) == [1, 2, 3, 4, 5, 6]
+
+
+def test_retention_on_and_below_a_cycle(spark):
+    """The cycle 5 -> 4 -> 3 -> 2 -> 5 by parent, 7 -> 6 -> 4 below it, and 1 alone."""
+    parents = {5: 4, 4: 3, 3: 2, 2: 5, 6: 4, 7: 6, 1: None}
+    snaps = spark.createDataFrame([("t", i, p, i, i, None, None) for i, p in parents.items()], "table_uuid string, snapshot_id bigint, parent_snapshot_id bigint, sequence_number bigint, timestamp_ms bigint, loaded_at timestamp_ntz, expired_at timestamp_ntz")
+    chains: dict[int, list[int]] = {}
+    for r in timeline.ancestors(snaps, snaps).orderBy("start_id", "pos").collect():
+        chains.setdefault(r["start_id"], []).append(r["snapshot_id"])
+    assert chains == {1: [1], 2: [2, 5, 4, 3], 3: [3, 2, 5, 4], 4: [4, 3, 2, 5], 5: [5, 4, 3, 2], 6: [6, 4, 3, 2, 5], 7: [7, 6, 4, 3, 2, 5]}
+    refs = spark.createDataFrame([("t", "main", 7, "branch", 3, 2, None, None)], "table_uuid string, ref_name string, snapshot_id bigint, ref_type string, min_snapshots_to_keep int, max_snapshot_age_ms bigint, max_ref_age_ms bigint, loaded_at timestamp_ntz")
+    assert sorted(r["snapshot_id"] for r in timeline.expire_candidates(refs, snaps, 7).collect()) == [1, 2, 3]  # 7, 6, 4 by count, 5 by age
