@@ -6,6 +6,7 @@ reader and the data source all go by it.
 
 from __future__ import annotations
 
+import json
 from collections.abc import Iterator
 from typing import Any
 
@@ -17,6 +18,7 @@ from pyspark.sql.pandas.types import to_arrow_schema
 
 from tablelens import model as M
 from tablelens.codec import CodecError, dumps, dumps_type, parse_table_metadata
+from tablelens.operators.fieldtree import as_int
 from tablelens.shared import ship
 from tablelens.types import Primitive, UnsupportedTypeError, primitive_to_spark
 from tablelens.validate import validate
@@ -125,7 +127,7 @@ def tables_of(docs: DataFrame, body: str, table: str, dialect: str = "reference"
             rows: list[tuple[Any, ...]] = []
             for text in batch["body"].to_pylist():
                 try:
-                    rows.extend(rows_of(parse_table_metadata("" if text is None else text, dialect), table))
+                    rows.extend(rows_of(parse_table_metadata("" if text is None else text.removeprefix("\ufeff"), dialect), table))
                 except CodecError:
                     continue
             columns = list(zip(*rows)) if rows else [()] * len(arrow)
@@ -134,6 +136,16 @@ def tables_of(docs: DataFrame, body: str, table: str, dialect: str = "reference"
     return docs.select(F.col(body).alias("body")).mapInArrow(read, schema)
 
 
+def format_version(text: str) -> Any:
+    """The format-version of a document, which its model does not keep: 2 where it is
+    tagged by type name, a number given as text as such, None where there is none."""
+    found = json.loads(text).get("format-version")
+    if found == "TableMetadataV2":
+        return 2
+    number = as_int(found)
+    return found if number is None else number
+
+
 def violations_of(docs: DataFrame, key: str, body: str, dialect: str = "reference") -> DataFrame:
     """(key, code, detail): what validate() reports of each body that is a document."""
     ship(docs.sparkSession)
@@ -143,7 +155,8 @@ def violations_of(docs: DataFrame, key: str, body: str, dialect: str = "referenc
             take, rows = [], []
             for i, text in enumerate(batch["body"].to_pylist()):
                 try:
-                    found = validate(parse_table_metadata("" if text is None else text, dialect))
+                    whole = "" if text is None else text.removeprefix("\ufeff")
+                    found = validate(parse_table_metadata(whole, dialect), format_version(whole))
                 except CodecError:
                     continue
                 take.extend([i] * len(found))

@@ -133,3 +133,11 @@ def test_retention_on_and_below_a_cycle(spark):
     assert chains == {1: [1], 2: [2, 5, 4, 3], 3: [3, 2, 5, 4], 4: [4, 3, 2, 5], 5: [5, 4, 3, 2], 6: [6, 4, 3, 2, 5], 7: [7, 6, 4, 3, 2, 5]}
     refs = spark.createDataFrame([("t", "main", 7, "branch", 3, 2, None, None)], "table_uuid string, ref_name string, snapshot_id bigint, ref_type string, min_snapshots_to_keep int, max_snapshot_age_ms bigint, max_ref_age_ms bigint, loaded_at timestamp_ntz")
     assert sorted(r["snapshot_id"] for r in timeline.expire_candidates(refs, snaps, 7).collect()) == [1, 2, 3]  # 7, 6, 4 by count, 5 by age
+
+
+def test_violations_of_versions_and_marks(spark):
+    mark = "\ufeff"
+    bodies = [json.dumps(FULL), json.dumps(FULL | {"format-version": 1}), mark + json.dumps(FULL | {"format-version": "1"}), mark + json.dumps(FULL | {"current-schema-id": 9}), None]
+    docs = spark.createDataFrame(list(enumerate(bodies)), "k int, body string")
+    assert sorted((r["k"], r["code"]) for r in frames.violations_of(docs, "k", "body").collect()) == [(1, "format-version"), (2, "format-version"), (3, "current-schema-id")]
+    assert frames.tables_of(docs, "body", "tables").count() == 4
