@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import json
 from collections.abc import Iterator
+from functools import lru_cache
 from typing import Any
 
 import pyarrow as pa
@@ -17,8 +18,8 @@ from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
 from tablelens import model as M
-from tablelens.codec import CodecError, dumps, dumps_type, parse_table_metadata
-from tablelens.operators.fieldtree import as_int
+from tablelens.codec import CodecError, dumps, dumps_type, loads_type, parse_table_metadata
+from tablelens.operators.fieldtree import as_int, get, opened, type_tag
 from tablelens.shared import ship
 from tablelens.types import Primitive, UnsupportedTypeError, primitive_to_spark
 from tablelens.validate import validate
@@ -185,6 +186,47 @@ def to_spark_type(kind: M.FieldType) -> T.DataType:
     return T.MapType(to_spark_type(kind.key), to_spark_type(kind.value), not kind.value_required)
 
 
+def _respelled(value: Any) -> Any:
+    """A type as schema rows write it, in the spelling that the codec reads. A part
+    without required is optional."""
+    value, kind = opened(value), type_tag(value)
+    if not isinstance(value, dict):
+        return kind
+    if kind == "struct":
+        fields = value.get("fields")
+        if not isinstance(fields, list) or not all(isinstance(f, dict) for f in fields):
+            return None
+        parts = [(f, get(f, "field-type")) for f in fields]
+        return {"type": "struct", "fields": [{"id": as_int(f.get("id")), "name": f.get("name"), "required": bool(f.get("required")), "field_type": _respelled(f.get("type") if t is None else t)} for f, t in parts]}
+    if kind == "list":
+        return {"type": "list", "element-id": as_int(get(value, "element-id")), "element-required": bool(get(value, "element-required")), "element": _respelled(value.get("element"))}
+    if kind == "map":
+        return {"type": "map", "key-id": as_int(get(value, "key-id")), "key": _respelled(value.get("key")), "value-id": as_int(get(value, "value-id")), "value-required": bool(get(value, "value-required")), "value": _respelled(value.get("value"))}
+    return None
+
+
+@lru_cache(maxsize=50_000)
+def spark_type_of(text: str) -> str | None:
+    """The name of the Spark type of a type's text, nested ones too; None where there is none."""
+    try:
+        return to_spark_type(loads_type(json.dumps(_respelled(text)))).simpleString()
+    except (CodecError, UnsupportedTypeError, RecursionError):
+        return None
+
+
+def spark_types(fields: DataFrame) -> DataFrame:
+    """(table_uuid, schema_id, id, name, spark_type) of fields with their field_type."""
+    ship(fields.sparkSession)
+
+    def convert(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names = ["table_uuid", "schema_id", "id", "name"]
+        for batch in batches:
+            kinds = [None if t is None else spark_type_of(t) for t in batch["field_type"].to_pylist()]
+            yield pa.RecordBatch.from_arrays([*(batch[n] for n in names), pa.array(kinds, pa.string())], [*names, "spark_type"])
+
+    return fields.select("table_uuid", "schema_id", "id", "name", "field_type").mapInArrow(convert, "table_uuid string, schema_id int, id int, name string, spark_type string")
+
+
 def _inner_ids(kind: M.FieldType, path: str = "") -> dict[str, int]:
     """Ids of elements, keys and values under a field, by their path in it; struct
     fields hold their own."""

@@ -95,12 +95,19 @@ def parse_transforms(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def schema_to_struct(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The Spark type of each top-level field of a plain type, by schema."""
+    """The Spark type of each top-level field of a plain type, by schema; those of
+    structs, lists and maps, which SQL cannot say, are in schema_to_struct_nested."""
     fields = drift.latest_fields(table(spark, sf_dir, "schema_fields"))
     kind = F.regexp_replace(F.lower(F.regexp_replace("field_type", r"\s", "")), "^timestamptz$", "timestampz")
     return fields.filter(~F.contains("field_type", F.lit("{"))).select("table_uuid", "schema_id", "id", "name", spark_type_column(kind).alias("spark_type"))
 
 
+def schema_to_struct_nested(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The Spark type of each top-level field that is a struct, list or map."""
+    fields = drift.latest_fields(table(spark, sf_dir, "schema_fields"))
+    return frames.spark_types(fields.filter(F.contains("field_type", F.lit("{"))))
+
+
 def schema_fields(spark: SparkSession, sf_dir: str) -> DataFrame:
     flat = drift.flatten_fields(drift.latest_fields(table(spark, sf_dir, "schema_fields")))
     return flat.select("table_uuid", "schema_id", F.col("id").cast("bigint").alias("id"), "name", "tag")
@@ -247,6 +254,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "type_to_spark": type_to_spark,
     "parse_transforms": parse_transforms,
     "schema_to_struct": schema_to_struct,
+    "schema_to_struct_nested": schema_to_struct_nested,
     "schema_fields": schema_fields,
     "current_schema": current_schema,
     "schema_at_snapshot": schema_at_snapshot,

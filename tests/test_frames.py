@@ -1,6 +1,7 @@
 """Documents as tables, Spark schemas, sources, sinks, validation, timelines."""
 
 import json
+import os
 
 import pytest
 from pyspark.sql import functions as F
@@ -9,12 +10,15 @@ from test_codec import BRANCH, SNAPSHOT, TABLE
 
 from tablelens import model as M
 from tablelens.codec import CodecError, loads, parse_table_metadata
-from tablelens.operators import frames, timeline
+from tablelens.operators import drift, frames, timeline
+from tablelens.plans import reference_queries
 from tablelens.sources.datasource import register
 from tablelens.sources.files import check_metadata, read_metadata, write_documents, write_metadata
 from tablelens.types import Primitive, UnsupportedTypeError
 from tablelens.validate import validate
 
+DATA = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001")
+
 NESTED = {"type": "map", "key-id": 10, "key": "string", "value-id": 11, "value-required": True, "value": {"type": "list", "element-id": 12, "element-required": False, "element": {"type": "struct", "fields": [{"id": 13, "name": "x", "required": True, "field_type": "decimal(9,2)"}]}}}
 FULL = TABLE | {
     "schemas": [{"schema-id": 1, "type": "struct", "identifier-field-ids": [1], "fields": [{"id": 1, "name": "a", "required": True, "field_type": "long", "doc": "key"}, {"id": 2, "name": "m", "required": False, "field_type": NESTED}, {"id": 3, "name": "f", "required": False, "field_type": "fixed[4]"}],
@@ -141,3 +145,24 @@ def test_violations_of_versions_and_marks(spark):
     docs = spark.createDataFrame(list(enumerate(bodies)), "k int, body string")
     assert sorted((r["k"], r["code"]) for r in frames.violations_of(docs, "k", "body").collect()) == [(1, "format-version"), (2, "format-version"), (3, "current-schema-id")]
     assert frames.tables_of(docs, "body", "tables").count() == 4
+
+
+def test_spark_types_of_nested_fields(spark):
+    """Against a conversion without the codec, over the nested types of the test tables."""
+    names = {"long": "bigint", "timestamp": "timestamp_ntz", "timestampz": "timestamp", "timestamptz": "timestamp", "time": "bigint", "uuid": "string"}
+
+    def brute(kind):
+        if isinstance(kind, str) and kind.lstrip().startswith("{"):
+            kind = json.loads(kind)
+        if isinstance(kind, str):
+            name = "".join(kind.split()).lower()
+            return "binary" if name.startswith("fixed[") else names.get(name, name)
+        if kind["type"] == "struct":
+            return "struct<" + ",".join(f"{f['name']}:{brute(f.get('field_type') or f.get('type'))}" for f in kind["fields"]) + ">"
+        return f"array<{brute(kind['element'])}>" if kind["type"] == "list" else f"map<{brute(kind['key'])},{brute(kind['value'])}>"
+
+    got = reference_queries.schema_to_struct_nested(spark, DATA).collect()
+    kinds = {(r["table_uuid"], r["schema_id"], r["id"]): r["field_type"] for r in drift.latest_fields(spark.read.parquet(f"{DATA}/schema_fields.parquet")).collect() if "{" in (r["field_type"] or "")}
+    assert got and {(r["table_uuid"], r["schema_id"], r["id"]): r["spark_type"] for r in got} == {k: brute(t) for k, t in kinds.items()}
+    texts = ['{"type": "list", "element_id": "7", "element": " Decimal(9, 2)"}', '{"type": "list", "element-id": 7, "element": "decimal(40,2)"}', '{"type": "map"}', '{"type": "struct", "fields": [3]}', "{"]
+    assert [frames.spark_type_of(t) for t in texts] == ["array<decimal(9,2)>", None, None, None, None]
