@@ -7,7 +7,7 @@ reader and the data source all go by it.
 from __future__ import annotations
 
 import json
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from functools import lru_cache
 from typing import Any
 
@@ -264,35 +264,74 @@ def to_spark_schema(schema: M.Schema) -> T.StructType:
     return T.StructType([_spark_field(f) for f in schema.fields])
 
 
-def project_by_id(df: DataFrame, written: M.Schema, wanted: M.Schema) -> DataFrame:
-    """df, written with one schema, in the form of another: columns are found by
-    id, so that renames, reorderings and widened types come out right. A field
-    that df lacks is null; a required one that it lacks is an error."""
-    names = {f.id: f.name for f in written.fields}
+def _nullable(value: Column, whole: Column) -> Column:
+    return F.when(whole.isNotNull(), value)
+
+
+def _by_id(value: Column, written: M.FieldType, wanted: M.FieldType) -> Column:
+    """A value written with one type in the form of another: the fields of structs are
+    found by id at any depth; elements, keys and values are those of their list or map."""
+    if isinstance(written, M.Struct) and isinstance(wanted, M.Struct):
+        return _nullable(F.struct(*_fields_by_id(value.getField, written.fields, wanted.fields)), value)
+    if isinstance(written, M.ListType) and isinstance(wanted, M.ListType):
+        return F.transform(value, lambda x: _by_id(x, written.element, wanted.element))
+    if isinstance(written, M.MapType) and isinstance(wanted, M.MapType):
+        keyed = F.transform_keys(value, lambda k, _: _by_id(k, written.key, wanted.key))
+        return F.transform_values(keyed, lambda _, v: _by_id(v, written.value, wanted.value))
+    return value.cast(to_spark_type(wanted))
+
+
+def _fields_by_id(get_field: Callable[[str], Column], written: tuple[M.StructField, ...], wanted: tuple[M.StructField, ...]) -> list[Column]:
+    there = {f.id: f for f in written}
     out: list[Column] = []
-    for f in wanted.fields:
-        kind = to_spark_type(f.field_type)
-        if f.id in names:
-            out.append(F.col(f"`{names[f.id]}`").cast(kind).alias(f.name))
+    for f in wanted:
+        if f.id in there:
+            out.append(_by_id(get_field(there[f.id].name), there[f.id].field_type, f.field_type).alias(f.name))
         elif f.required:
             raise ValueError(f"required field {f.name} ({f.id}) was not written")
         else:
-            out.append(F.lit(None).cast(kind).alias(f.name))
-    return df.select(*out)
+            out.append(F.lit(None).cast(to_spark_type(f.field_type)).alias(f.name))
+    return out
+
+
+def project_by_id(df: DataFrame, written: M.Schema, wanted: M.Schema) -> DataFrame:
+    """df, written with one schema, in the form of another: columns, and fields
+    inside them at any depth, are found by id, so that renames, reorderings and widened types come out right. A field
+    that df lacks is null; a required one that it lacks is an error."""
+    return df.select(*_fields_by_id(lambda name: F.col(f"`{name}`"), written.fields, wanted.fields))
+
+
+def _by_name(value: Column, has: T.DataType, wanted: M.FieldType, mappings: tuple[M.NameMapping, ...]) -> Column:
+    """A value of a type without ids in the form of another; mappings: those inside the field's."""
+    inner = {m.field_id: m.fields or () for m in mappings if m.field_id is not None}
+    if isinstance(has, T.StructType) and isinstance(wanted, M.Struct):
+        return _nullable(F.struct(*_fields_by_name(value.getField, has, wanted.fields, mappings)), value)
+    if isinstance(has, T.ArrayType) and isinstance(wanted, M.ListType):
+        return F.transform(value, lambda x: _by_name(x, has.elementType, wanted.element, inner.get(wanted.element_id, ())))
+    if isinstance(has, T.MapType) and isinstance(wanted, M.MapType):
+        keyed = F.transform_keys(value, lambda k, _: _by_name(k, has.keyType, wanted.key, inner.get(wanted.key_id, ())))
+        return F.transform_values(keyed, lambda _, v: _by_name(v, has.valueType, wanted.value, inner.get(wanted.value_id, ())))
+    return value.cast(to_spark_type(wanted))
+
+
+def _fields_by_name(get_field: Callable[[str], Column], has: T.StructType, wanted: tuple[M.StructField, ...], mappings: tuple[M.NameMapping, ...]) -> list[Column]:
+    by_id = {m.field_id: m for m in mappings if m.field_id is not None}
+    kinds = {f.name: f.dataType for f in has.fields}
+    out: list[Column] = []
+    for f in wanted:
+        mapping = by_id.get(f.id)
+        found = next((n for n in (mapping.names if mapping else ()) if n in kinds), None)
+        value = F.lit(None).cast(to_spark_type(f.field_type)) if found is None else _by_name(get_field(found), kinds[found], f.field_type, mapping.fields or ())
+        out.append(value.alias(f.name))
+    return out
 
 
 def map_names(df: DataFrame, mappings: M.NameMappings, schema: M.Schema) -> DataFrame:
     """df, whose files hold no field ids, with its columns named as in the schema:
-    each field takes the first of its mapped names that df has. Fields of the
-    schema without such a column are null; unmapped columns are left out."""
-    have = set(df.columns)
-    by_id = {m.field_id: m for m in mappings.default if m.field_id is not None}
-    out = []
-    for f in schema.fields:
-        found = next((n for n in (by_id[f.id].names if f.id in by_id else ()) if n in have), None)
-        kind = to_spark_type(f.field_type)
-        out.append((F.lit(None) if found is None else F.col(f"`{found}`")).cast(kind).alias(f.name))
-    return df.select(*out)
+    each field takes the first of its mapped names that df has, and fields inside
+    it likewise by the mappings inside its own. Fields of the schema without such a
+    column are null; unmapped columns are left out."""
+    return df.select(*_fields_by_name(lambda name: F.col(f"`{name}`"), df.schema, schema.fields, mappings.default))
 
 
 def identifier_duplicates(df: DataFrame, columns: list[str]) -> DataFrame:

@@ -166,3 +166,21 @@ def test_spark_types_of_nested_fields(spark):
     assert got and {(r["table_uuid"], r["schema_id"], r["id"]): r["spark_type"] for r in got} == {k: brute(t) for k, t in kinds.items()}
     texts = ['{"type": "list", "element_id": "7", "element": " Decimal(9, 2)"}', '{"type": "list", "element-id": 7, "element": "decimal(40,2)"}', '{"type": "map"}', '{"type": "struct", "fields": [3]}', "{"]
     assert [frames.spark_type_of(t) for t in texts] == ["array<decimal(9,2)>", None, None, None, None]
+
+
+def test_nested_projection_by_id_and_by_name(spark):
+    field = lambda i, n, k, req=False: M.StructField(i, n, req, Primitive(k) if isinstance(k, str) else k)
+    both = lambda item, key, price: (field(1, "s", item), field(2, "l", M.ListType(20, False, item)), field(3, "m", M.MapType(30, Primitive(key), 31, False, price)))
+    old = M.Schema(0, both(M.Struct((field(11, "a.b", "int"), field(12, "b", "int", True), field(13, "gone", "int"))), "int", M.Struct((field(14, "x", "int"), field(15, "y", "int")))))
+    new = M.Schema(1, both(M.Struct((field(12, "a.b", "long", True), field(16, "added", "date"), field(11, "c", "long"))), "long", M.Struct((field(15, "x", "int"), field(14, "y", "long")))))
+    df = spark.createDataFrame([((1, 2, 3), [(4, 5, 6), None], {7: (8, 9)}), (None, None, None)], "s struct<`a.b`:int,b:int,gone:int>, l array<struct<`a.b`:int,b:int,gone:int>>, m map<int,struct<x:int,y:int>>")
+    want = [{"s": {"a.b": 2, "added": None, "c": 1}, "l": [{"a.b": 5, "added": None, "c": 4}, None], "m": {7: {"x": 9, "y": 8}}}, {"s": None, "l": None, "m": None}]
+    got = frames.project_by_id(df, old, new)
+    assert got.dtypes == [("s", "struct<a.b:bigint,added:date,c:bigint>"), ("l", "array<struct<a.b:bigint,added:date,c:bigint>>"), ("m", "map<bigint,struct<x:int,y:bigint>>")]
+    assert [r.asDict(recursive=True) for r in got.collect()] == want
+    with pytest.raises(ValueError):
+        frames.project_by_id(df, old, M.Schema(2, (field(1, "s", M.Struct((field(19, "must", "int", True),))),)))
+    name = M.NameMapping
+    item = (name(("zz", "a.b"), 11), name(("b", "a.b"), 12))
+    mappings = M.NameMappings((name(("s",), 1, item), name(("l",), 2, (name(("element",), 20, item),)), name(("m",), 3, (name(("key",), 30), name(("value",), 31, (name(("x",), 14), name(("y",), 15)))))))
+    assert [r.asDict(recursive=True) for r in frames.map_names(df, mappings, new).collect()] == want
