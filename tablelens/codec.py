@@ -8,7 +8,9 @@ writes it. Both read again what they write.
 
 Read: unknown keys are ignored, a missing or null optional key is None, a
 missing required key, a repeated known key, a number out of its range, and a
-value of another kind are errors. In maps the last of repeated keys holds.
+value of another kind are errors; so is nesting of more than ``DEEPEST`` levels,
+where the JSON reader of the reference stops too. In maps the last of repeated
+keys holds. Whatever is wrong with a text, the error is a CodecError.
 Versions and references between ids are not checked here; see ``validate``.
 """
 
@@ -21,9 +23,11 @@ from dataclasses import dataclass
 from typing import Any
 
 from tablelens import model as M
-from tablelens.types import I32, I64, U32, Primitive, TypeTextError, parse_primitive, within
+from tablelens.types import I32, I64, U32, Primitive, TypeTextError, parse_primitive, whole, within
 
 DIALECTS = ("reference", "spec")
+#: Levels of objects and lists that a document may nest (fixed value).
+DEEPEST = 127
 _UUID = re.compile(r"(?:urn:uuid:)?([0-9a-fA-F]{8})-?([0-9a-fA-F]{4})-?([0-9a-fA-F]{4})-?([0-9a-fA-F]{4})-?([0-9a-fA-F]{12})")
 _HYPHENS = (0, 4)
 _PARAMETER = {"bucket": re.compile(r"bucket\[([0-9]+)\]"), "truncate": re.compile(r"truncate\[([0-9]+)\]")}
@@ -55,8 +59,15 @@ def _load(text: str) -> Any:
 
     try:
         return json.loads(text, object_pairs_hook=_Object, parse_constant=refuse)
-    except (json.JSONDecodeError, RecursionError) as e:
-        raise CodecError("", f"not JSON: {e}") from e
+    except CodecError:
+        raise
+    except (ValueError, RecursionError) as e:  # numbers of over 4300 digits are a ValueError
+        raise CodecError("", f"not JSON: {e}"[:200]) from e
+
+
+def body_text(text: str | None) -> str:
+    """A document's text without the byte order mark that it may begin with; null is empty."""
+    return "" if text is None else text.removeprefix("\ufeff")
 
 
 # ---------------------------------------------------------------- kinds of values
@@ -135,8 +146,8 @@ def _read_transform(value: Any, path: str, dialect: str) -> M.Transform:
         if value in TRANSFORMS:
             return M.Transform(value)
         for name, pattern in _PARAMETER.items():
-            if (m := pattern.fullmatch(value)) and within(int(m[1]), U32):
-                return M.Transform(name, int(m[1]))
+            if (m := pattern.fullmatch(value)) and within(whole(m[1]), U32):
+                return M.Transform(name, whole(m[1]))
     raise CodecError(path, f"{_short(value)} is no transform")
 
 
@@ -194,6 +205,10 @@ class Document:
             raise CodecError(path, f"{_short(value)} is no object")
         return self.cls(**{k.attr: _take(value, k, path, dialect) for k in self.keys})
 
+    def lacks(self, keys: set[str], dialect: str) -> list[str]:
+        """The required keys that an object with these keys doesn't have."""
+        return [k.names(dialect)[0] for k in self.keys if k.required and not (k.spec_optional and dialect == "spec") and not keys & set(k.names(dialect))]
+
     def write(self, value: Any, dialect: str) -> dict[str, Any]:
         out: dict[str, Any] = {}
         if self.tag and (tag := self.tag[2 if dialect == "spec" else 1]) is not None:
@@ -217,19 +232,28 @@ def _read_type(value: Any, path: str, dialect: str) -> M.FieldType:
         except TypeTextError as e:
             raise CodecError(path, str(e)) from e
     if isinstance(value, _Object):
-        for document in (STRUCT, LIST, MAP):  # the first that reads it holds
-            try:
-                return document.read(value, path, dialect)
-            except CodecError as e:
-                error = e
+        _check_depth(path)
         keys = {k for k, _ in value}
-        wanted = LIST if "element-id" in keys else MAP if "key-id" in keys else STRUCT
-        if wanted is not MAP:  # tell the error of the kind that is meant
-            wanted.read(value, path, dialect)
+        error = None
+        for document in (STRUCT, LIST, MAP):  # the first that reads it holds; each part is read once
+            if not document.lacks(keys, dialect):
+                try:
+                    return document.read(value, path, dialect)
+                except CodecError as e:
+                    error = error or e
+        if error is None:
+            meant = LIST if "element-id" in keys else MAP if "key-id" in keys else STRUCT
+            error = CodecError(path, f"{meant.lacks(keys, dialect)[0]} is missing")
         raise error
     raise CodecError(path, f"{_short(value)} is no type")
 
 
+def _check_depth(path: str) -> None:
+    """Each step of a path is one level of nesting."""
+    if path.count(".") + path.count("[") + 2 > DEEPEST:
+        raise CodecError(path[:60], f"more than {DEEPEST} levels")
+
+
 def _write_type(value: M.FieldType, dialect: str) -> Any:
     if isinstance(value, Primitive):
         return "timestamptz" if dialect == "spec" and value.name == "timestampz" else str(value)
@@ -244,6 +268,7 @@ MAP = Document(M.MapType, (Key("key_id", INT), Key("key", TYPE), Key("value_id",
 
 
 def _read_mapping(value: Any, path: str, dialect: str) -> M.NameMapping:
+    _check_depth(path)
     return NAME_MAPPING.read(value, path, dialect)
 
 

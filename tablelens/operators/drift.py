@@ -12,17 +12,21 @@ and their shuffle is by a key that no table dominates.
 
 from __future__ import annotations
 
+import datetime as dt
 import json
+import re
 import sys
 from collections.abc import Iterator
-from decimal import Decimal, InvalidOperation
+from decimal import Context, Decimal, InvalidOperation
 from functools import lru_cache
 from typing import Any, NamedTuple
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tablelens import jsontext
 from tablelens.operators.fieldtree import NESTED, as_int, children, get, inner, opened, tag_of, type_tag
 from tablelens.shared import exact, materialize, ship
 
@@ -64,7 +68,7 @@ def _flatten(batches: Iterator[pa.RecordBatch], kept: list[str]) -> Iterator[pa.
                     found.append((field, top, top if above is None else above, inner_name, tag))
         take = pa.array(rows, pa.int64())
         columns = zip(*found) if found else [()] * len(_FOUND)
-        yield pa.RecordBatch.from_arrays([*(batch[k].take(take) for k in kept), *(pa.array(c, t) for c, t in zip(columns, _FOUND.values()))], [*kept, *_FOUND])
+        yield pa.RecordBatch.from_arrays([*(batch[k].take(take) for k in kept), *(jsontext.texts(c) if t == pa.string() else pa.array(c, t) for c, t in zip(columns, _FOUND.values()))], [*kept, *_FOUND])
 
 
 def flatten_fields(fields: DataFrame, types: bool = False) -> DataFrame:
@@ -202,31 +206,97 @@ def _json(value: Any) -> str:
     return json.dumps(value, ensure_ascii=False)
 
 
-def _canonical(value: Any, tag: str | None) -> tuple[str | None, bool]:
-    """(text in canonical form, whether the value fits the type)."""
+_DATE = re.compile(r"[0-9]{4}-[0-9]{2}-[0-9]{2}")
+_CLOCK = re.compile(r"([0-9]{2}:[0-9]{2}:[0-9]{2})(?:\.([0-9]{1,6}))?")
+_MOMENT = re.compile(r"([0-9]{4}-[0-9]{2}-[0-9]{2})[T ]([0-9]{2}:[0-9]{2}:[0-9]{2}(?:\.[0-9]{1,6})?)(Z|[+-][0-9]{2}:?[0-9]{2})?")
+_UUID = re.compile(r"([0-9a-f]{8})-?([0-9a-f]{4})-?([0-9a-f]{4})-?([0-9a-f]{4})-?([0-9a-f]{12})")
+_EXACT = Context(prec=200)
+
+
+def _number(text: str, tag: str, written: str | None) -> str | None:
+    """A number in the canonical form of a type; None where the type doesn't hold it
+    exactly (a double holds what was written as one)."""
+    try:
+        number = Decimal(text.strip())
+    except InvalidOperation:
+        return None
+    if tag in ("float", "double"):
+        short = repr(float(number))
+        return short if written in ("float", "double") or not number.is_finite() or Decimal(short) == number else None
+    if not number.is_finite() or not -200 < number.adjusted() < 40 or number.as_tuple().exponent < -200:
+        return None
+    if tag in ("int", "long"):
+        bits = 31 if tag == "int" else 63
+        return str(int(number)) if number == int(number) and -(1 << bits) <= number < 1 << bits else None
+    if m := re.fullmatch(r"decimal\(([0-9]{1,3}),([0-9]{1,3})\)", tag):
+        precision, scale = int(m[1]), int(m[2])
+        if scale > 150 or (number and number.adjusted() >= precision - scale):
+            return None
+        fixed = number.quantize(Decimal(1).scaleb(-scale), context=_EXACT)
+        return format(fixed, "f") if fixed == number else None
+    return format(number.normalize(_EXACT), "f") if number else "0"
+
+
+def _day(text: str) -> str | None:
+    try:
+        return dt.date.fromisoformat(text).isoformat() if _DATE.fullmatch(text) else None
+    except ValueError:
+        return None
+
+
+def _clock(text: str) -> str | None:
+    m = _CLOCK.fullmatch(text)
+    if not m or m[1] >= "24" or m[1][3:5] >= "60" or m[1][6:] >= "60":
+        return None
+    part = (m[2] or "").rstrip("0")
+    return f"{m[1]}.{part}" if part else m[1]
+
+
+def _moment(text: str, zoned: bool) -> str | None:
+    m = _MOMENT.fullmatch(text)
+    if not m:
+        return f"{_day(text)}T00:00:00" if not zoned and _day(text) else None
+    day, clock = _day(m[1]), _clock(m[2])
+    if day is None or clock is None or zoned != (m[3] is not None):
+        return None
+    if not zoned:
+        return f"{day}T{clock}"
+    try:
+        at = dt.datetime.fromisoformat(f"{day}T{clock}{m[3]}").astimezone(dt.UTC)
+    except (ValueError, OverflowError):
+        return None
+    return f"{at.date().isoformat()}T{_clock(at.time().isoformat())}Z"
+
+
+def _canonical(value: Any, tag: str | None, written: str | None = None) -> tuple[str | None, bool]:
+    """(text in canonical form, whether the value fits the type tag); written is the
+    type it was written with. What doesn't fit, or only with a loss, stays as written."""
     if value is None:
         return None, True
     if isinstance(value, (dict, list)):
         return _json(value), tag in ("struct", "list", "map", "string", None)
     if isinstance(value, bool):
-        return ("true" if value else "false"), tag in ("boolean", "string")
-    text = str(value)
-    if tag in ("int", "long") or tag == "decimal" or (tag or "").startswith(("decimal(", "float", "double")):
-        try:
-            number = Decimal(text.strip())
-        except InvalidOperation:
-            return text, False
-        if not number.is_finite():
-            return text, tag in ("float", "double")
-        if tag in ("int", "long"):
-            return (str(int(number)), True) if abs(number.adjusted()) < 40 and number == int(number) else (text, False)
-        return (repr(float(number)) if tag in ("float", "double") else text.strip()), True
-    if tag == "boolean":
-        low = text.strip().lower()
-        return (low, True) if low in ("true", "false") else (text, False)
-    if tag == "timestamp" and len(text) == 10:
-        return text + "T00:00:00", True
-    return text, tag not in ("struct", "list", "map")
+        return ("true" if value else "false"), tag in ("boolean", "string", None)
+    text, form = str(value), None
+    if tag is None or tag == "string" or tag == "binary" or tag.startswith("fixed"):
+        return text, True
+    if tag in ("int", "long", "float", "double") or tag.startswith("decimal"):
+        form = _number(text, tag, written)
+    elif not isinstance(value, str):
+        return text, False
+    elif tag == "boolean":
+        form = text.strip().lower() if text.strip().lower() in ("true", "false") else None
+    elif tag == "date":
+        form = _day(text.strip())
+    elif tag == "time":
+        form = _clock(text.strip())
+    elif tag in ("timestamp", "timestampz"):
+        form = _moment(text.strip(), tag == "timestampz")
+    elif tag == "uuid":
+        form = "-".join(m.groups()) if (m := _UUID.fullmatch(text.strip().lower())) else None
+    else:
+        return text, tag not in NESTED
+    return (text, False) if form is None else (form, True)
 
 
 class _Node(NamedTuple):
@@ -298,7 +368,7 @@ def _shaped(value: Any, node: _Node, path: tuple[str, ...], found: list[tuple])
     if value is None:
         return "null", None, True
     if not isinstance(value, (dict, list)):
-        text, fits = _canonical(value, node.canonical)
+        text, fits = _canonical(value, node.canonical, node.branch)
         if not fits or node.canonical is None:
             return _json(value), text, fits
         bare = node.canonical in ("int", "long", "boolean") or (node.canonical in ("float", "double") and Decimal(text).is_finite())
@@ -359,40 +429,46 @@ def _unify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         found: list[tuple] = []
         inner_ends = [0]
         for payload, shape in zip(batch["payload"].to_pylist(), batch["shape"].to_pylist()):
-            try:
-                record = json.loads(payload, parse_float=Decimal) if payload else {}
-            except (ValueError, RecursionError):
-                record = None
             *shared, nodes = _columns(shape)
             for whole, own in zip(parts, shared):
                 whole.extend(own)
-            if isinstance(record, dict):
-                for node in nodes:
-                    key = node.key
-                    if key is None:
-                        values.append(None)
-                        states.append("absent")
-                    elif key not in record:
-                        values.append(None)
-                        states.append("missing")
-                    else:
-                        _, text, fits = _shaped(record[key], node, (node.out,), found)
-                        values.append(text)
-                        states.append("null" if record[key] is None else "ok" if fits else "misfit")
-                known = {node.key for node in nodes}
-                rest.append(sorted((k, _canonical(v, None)[0]) for k, v in record.items() if k not in known))
-            else:
-                values.extend([None] * len(nodes))
-                states.extend(["unreadable"] * len(nodes))
-                rest.append([])
+            own_values, own_states, own_found, own_rest = _row(payload, nodes)
+            values.extend(own_values)
+            states.extend(own_states)
+            found.extend(own_found)
+            rest.append(own_rest)
             ends.append(len(values))
             inner_ends.append(len(found))
-        columns = [pa.array(parts[0], pa.int32()), *(pa.array(x, pa.string()) for x in (*parts[1:], values, states))]
+        columns = [pa.array(parts[0], pa.int32()), *(jsontext.texts(x) for x in (*parts[1:], values, states))]
         fields = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.StructArray.from_arrays(columns, names))
         paths, ids, *others = zip(*found) if found else [()] * 7
-        columns = [pa.array(paths, pa.list_(pa.string())), pa.array(ids, pa.int32()), *(pa.array(x, pa.string()) for x in others)]
+        path_ends = np.cumsum([0, *map(len, paths)]).astype(np.int32)
+        steps = pa.ListArray.from_arrays(pa.array(path_ends), jsontext.texts(x for p in paths for x in p))
+        columns = [steps, pa.array(ids, pa.int32()), *(jsontext.texts(x) for x in others)]
         insides = pa.ListArray.from_arrays(pa.array(inner_ends, pa.int32()), pa.StructArray.from_arrays(columns, ["path", *names]))
-        yield pa.RecordBatch.from_arrays([batch["row_id"], batch["table_uuid"], batch["schema_id"], fields, insides, pa.array(rest, pa.map_(pa.string(), pa.string()))], ["row_id", "table_uuid", "schema_id", "fields", "inner", "rest"])
+        rest_ends = np.cumsum([0, *map(len, rest)]).astype(np.int32)
+        others = pa.MapArray.from_arrays(pa.array(rest_ends), jsontext.texts(k for r in rest for k, _ in r), jsontext.texts(v for r in rest for _, v in r))
+        yield pa.RecordBatch.from_arrays([batch["row_id"], batch["table_uuid"], batch["schema_id"], fields, insides, others], ["row_id", "table_uuid", "schema_id", "fields", "inner", "rest"])
+
+
+def _row(payload: str | None, nodes: list[_Node]) -> tuple[list, list, list, list]:
+    """(values, states, entries of what is inside, unknown keys) of a payload."""
+    try:
+        record = jsontext.read(payload, Decimal) if payload else {}
+        if not isinstance(record, dict):
+            raise ValueError("no object")
+        values, states, found = [], [], []
+        for node in nodes:
+            text, state = None, "absent" if node.key is None else "missing"
+            if node.key is not None and node.key in record:
+                _, text, fits = _shaped(record[node.key], node, (node.out,), found)
+                state = "null" if record[node.key] is None else "ok" if fits else "misfit"
+            values.append(text)
+            states.append(state)
+        known = {node.key for node in nodes}
+        return values, states, found, sorted((k, _canonical(v, None)[0]) for k, v in record.items() if k not in known)
+    except (ValueError, RecursionError):
+        return [None] * len(nodes), ["unreadable"] * len(nodes), [], []
 
 
 def unify_rows(rows: DataFrame, fields: DataFrame) -> DataFrame:
@@ -402,8 +478,8 @@ def unify_rows(rows: DataFrame, fields: DataFrame) -> DataFrame:
     written with, null where its schema lacks the field), the canonical type,
     the value as text in canonical form, and its state: ok, null, missing (an
     optional key left out; so are all of a null or empty payload), absent (not in
-    the row's schema), misfit (kept as written), unreadable (payload isn't a JSON
-    object). Keys that the schema lacks, all of them where the schema itself is
+    the row's schema), misfit (the canonical type doesn't hold it exactly; kept as
+    written), unreadable (payload isn't a JSON object). Keys that the schema lacks, all of them where the schema itself is
     unknown, are kept with their values as text in rest.
 
     Structs, lists and maps are brought into the shape at any depth, by the ids

@@ -7,11 +7,12 @@ a struct's field under ``field_type`` or ``type``, ids as numbers or as text.
 
 from __future__ import annotations
 
-import json
 from collections.abc import Iterator
 from functools import lru_cache
 from typing import Any
 
+from tablelens import jsontext
+
 #: Kinds that are compared only as such, never by what is inside.
 NESTED = ("struct", "list", "map")
 
@@ -22,24 +23,24 @@ def get(node: dict, key: str) -> Any:
     return node.get(key.replace("-", "_")) if found is None else found
 
 
-def as_int(value: Any) -> int | None:
-    """An id given as a number or as text; None for anything else."""
-    if isinstance(value, bool):
-        return None
-    if isinstance(value, int):
-        return value
+def as_int(value: Any, bits: int = 64) -> int | None:
+    """An id given as a number or as text; None for anything else, and for numbers
+    of more bits, which no column holds."""
     if isinstance(value, str):
-        text = value.strip()
-        if text.removeprefix("-").isascii() and text.removeprefix("-").isdigit():
-            return int(text)
-    return None
+        digits = value.strip().removeprefix("-")
+        if not (digits.isascii() and digits.isdigit()) or len(digits.lstrip("0")) > 19:
+            return None
+        value = -int(digits.lstrip("0") or "0") if value.strip().startswith("-") else int(digits.lstrip("0") or "0")
+    if isinstance(value, bool) or not isinstance(value, int):
+        return None
+    return value if -(1 << (bits - 1)) <= value < 1 << (bits - 1) else None
 
 
 def opened(value: Any) -> Any:
     """A type with JSON text in place of an object opened."""
     if isinstance(value, str) and value.lstrip().startswith("{"):
         try:
-            return json.loads(value)
+            return jsontext.read(value)
         except ValueError:
             return value
     return value
@@ -49,33 +50,46 @@ def type_tag(value: Any) -> str | None:
     """The form in which types are compared: the kind of a nested type, else
     the name in lower case, without blanks, in one spelling of the zoned timestamp."""
     value = opened(value)
-    if isinstance(value, dict):
-        return type_tag(value.get("type"))
+    while isinstance(value, dict):
+        value = opened(value.get("type"))
     if not isinstance(value, str):
         return None
     name = "".join(value.split()).lower()
     return "timestampz" if name == "timestamptz" else name
 
 
-def children(value: Any) -> list[tuple[int, str | None, Any]]:
-    """(id, name, type) of the fields directly under a type; elements, keys and
-    values have no name. Fields without a readable id are left out with all below."""
+def objects(value: Any) -> list[dict]:
+    """The objects of a list; one object in place of a list is a list of one."""
+    value = opened(value)
+    if isinstance(value, dict):
+        return [value]
+    return [x for x in value if isinstance(x, dict)] if isinstance(value, list) else []
+
+
+def described(value: Any) -> list[tuple[int | None, str | None, Any, dict]]:
+    """(id, name, type, attributes) of the fields directly under a type; elements,
+    keys and values have no name. The id is None where it can't be read."""
     value = opened(value)
     if not isinstance(value, dict):
         return []
     kind = type_tag(value)
-    out: list[tuple[int | None, str | None, Any]] = []
     if kind == "struct":
-        for f in value.get("fields") or ():
-            if isinstance(f, dict):
-                name = f.get("name")
-                out.append((as_int(f.get("id")), None if name is None else str(name), get(f, "field-type") if get(f, "field-type") is not None else f.get("type")))
-    elif kind == "list":
-        out.append((as_int(get(value, "element-id")), None, value.get("element")))
-    elif kind == "map":
-        out.append((as_int(get(value, "key-id")), None, value.get("key")))
-        out.append((as_int(get(value, "value-id")), None, value.get("value")))
-    return [(i, n, t) for i, n, t in out if i is not None]
+        out = []
+        for f in objects(value.get("fields")):
+            name, inside = f.get("name"), get(f, "field-type")
+            out.append((as_int(f.get("id"), 32), None if name is None else str(name), f.get("type") if inside is None else inside, f))
+        return out
+    if kind == "list":
+        return [(as_int(get(value, "element-id"), 32), None, value.get("element"), {"required": get(value, "element-required")})]
+    if kind == "map":
+        return [(as_int(get(value, f"{part}-id"), 32), None, value.get(part), {"required": part == "key" or get(value, "value-required")}) for part in ("key", "value")]
+    return []
+
+
+def children(value: Any) -> list[tuple[int, str | None, Any]]:
+    """(id, name, type) of the fields directly under a type. Fields without a
+    readable id are left out with all below."""
+    return [(i, n, t) for i, n, t, _ in described(value) if i is not None]
 
 
 def walk(value: Any, parent: int | None = None) -> Iterator[tuple[int, int | None, str | None, str | None]]:

@@ -17,8 +17,9 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
+from tablelens import jsontext
 from tablelens import model as M
-from tablelens.codec import CodecError, dumps, dumps_type, loads_type, parse_table_metadata
+from tablelens.codec import CodecError, body_text, dumps, dumps_type, loads_type, parse_table_metadata
 from tablelens.operators.fieldtree import as_int, get, opened, type_tag
 from tablelens.shared import ship
 from tablelens.types import Primitive, UnsupportedTypeError, primitive_to_spark
@@ -106,12 +107,12 @@ def parse_documents(docs: DataFrame, key: str, body: str, dialect: str = "refere
             rows = []
             for text in batch["body"].to_pylist():
                 try:
-                    md = parse_table_metadata("" if text is None else text.removeprefix("﻿"), dialect)
+                    md = parse_table_metadata(body_text(text), dialect)
                     rows.append((md.table_uuid, None, dumps(md, dialect)))
                 except CodecError as e:
                     rows.append((None, str(e), None))
             columns = list(zip(*rows)) if rows else ((), (), ())
-            yield pa.RecordBatch.from_arrays([batch["key"], *(pa.array(c, pa.string()) for c in columns)], ["key", "table_uuid", "error", "text"])
+            yield pa.RecordBatch.from_arrays([batch["key"], *(jsontext.texts(c) for c in columns)], ["key", "table_uuid", "error", "text"])
 
     kind = docs.schema[key].dataType.simpleString()
     return docs.select(F.col(key).alias("key"), F.col(body).alias("body")).mapInArrow(parse, f"key {kind}, table_uuid string, error string, text string").withColumnRenamed("key", key)
@@ -128,11 +129,11 @@ def tables_of(docs: DataFrame, body: str, table: str, dialect: str = "reference"
             rows: list[tuple[Any, ...]] = []
             for text in batch["body"].to_pylist():
                 try:
-                    rows.extend(rows_of(parse_table_metadata("" if text is None else text.removeprefix("\ufeff"), dialect), table))
+                    rows.extend(rows_of(parse_table_metadata(body_text(text), dialect), table))
                 except CodecError:
                     continue
             columns = list(zip(*rows)) if rows else [()] * len(arrow)
-            yield pa.RecordBatch.from_arrays([pa.array([list(v.items()) if isinstance(v, dict) else v for v in c], f.type) for c, f in zip(columns, arrow)], schema=arrow)
+            yield pa.RecordBatch.from_arrays([jsontext.texts(c) if f.type == pa.string() else pa.array([list(v.items()) if isinstance(v, dict) else v for v in c], f.type) for c, f in zip(columns, arrow)], schema=arrow)
 
     return docs.select(F.col(body).alias("body")).mapInArrow(read, schema)
 
@@ -156,14 +157,14 @@ def violations_of(docs: DataFrame, key: str, body: str, dialect: str = "referenc
             take, rows = [], []
             for i, text in enumerate(batch["body"].to_pylist()):
                 try:
-                    whole = "" if text is None else text.removeprefix("\ufeff")
+                    whole = body_text(text)
                     found = validate(parse_table_metadata(whole, dialect), format_version(whole))
                 except CodecError:
                     continue
                 take.extend([i] * len(found))
                 rows.extend((v.code, v.detail) for v in found)
             columns = list(zip(*rows)) if rows else ((), ())
-            yield pa.RecordBatch.from_arrays([batch["key"].take(pa.array(take, pa.int64())), *(pa.array(c, pa.string()) for c in columns)], ["key", "code", "detail"])
+            yield pa.RecordBatch.from_arrays([batch["key"].take(pa.array(take, pa.int64())), *(jsontext.texts(c) for c in columns)], ["key", "code", "detail"])
 
     kind = docs.schema[key].dataType.simpleString()
     return docs.select(F.col(key).alias("key"), F.col(body).alias("body")).mapInArrow(check, f"key {kind}, code string, detail string").withColumnRenamed("key", key)

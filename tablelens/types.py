@@ -43,6 +43,12 @@ def within(number: int, bounds: tuple[int, int]) -> bool:
     return bounds[0] <= number <= bounds[1]
 
 
+def whole(digits: str) -> int:
+    """The number that digits write; of more than 20 digits only that it is too large for 64 bits."""
+    digits = digits.lstrip("0") or "0"
+    return int(digits) if len(digits) <= 20 else 2**64
+
+
 def parse_primitive(text: str, dialect: str = "reference") -> Primitive:
     """The type that a text names, exactly: no blanks, lower case. The spec dialect
     also knows ``timestamptz`` and a blank behind the comma of a decimal."""
@@ -55,7 +61,7 @@ def parse_primitive(text: str, dialect: str = "reference") -> Primitive:
     if text.startswith("decimal"):
         if not (m := _DECIMAL.fullmatch(text)):
             raise TypeTextError(f"not a decimal: {text!r}")
-        precision, scale = int(m[1]), int(m[2])
+        precision, scale = whole(m[1]), whole(m[2])
         if not within(precision, I32):
             raise TypeTextError(f"precision is no 32-bit integer: {text!r}")
         if not within(scale, U8):
@@ -64,9 +70,9 @@ def parse_primitive(text: str, dialect: str = "reference") -> Primitive:
     if text.startswith("fixed"):
         if not (m := _FIXED.fullmatch(text)):
             raise TypeTextError(f"not a fixed: {text!r}")
-        if not within(int(m[1]), U64):
+        if not within(whole(m[1]), U64):
             raise TypeTextError(f"length is no 64-bit integer: {text!r}")
-        return Primitive("fixed", (int(m[1]),))
+        return Primitive("fixed", (whole(m[1]),))
     raise TypeTextError(f"unknown type {text!r}")
 
 
@@ -92,11 +98,16 @@ def primitive_to_spark(p: Primitive) -> T.DataType:
 
 
 def type_columns(text: Column) -> dict[str, Column]:
-    """kind, precision, scale and length of type texts, as columns; kind is null
-    where the text names no type."""
-    precision = F.try_to_number(F.nullif(F.regexp_extract(text, r"^decimal\(([0-9]{1,10}),[0-9]{1,3}\)\z", 1), F.lit("")), F.lit("9999999999"))
-    scale = F.try_to_number(F.nullif(F.regexp_extract(text, r"^decimal\([0-9]{1,10},([0-9]{1,3})\)\z", 1), F.lit("")), F.lit("999"))
-    length = F.nullif(F.regexp_extract(text, r"^fixed\[([0-9]{1,18})\]\z", 1), F.lit("")).cast("bigint")
+    """kind, precision, scale and length (decimal(20,0), as it has 64 bits without a
+    sign) of type texts, as columns; kind is null where the text names no type."""
+
+    def number(pattern: str, digits: int) -> Column:
+        return F.nullif(F.regexp_extract(text, pattern, 1), F.lit("")).try_cast(T.DecimalType(digits, 0))
+
+    precision = number(r"^decimal\(0*([0-9]{1,10}),[0-9]+\)\z", 10)
+    scale = number(r"^decimal\([0-9]+,0*([0-9]{1,3})\)\z", 3)
+    length = number(r"^fixed\[0*([0-9]{1,20})\]\z", 20)
+    length = F.when(length <= F.lit(U64[1]).cast(T.DecimalType(20, 0)), length)
     is_decimal = (precision <= I32[1]) & (scale <= U8[1])
     kind = F.when(text.isin(*PLAIN), text).when(is_decimal, "decimal").when(length.isNotNull(), "fixed")
     return {"kind": kind, "precision": F.when(is_decimal, precision).cast("int"), "scale": F.when(is_decimal, scale).cast("int"), "length": length}

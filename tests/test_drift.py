@@ -3,6 +3,7 @@
 import datetime as dt
 import json
 import random
+from decimal import Decimal
 
 import pytest
 from pyspark.sql import functions as F
@@ -144,3 +145,22 @@ def test_empty_and_nulls(spark):
     df = spark.createDataFrame(rows, SCHEMA).withColumns({c: F.lit(1) for c in ("b", "ord", "form", "block", "tag", "span")})
     got = sorted(tuple(r)[1:] for r in drift.schema_changes(df).collect())
     assert got == [(0, 1, 1, "renamed"), (0, 1, 1, "type_changed"), (1, 2, 1, "type_changed")]
+
+
+@pytest.mark.parametrize(
+    "value,tag,written,text",
+    [
+        (9007199254740993, "double", "long", None), (9007199254740992, "double", "long", "9007199254740992.0"), (Decimal("0.1"), "double", "double", "0.1"), ("0.10", "double", "decimal(9,2)", "0.1"),
+        (2**31, "int", "int", None), (2**63, "long", "long", None), (Decimal("1E30"), "int", "int", None), ("7.0", "int", "int", "7"),
+        ("1.5", "decimal(9,2)", None, "1.50"), ("1.50", "decimal(9,2)", None, "1.50"), ("1.505", "decimal(9,2)", None, None), ("12345678.5", "decimal(9,2)", None, None), ("-0.5", "decimal(2,2)", None, "-0.50"),
+        ("1.50", "decimal", None, "1.5"), (3, "decimal", None, "3"), ("1E5", "decimal", None, "100000"), ("1E999999999", "decimal", None, None), ("0.00", "decimal", None, "0"), ("nan", "decimal", None, None),
+        ("2024-02-29", "date", None, "2024-02-29"), ("2023-02-29", "date", None, None), ("not a date", "date", None, None), (20240101, "date", None, None),
+        ("2024-01-01", "timestamp", "date", "2024-01-01T00:00:00"), ("2024-01-01 10:00:00.500", "timestamp", None, "2024-01-01T10:00:00.5"), ("zzz", "timestamp", None, None), ("2024-01-01T10:00:00Z", "timestamp", None, None),
+        ("2024-01-01T01:00:00+02:00", "timestampz", None, "2023-12-31T23:00:00Z"), ("2024-01-01T01:00:00", "timestampz", None, None), ("9999-12-31T23:59:59-01:00", "timestampz", None, None),
+        ("10:00:00.120", "time", None, "10:00:00.12"), ("25:00:00", "time", None, None), ("x", "uuid", None, None), ("F79C3E09677C4BBDA479512F87F12A34", "uuid", None, "f79c3e09-677c-4bbd-a479-512f87f12a34"),
+        (True, "boolean", None, "true"), ("TRUE", "boolean", None, "true"), ("yes", "boolean", None, None), (1, "boolean", None, None), (5, "string", "int", "5"),
+    ],
+)
+def test_canonical_values_lose_nothing(value, tag, written, text):
+    got, fits = drift._canonical(value, tag, written)
+    assert (got, fits) == ((str(value), False) if text is None else (text, True))

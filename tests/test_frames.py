@@ -21,6 +21,7 @@ DATA = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001")
 
 NESTED = {"type": "map", "key-id": 10, "key": "string", "value-id": 11, "value-required": True, "value": {"type": "list", "element-id": 12, "element-required": False, "element": {"type": "struct", "fields": [{"id": 13, "name": "x", "required": True, "field_type": "decimal(9,2)"}]}}}
 FULL = TABLE | {
+    "current-schema-id": 1, "default-spec-id": 1,
     "schemas": [{"schema-id": 1, "type": "struct", "identifier-field-ids": [1], "fields": [{"id": 1, "name": "a", "required": True, "field_type": "long", "doc": "key"}, {"id": 2, "name": "m", "required": False, "field_type": NESTED}, {"id": 3, "name": "f", "required": False, "field_type": "fixed[4]"}],
                  "name-mapping": {"default": [{"field-id": 1, "names": ["A", "a"]}, {"field-id": 2, "names": [], "fields": [{"field-id": 10, "names": ["k"]}]}]}}],
     "last-column-id": 13, "last-partition-id": 1000, "current-snapshot-id": SNAPSHOT["snapshot-id"], "snapshots": [SNAPSHOT | {"schema-id": 1}],
@@ -37,7 +38,7 @@ def md():
 
 def test_tables_of_a_document(spark, md):
     counts = {t: frames.frame(spark, md, t).count() for t in frames.TABLES}
-    assert counts == {"tables": 1, "fields": 7, "identifiers": 1, "name_mappings": 3, "partitions": 1, "sort_fields": 1, "snapshots": 1, "refs": 1, "properties": 1, "metadata_log": 1, "snapshot_log": 1}
+    assert counts == {"tables": 1, "fields": 7, "identifiers": 1, "name_mappings": 3, "partitions": 1, "sort_fields": 1, "snapshots": 1, "refs": 1, "properties": 2, "metadata_log": 1, "snapshot_log": 1}
     assert [r["path"] for r in frames.frame(spark, md, "fields").collect()] == ["a", "m", "f", "m.key", "m.value", "m.value.element", "m.value.element.x"]
     with pytest.raises(ValueError):
         frames.frame(spark, md, "manifests")
@@ -103,7 +104,7 @@ def test_projection_by_id_and_by_name(spark):
 def test_validation(md):
     assert validate(md, 2) == []
     codes = [v.code for v in validate(parse_table_metadata(json.dumps(TABLE)))]
-    assert codes == ["last-partition-id", "partition-source-id"]  # field 1000 above 1, source 4 that isn't there
+    assert codes == ["partition-source-id"]  # source 9 isn't there
     broken = FULL | {"current-schema-id": 9, "default-spec-id": 9, "default-sort-order-id": 9, "current-snapshot-id": 9, "last-column-id": 2, "last-sequence-number": 0, "refs": {"main": BRANCH | {"min-snapshots-to-keep": 0}, "x": BRANCH | {"snapshot-id": 8}}}
     codes = {v.code for v in validate(parse_table_metadata(json.dumps(broken)), 1)}
     assert codes == {"format-version", "current-schema-id", "default-spec-id", "default-sort-order-id", "current-snapshot-id", "main", "ref", "retention", "last-column-id", "last-sequence-number"}

@@ -5,7 +5,9 @@ import json
 import pytest
 from pyspark.sql import functions as F
 
-from tablelens.operators.nested import SCHEMAS, flatten_documents, read_table, write_tables
+from tablelens import jsontext
+from tablelens.operators.fieldtree import walk
+from tablelens.operators.nested import REJECT, TAGS, flatten_documents, read_table, write_tables
 
 DOC = {
     "format-version": 2, "schemas": [{"schema-id": 3, "type": "struct", "fields": [
@@ -75,13 +77,48 @@ def test_incomplete_bodies(spark):
     assert nodes_of(spark, {}) == {}
 
 
-def test_deep_document(spark):
-    kind = "int"
-    for i in range(300):
-        kind = {"type": "list", "element-id": 10_000 - i, "element-required": True, "element": kind}
-    doc = {"schemas": [{"schema-id": 0, "fields": [{"id": 1, "name": "a", "required": True, "field_type": kind}]}]}
-    (got,) = nodes_of(spark, {1: json.dumps(doc)}).values()
-    assert len(got) == 302
+@pytest.mark.parametrize("depth", [300, 5_000, 20_000])
+def test_deep_document(spark, depth):
+    kind = "".join(f'{{"type":"list","element-id":{100_000 - i},"element-required":true,"element":' for i in range(depth)) + '"int"' + "}" * depth
+    body = f'{{"schemas":[{{"schema-id":0,"fields":[{{"id":1,"name":"a","required":true,"field_type":{kind}}}]}}]}}'
+    (got,) = nodes_of(spark, {1: body}).values()
+    assert len(got) == depth + 2
+    assert len(list(walk(kind))) == depth
+
+
+def test_long_numbers_and_repeated_ids(spark):
+    body = json.dumps({"n": 0, **DOC}).replace('"n": 0', '"n": ' + "8" * 5000)
+    (got,) = nodes_of(spark, {1: body}).values()
+    assert set(got) == NODES
+    twice = {"schemas": [{"schema-id": 0, "fields": [{"id": 1, "name": "a", "required": True, "field_type": "int", "doc": "x"}, {"id": 1, "name": "b\ud800", "required": False, "field_type": "int"}]}]}
+    df = spark.createDataFrame([(1, json.dumps(twice))], "meta_id bigint, body string")
+    rows = read_table(flatten_documents(df, ("field",)), "field").orderBy("pos").collect()
+    assert [(r["name"], r["required"], r["doc"]) for r in rows] == [("a", True, "x"), ("b\ufffd", False, None)]
+
+
+def test_rejects(spark):
+    odd = {"schemas": [{"schema-id": "x", "fields": []}, {"schema-id": 2, "fields": [{"id": 2**40, "name": "a", "field_type": {"type": "list", "element-id": 5, "element": "int"}}]}], "refs": {"r": 3}}
+    df = spark.createDataFrame([(1, None), (2, json.dumps(odd)), (3, json.dumps(DOC))], "meta_id bigint, body string")
+    got = read_table(flatten_documents(df, (REJECT,)), REJECT)
+    assert sorted((r["meta_id"], r["part"], r["reason"]) for r in got.collect()) == [(1, "body", "no complete JSON"), (2, "field", "no readable id"), (2, "ref", "no object"), (2, "schema", "no readable id")]
+
+
+@pytest.mark.parametrize("text", ['{"a": [1, -2.5e3, {"b": "\\u00e9\\n"}, null, true, false], "": {}, "a": [], "c": [[], {}]}', " [ 1 ] ", '"x"', "3", "[NaN, -Infinity]"])
+def test_flat_reader(text):
+    assert repr(jsontext._read_flat(text, float)) == repr(json.loads(text))
+
+
+@pytest.mark.parametrize("text", ["", "[1,]", '{"a" 1}', '{"a": 1,}', "[1", "{", "[1] 2", '{1: 2}', "[01]", "tru", '["a]'])
+def test_flat_reader_rejects(text):
+    with pytest.raises(ValueError):
+        jsontext._read_flat(text, float)
+
+
+def test_write_deep():
+    value = []
+    for _ in range(50_000):
+        value = [value, {"k": 1}]
+    assert jsontext.write(value).count("[") == 50_001
 
 
 def test_tables(spark, tmp_path):
@@ -95,7 +132,7 @@ def test_tables(spark, tmp_path):
     assert snapshot["snapshot_id"] == 9007199254740993 and snapshot["operation"] == "append" and snapshot["summary"] == {"n": "1"}
     plan = fields._jdf.queryExecution().executedPlan().toString()
     assert "PartitionFilters: [isnotnull(node_kind" in plan
-    for tag in SCHEMAS:
+    for tag in TAGS:
         assert read_table(stored, tag).count() > 0
     with pytest.raises(ValueError):
         read_table(stored, "other")
