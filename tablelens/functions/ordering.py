@@ -19,14 +19,14 @@ def sort_columns(order: SortOrder, schema: Schema, df: DataFrame) -> list[Column
     Each compares the transformed value of its source field."""
     if order.order_id == 0:
         return []
-    names = {f.id: f.name for f in schema.fields}
+    fields = {f.id: f for f in schema.fields}
     kinds = {f.name: f.dataType for f in df.schema}
     out = []
     for f in order.fields:
-        if f.source_id not in names:
+        if f.source_id not in fields:
             raise TransformError(f"sort field: no source field {f.source_id}")
-        source = names[f.source_id]
-        out.append(getattr(apply_transform(f.transform, F.col(f"`{source}`"), kinds[source]), _METHOD[(f.direction, f.null_order)])())
+        source = fields[f.source_id]
+        out.append(getattr(apply_transform(f.transform, F.col(f"`{source.name}`"), kinds[source.name], source.field_type), _METHOD[(f.direction, f.null_order)])())
     return out
 
 

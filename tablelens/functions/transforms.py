@@ -1,25 +1,26 @@
 """Partition transforms as columns.
 
-All but bucket over strings, binaries and decimals are built from Spark's own
-expressions and stay in generated code. Those three need the tail handling of
-the standard Murmur3, which Spark's hash doesn't have; they go through one
-vectorized Arrow function.
+All are built from Spark's own expressions and run in the JVM. Spark's Murmur3
+differs from the standard one in the last bytes of strings and binaries only: of
+those it hashes the part that is a multiple of four bytes long, its last steps
+are undone, and the rest is mixed in as the standard says. Decimals of more than
+18 digits, whose bytes no expression gives, go through a vectorized Arrow function.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterable
+from collections.abc import Callable, Iterable
 from decimal import Decimal
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tablelens.model import PartitionSpec, Schema, Transform
-from tablelens.types import U32
+from tablelens.shared import ship
+from tablelens.types import U32, Primitive
 
 #: An int whose hash with Spark's seed 42 is 0; hashed first, it makes 0 the seed (fixed value).
 _SEED_ZERO = -1693959553
@@ -36,8 +37,8 @@ def parse_transform_columns(text: Column) -> tuple[Column, Column]:
     """(name, parameter) of transform texts; both null where a text is no transform."""
     from tablelens.codec import TRANSFORMS
 
-    name = F.nullif(F.regexp_extract(text, r"^(bucket|truncate)\[[0-9]{1,18}\]\z", 1), F.lit(""))
-    arg = F.nullif(F.regexp_extract(text, r"^(?:bucket|truncate)\[([0-9]{1,18})\]\z", 1), F.lit("")).cast("bigint")
+    name = F.nullif(F.regexp_extract(text, r"^(bucket|truncate)\[[0-9]+\]\z", 1), F.lit(""))
+    arg = F.nullif(F.regexp_extract(text, r"^(?:bucket|truncate)\[0*([0-9]{1,10})\]\z", 1), F.lit("")).cast("bigint")
     fits = arg <= U32[1]
     return F.when(text.isin(*TRANSFORMS), text).when(fits, name), F.when(fits, arg)
 
@@ -80,25 +81,87 @@ def unscaled_bytes(value: Decimal, scale: int) -> bytes:
 
 
 def _hashed(values: pa.Array) -> pa.Array:
-    if pa.types.is_decimal(values.type):
-        data = [None if v is None else unscaled_bytes(v, values.type.scale) for v in values.to_pylist()]
-    else:
-        data = pc.cast(values, pa.large_binary()).to_pylist()
+    data = [None if v is None else unscaled_bytes(v, values.type.scale) for v in values.to_pylist()]
     there = np.array([v is not None for v in data], bool)
     out = np.zeros(len(data), np.int32)
     out[there] = murmur3(v for v in data if v is not None).view(np.int32)
     return pa.array(out, mask=~there)
 
 
-def hash_column(column: Column, kind: T.DataType) -> Column:
-    """The format's 32-bit hash of a column; null for null."""
+def _let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """body of a value that is computed once, however often body names it."""
+    return F.transform(F.array(value), body)[0]
+
+
+def _steps(value: Column, *steps: Callable[[Column], Column]) -> Column:
+    for step in steps:
+        value = _let(value, step)
+    return value
+
+
+_LOW = 0xFFFFFFFF
+
+
+def _times(by: int) -> Callable[[Column], Column]:
+    """Product modulo 2^32 of an unsigned 32-bit number, in halves so that no bigint overflows."""
+    return lambda x: (x.bitwiseAND(F.lit(0xFFFF)) * F.lit(by) + F.shiftleft((F.shiftrightunsigned(x, 16) * F.lit(by)).bitwiseAND(F.lit(0xFFFF)), 16)).bitwiseAND(F.lit(_LOW))
+
+
+def _fold(*by: int) -> Callable[[Column], Column]:
+    """x ^ (x >>> by) for each shift."""
+
+    def step(x: Column) -> Column:
+        out = x
+        for n in by:
+            out = out.bitwiseXOR(F.shiftrightunsigned(x, n))
+        return out
+
+    return step
+
+
+def _left(n: int) -> Callable[[Column], Column]:
+    return lambda x: F.shiftleft(x, n).bitwiseOR(F.shiftrightunsigned(x, 32 - n)).bitwiseAND(F.lit(_LOW))
+
+
+def _hash_binary(data: Column) -> Column:
+    """The standard Murmur3 (seed 0) of a binary column that is not null."""
+    size = F.octet_length(data).cast("bigint")
+    rest = F.pmod(size, F.lit(4).cast("bigint"))
+    head = F.hash(F.lit(_SEED_ZERO), F.substring(data, F.lit(1), (size - rest).cast("int"))).cast("bigint").bitwiseAND(F.lit(_LOW))
+    # back from the finished hash of the head to its state
+    state = _steps(head, _fold(16), _times(pow(0xC2B2AE35, -1, 1 << 32)), _fold(13, 26), _times(pow(0x85EBCA6B, -1, 1 << 32)), _fold(16)).bitwiseXOR(size - rest)
+    byte = lambda i: F.when(rest >= i, F.conv(F.hex(F.substring(data, (size - rest).cast("int") + F.lit(i), F.lit(1))), 16, 10).cast("bigint")).otherwise(F.lit(0).cast("bigint"))
+    tail = byte(1) + F.shiftleft(byte(2), 8) + F.shiftleft(byte(3), 16)
+    mixed = _steps(tail, _times(int(_M1)), _left(15), _times(int(_M2)))
+    return _steps(state.bitwiseXOR(mixed).bitwiseXOR(size), _fold(16), _times(0x85EBCA6B), _fold(13), _times(0xC2B2AE35), _fold(16), lambda x: F.when(x > _INT_MAX, x - (1 << 32)).otherwise(x).cast("int"))
+
+
+def _unscaled(column: Column, scale: int) -> Column:
+    """The unscaled value of a decimal of at most 18 digits in the fewest bytes of two's complement."""
+    number = (column.cast(T.DecimalType(38, scale)) * F.lit(10**scale).cast(T.DecimalType(19, 0))).cast("bigint")
+    octets = F.lit(8)
+    for n in range(7, 0, -1):
+        octets = F.when(number.between(-(1 << (8 * n - 1)), (1 << (8 * n - 1)) - 1), n).otherwise(octets)
+    return F.substring(F.unhex(F.lpad(F.hex(number), 16, "0")), F.lit(9) - octets, octets)
+
+
+def hash_column(column: Column, kind: T.DataType, source: Primitive | None = None) -> Column:
+    """The format's 32-bit hash of a column; null for null. source is the type of the
+    field: a uuid is hashed as its 16 bytes."""
+    if source == Primitive("uuid") and isinstance(kind, T.StringType):
+        column, kind = F.unhex(F.replace(column, F.lit("-"), F.lit(""))), T.BinaryType()
     if isinstance(kind, (T.ByteType, T.ShortType, T.IntegerType, T.LongType)):
         as_long = column.cast("bigint")
     elif isinstance(kind, T.DateType):
         as_long = F.unix_date(column).cast("bigint")
     elif isinstance(kind, (T.TimestampType, T.TimestampNTZType)):
         as_long = micros(column, kind)
-    elif isinstance(kind, (T.StringType, T.BinaryType, T.DecimalType)):
+    elif isinstance(kind, (T.StringType, T.BinaryType)):
+        return F.when(column.isNotNull(), _let(column.cast("binary"), _hash_binary))
+    elif isinstance(kind, T.DecimalType) and kind.precision <= 18:
+        return F.when(column.isNotNull(), _let(_unscaled(column, kind.scale), _hash_binary))
+    elif isinstance(kind, T.DecimalType):
+        ship(SparkSession.active())
         return F.arrow_udf(_hashed, "int")(column)
     else:
         raise TransformError(f"{kind.simpleString()} cannot be hashed")
@@ -162,12 +225,13 @@ def _truncate(column: Column, kind: T.DataType, width: int) -> Column:
     raise TransformError(f"{kind.simpleString()} cannot be truncated")
 
 
-def apply_transform(transform: Transform, column: Column, kind: T.DataType) -> Column:
+def apply_transform(transform: Transform, column: Column, kind: T.DataType, source: Primitive | None = None) -> Column:
     """The partition values of a column of the given type; null for null.
 
     void is always null; year, month, day and hour count from 1970-01-01 in UTC,
     downwards before; truncate rounds numbers down, also below zero (null where
-    the type holds no such number), and cuts strings by characters.
+    the type holds no such number), and cuts strings by characters. source is the
+    type of the field, where it says more than the column's (uuids are strings here).
     """
     name = transform.name
     if name in ("bucket", "truncate") and not transform.arg:
@@ -179,7 +243,7 @@ def apply_transform(transform: Transform, column: Column, kind: T.DataType) -> C
     if name in ("year", "month", "day", "hour"):
         return _time(name, column, kind)
     if name == "bucket":
-        return F.pmod(hash_column(column, kind).bitwiseAND(F.lit(_INT_MAX)), F.lit(transform.arg)).cast("int")
+        return F.pmod(hash_column(column, kind, source).bitwiseAND(F.lit(_INT_MAX)), F.lit(transform.arg)).cast("int")
     return _truncate(column, kind, transform.arg)
 
 
@@ -190,12 +254,12 @@ def result_type(transform: Transform, kind: T.DataType) -> T.DataType:
 def with_partition_columns(df: DataFrame, schema: Schema, spec: PartitionSpec) -> DataFrame:
     """df with a column for each field of the spec. Sources are top-level fields
     found by id; a field whose source is not in the schema is an error."""
-    names = {f.id: f.name for f in schema.fields}
+    fields = {f.id: f for f in schema.fields}
     kinds = {f.name: f.dataType for f in df.schema}
     out = {}
     for f in spec.fields:
-        if f.source_id not in names:
+        if f.source_id not in fields:
             raise TransformError(f"partition field {f.name}: no source field {f.source_id}")
-        source = names[f.source_id]
-        out[f.name] = apply_transform(f.transform, F.col(f"`{source}`"), kinds[source])
+        source = fields[f.source_id]
+        out[f.name] = apply_transform(f.transform, F.col(f"`{source.name}`"), kinds[source.name], source.field_type)
     return df.withColumns(out)

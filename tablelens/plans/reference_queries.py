@@ -3,8 +3,8 @@
 from __future__ import annotations
 
 import datetime as dt
-import uuid
 from collections.abc import Callable
+from decimal import Decimal
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -12,11 +12,11 @@ from pyspark.sql import functions as F
 from tablelens.codec import parse_table_metadata
 from tablelens.functions.ordering import sort_columns
 from tablelens.functions.transforms import apply_transform, parse_transform_columns, with_partition_columns
-from tablelens.model import NameMapping, NameMappings, Schema, SortField, SortOrder, StructField, Transform
+from tablelens.model import NameMapping, NameMappings, PartitionField, PartitionSpec, Schema, SortField, SortOrder, StructField, Transform
 from tablelens.operators import drift, frames, timeline
 from tablelens.plans.core_queries import _DEEP, _P1, table
-from tablelens.plans.pruning import And, Compare, prune
-from tablelens.shared import shared_dir
+from tablelens.plans.pruning import And, Compare, In, Not, prune
+from tablelens.shared import stored_once
 from tablelens.types import Primitive, spark_type_column, type_columns
 
 NOW_MS = 1_735_689_600_000  # 2025-01-01
@@ -62,15 +62,29 @@ def partition_tuple_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return parts.groupBy(*(f.name for f in spec.fields)).agg(F.count("*").alias("rows"))
 
 
+def _partitioned_events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The events as a table partitioned by day. It is written once for each state of
+    their files; days with many rows are split over several tasks."""
+    md = _events_metadata()
+    events = table(spark, sf_dir, "events").select("event_id", "ts", "value")
+    path = stored_once(with_partition_columns(events, md.current_schema(), md.default_spec()), "events", "ts_day")
+    return spark.read.parquet(path)
+
+
 def pruned_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Three days of a table that is partitioned by day; the scan lists those only."""
     md = _events_metadata()
-    path = f"{shared_dir(spark)}/tablelens/events-{uuid.uuid4().hex}"
-    events = table(spark, sf_dir, "events").select("event_id", "ts", "value")
-    parts = with_partition_columns(events, md.current_schema(), md.default_spec())
-    parts.repartition("ts_day").write.partitionBy("ts_day").parquet(path)
     wanted = And((Compare("ts", ">=", dt.datetime(2024, 1, 10, 6)), Compare("ts", "<", dt.datetime(2024, 1, 12, 18, 30))))
-    return prune(spark.read.parquet(path), wanted, md.default_spec(), md.current_schema()).select("event_id", "ts", "value")
+    return prune(_partitioned_events(spark, sf_dir), wanted, md.default_spec(), md.current_schema()).select("event_id", "ts", "value")
+
+
+def pruned_decimal(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Orders by price, a decimal, through the partition values of a truncate and a bucket."""
+    schema = Schema(0, (StructField(1, "price", True, Primitive("decimal", (14, 2))), StructField(2, "o_custkey", True, Primitive("long"))))
+    spec = PartitionSpec(0, (PartitionField(1, 1000, "price_step", Transform("truncate", 5_000_000)), PartitionField(2, 1001, "cust_bucket", Transform("bucket", 32))))
+    orders = table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", F.col("o_totalprice").cast("decimal(14,2)").alias("price"))
+    wanted = And((Compare("price", "<=", 250_000), Compare("price", ">", Decimal("100000.5")), Not(In("o_custkey", (1, 2, 3)))))
+    return prune(with_partition_columns(orders, schema, spec), wanted, spec, schema).select("o_orderkey", "price")
 
 
 def _transform(name: str, source: str, key: str, column: str, arg: int | None = None) -> Callable[[SparkSession, str], DataFrame]:
@@ -275,6 +289,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "transform_truncate_string": _transform("truncate", "part", "p_partkey", "p_name", 3),
     "partition_tuple_counts": partition_tuple_counts,
     "pruned_scan": pruned_scan,
+    "pruned_decimal": pruned_decimal,
     "sort_order_apply": sort_order_apply,
     "snapshots": snapshots,
     "snapshot_summary": snapshot_summary,
@@ -318,6 +333,26 @@ b12 AS (SELECT *, CASE WHEN v IS NOT NULL THEN ((xor(h, h // 65536) % 2147483648
 """
 
 
+def _bucket_text_sql(source: str, key: str, value: str, n: int) -> str:
+    """Murmur3 of a text's bytes in plain SQL: words by list functions, the rest step by step."""
+    two32, digits = "4294967296", "'0123456789ABCDEF'"
+    mul = lambda x, c: f"(({x})::HUGEINT * {c} % {two32})::BIGINT"
+    rot = lambda x, low, high: f"(({x})::HUGEINT * {low} % {two32})::BIGINT + ({x}) // {high}"
+    mixed = f"list_transform(list_transform(list_transform({{}}, lambda k: {mul('k', 3432918353)}), lambda k: {rot('k', 32768, 131072)}), lambda k: {mul('k', 461845907)})"
+    return f"""
+WITH t0 AS (SELECT {key}, {value} AS v, hex(encode({value})) AS x FROM {source}),
+t1 AS (SELECT *, length(x) // 2 AS n, list_transform(range(0, length(x) // 2), lambda i: (strpos({digits}, substr(x, 2 * i + 1, 1)) - 1) * 16 + strpos({digits}, substr(x, 2 * i + 2, 1)) - 1) AS b FROM t0),
+t2 AS (SELECT *, n % 4 AS r, list_transform(range(0, n // 4), lambda i: (b[4 * i + 1] + b[4 * i + 2] * 256 + b[4 * i + 3] * 65536 + b[4 * i + 4] * 16777216)::BIGINT) AS words FROM t1),
+t3 AS (SELECT *, {mixed.format("words")} AS ks, {mixed.format("[(CASE WHEN r > 0 THEN b[n - r + 1] ELSE 0 END + CASE WHEN r > 1 THEN b[n - r + 2] * 256 ELSE 0 END + CASE WHEN r > 2 THEN b[n - r + 3] * 65536 ELSE 0 END)::BIGINT]")} AS tail FROM t2),
+t4 AS (SELECT *, list_reduce(list_concat([0::BIGINT], ks), lambda h, k: ((({rot("xor(h, k)", 8192, 524288)}) * 5 + 3864292196) % {two32})::BIGINT) AS h FROM t3),
+t5 AS (SELECT * REPLACE (xor(xor(h, tail[1]), n) AS h) FROM t4),
+t6 AS (SELECT * REPLACE (xor(h, h // 65536) AS h) FROM t5),
+t7 AS (SELECT * REPLACE ({mul("h", 2246822507)} AS h) FROM t6),
+t8 AS (SELECT * REPLACE (xor(h, h // 8192) AS h) FROM t7),
+t9 AS (SELECT * REPLACE ({mul("h", 3266489909)} AS h) FROM t8)
+SELECT {key}, CASE WHEN v IS NOT NULL THEN ((xor(h, h // 65536) % 2147483648) % {n})::INTEGER END AS part FROM t9"""
+
+
 _LATEST_SNAPSHOTS = "(SELECT * FROM snapshots QUALIFY row_number() OVER (PARTITION BY table_uuid, snapshot_id ORDER BY loaded_at DESC, timestamp_ms DESC, parent_snapshot_id DESC NULLS LAST) = 1)"
 _LATEST_METADATA = "(SELECT * FROM table_metadata QUALIFY row_number() OVER (PARTITION BY table_uuid ORDER BY last_updated_ms DESC, metadata_file DESC, delivered_at DESC) = 1)"
 _LATEST_FIELDS = "(SELECT * FROM schema_fields QUALIFY row_number() OVER (PARTITION BY table_uuid, schema_id, id ORDER BY loaded_at DESC, name DESC, field_type DESC) = 1)"
@@ -339,6 +374,7 @@ SQL = {
     "partition_tuple_counts": _bucket_sql("events", "event_id", "user_id", 8, ", ts, event_type")
     + "SELECT ((year(ts) - 1970) * 12 + month(ts) - 1)::INTEGER AS ts_month, bucket AS user_bucket, left(event_type, 4) AS type_part, count(*) AS rows FROM b12 GROUP BY 1, 2, 3",
     "pruned_scan": "SELECT event_id, ts, value FROM events WHERE ts >= TIMESTAMP '2024-01-10 06:00:00' AND ts < TIMESTAMP '2024-01-12 18:30:00'",
+    "pruned_decimal": "SELECT o_orderkey, o_totalprice::DECIMAL(14,2) AS price FROM orders WHERE o_totalprice::DECIMAL(14,2) <= 250000 AND o_totalprice::DECIMAL(14,2) > 100000.5 AND o_custkey NOT IN (1, 2, 3)",
     "transform_void": "SELECT o_orderkey, NULL::VARCHAR AS part FROM orders",
     "transform_identity": "SELECT o_orderkey, o_orderpriority AS part FROM orders",
     "transform_year": "SELECT o_orderkey, (year(o_orderdate) - 1970)::INTEGER AS part FROM orders",
@@ -347,13 +383,14 @@ SQL = {
     "transform_hour": "SELECT event_id, floor(epoch_us(ts) / 3600000000)::INTEGER AS part FROM events",
     "transform_bucket": _bucket_sql("orders", "o_orderkey", "o_custkey", 16) + "SELECT o_orderkey, bucket AS part FROM b12",
     "transform_bucket_time": _bucket_sql("events", "event_id", "epoch_us(ts)", 32) + "SELECT event_id, bucket AS part FROM b12",
+    "transform_bucket_string": _bucket_text_sql("part", "p_partkey", "p_name", 16),
     "transform_truncate_int": "SELECT o_orderkey, o_custkey - ((o_custkey % 10) + 10) % 10 AS part FROM orders",
     "transform_truncate_string": "SELECT p_partkey, left(p_name, 3) AS part FROM part",
     "sort_order_apply": _bucket_sql("orders", "o_orderkey", "o_custkey", 16, ", o_orderdate") + "SELECT bucket AS cust_bucket, ((year(o_orderdate) - 1970) * 12 + month(o_orderdate) - 1)::INTEGER AS order_month, o_orderkey FROM b12 ORDER BY 1, 2 DESC, 3",
     "type_to_spark": f"""
         SELECT field_type, CASE WHEN field_type IN ({_PLAIN_TYPES}) THEN field_type WHEN d THEN 'decimal' WHEN f THEN 'fixed' END AS kind,
                CASE WHEN d THEN regexp_extract(field_type, '([0-9]+),', 1)::INTEGER END AS precision, CASE WHEN d THEN regexp_extract(field_type, ',([0-9]+)', 1)::INTEGER END AS scale,
-               CASE WHEN f THEN regexp_extract(field_type, '([0-9]+)', 1)::BIGINT END AS length, {_spark_type_sql("field_type")} AS spark_type
+               CASE WHEN f THEN regexp_extract(field_type, '([0-9]+)', 1)::DECIMAL(20,0) END AS length, {_spark_type_sql("field_type")} AS spark_type
         FROM (SELECT DISTINCT field_type, regexp_full_match(field_type, 'decimal\\([0-9]+,[0-9]+\\)') AS d, regexp_full_match(field_type, 'fixed\\[[0-9]+\\]') AS f FROM schema_fields)""",
     "parse_transforms": """
         SELECT transform, CASE WHEN transform IN ('void', 'identity', 'year', 'month', 'day', 'hour') THEN transform WHEN p THEN split_part(transform, '[', 1) END AS name,

@@ -7,6 +7,7 @@ only the columns they need.
 
 from __future__ import annotations
 
+import hashlib
 import io
 import tempfile
 import uuid
@@ -76,6 +77,26 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     return write_shared(df, name)[0]
 
 
+def stored_once(df: DataFrame, name: str, *by: str) -> str:
+    """The folder of df written partitioned by columns, for as long as the session
+    lasts: written at the first call of that name for the files that df reads, in
+    their present state. Partitions with many rows are written by several tasks."""
+    spark = df.sparkSession
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    state = []
+    for file in sorted(df.inputFiles()):
+        at = jvm.org.apache.hadoop.fs.Path(file)
+        status = at.getFileSystem(conf).getFileStatus(at)
+        state.append((file, status.getLen(), status.getModificationTime()))
+    key = hashlib.sha256(repr((spark.sparkContext.applicationId, name, by, df.schema.json(), state)).encode()).hexdigest()[:32]
+    path = f"{shared_dir(spark)}/tablelens/{name}-{key}"
+    done = jvm.org.apache.hadoop.fs.Path(f"{path}/_SUCCESS")
+    if not done.getFileSystem(conf).exists(done):
+        df.hint("rebalance", *(F.col(f"`{c}`") for c in by)).write.mode("overwrite").partitionBy(*by).parquet(path)
+        _delete_on_exit(spark, path)
+    return path
+
+
 _shipped: set[str] = set()
 
 

@@ -107,7 +107,7 @@ def type_columns(text: Column) -> dict[str, Column]:
     precision = number(r"^decimal\(0*([0-9]{1,10}),[0-9]+\)\z", 10)
     scale = number(r"^decimal\([0-9]+,0*([0-9]{1,3})\)\z", 3)
     length = number(r"^fixed\[0*([0-9]{1,20})\]\z", 20)
-    length = F.when(length <= F.lit(U64[1]).cast(T.DecimalType(20, 0)), length)
+    length = F.when(length <= F.lit(str(U64[1])).cast(T.DecimalType(20, 0)), length)
     is_decimal = (precision <= I32[1]) & (scale <= U8[1])
     kind = F.when(text.isin(*PLAIN), text).when(is_decimal, "decimal").when(length.isNotNull(), "fixed")
     return {"kind": kind, "precision": F.when(is_decimal, precision).cast("int"), "scale": F.when(is_decimal, scale).cast("int"), "length": length}

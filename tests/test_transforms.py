@@ -14,7 +14,7 @@ from tablelens.functions.ordering import sort_for_writing
 from tablelens.functions.transforms import TransformError, apply_transform, murmur3, parse_transform_columns, unscaled_bytes, with_partition_columns
 from tablelens.model import PartitionField, PartitionSpec, Schema, SortField, SortOrder, StructField, Transform
 from tablelens.plans.pruning import And, Compare, In, IsNull, Not, Or, StartsWith, partition_value, project, prune, to_column
-from tablelens.types import Primitive, spark_type_column, type_columns
+from tablelens.types import Primitive, parse_primitive, spark_type_column, type_columns
 
 
 def slow_murmur3(data: bytes) -> int:
@@ -74,11 +74,18 @@ def test_bucket(spark):
     assert applied(spark, [34], "int", "bucket", 16) == [2017239379 % 16]
     assert applied(spark, [dt.date(2017, 11, 16)], "date", "bucket", 64) == [(-653330422 & big) % 64]
     assert applied(spark, [dt.datetime(2017, 11, 16, 22, 31, 8)], "timestamp_ntz", "bucket", 64) == [(-2047944441 & big) % 64]
-    texts = ["", "a", "ab", "abc", "abcd", "naïve 🙂", "x" * 1000, None]
+    texts = ["", "a", "ab", "abc", "abcd", "naïve 🙂", "x" * 1000, *("ÿ" * (n // 2) + "~" * (n % 2) for n in range(30)), None]
     assert applied(spark, texts, "string", "bucket", 100) == [None if t is None else (slow_murmur3(t.encode()) & big) % 100 for t in texts]
     blobs = [bytearray(b"\0\1\2\3"), bytearray(b""), None]
     assert applied(spark, blobs, "binary", "bucket", 100) == [None if b is None else (slow_murmur3(bytes(b)) & big) % 100 for b in blobs]
     assert applied(spark, [Decimal("14.20"), None], "decimal(9,2)", "bucket", 100) == [(slow_murmur3(b"\x05\x8c") & big) % 100, None]
+    numbers = [Decimal(s * (2**k + d)).scaleb(-3) for k in range(0, 59) for d in (-1, 0, 1) for s in (1, -1)]
+    for kind in ("decimal(18,3)", "decimal(24,3)"):
+        assert applied(spark, numbers, kind, "bucket", big) == [(slow_murmur3(unscaled_bytes(n, 3)) & big) % big for n in numbers]
+    uuids = spark.createDataFrame([("f79c3e09-677c-4bbd-a479-3f349cb785e7",), ("none",), (None,)], "c string")
+    spec = PartitionSpec(0, (PartitionField(1, 1000, "p", Transform("bucket", big)),))
+    hashed = with_partition_columns(uuids, Schema(0, (StructField(1, "c", False, Primitive("uuid")),)), spec)
+    assert [r["p"] for r in hashed.collect()] == [1488055340 % big, None, None]
     for kind, value in (("double", 1.0), ("boolean", True)):
         with pytest.raises(TransformError):
             applied(spark, [value], kind, "bucket", 4)
@@ -104,7 +111,7 @@ def test_texts_as_columns(spark):
     rows = {"day": ("day", None), "bucket[16]": ("bucket", 16), "truncate[4294967295]": ("truncate", 2**32 - 1), "bucket[4294967296]": (None, None), "bucket": (None, None), "Day": (None, None), "day\n": (None, None), "bucket[1]\n": (None, None)}
     df = spark.createDataFrame([(t,) for t in rows], "t string")
     assert {r[0]: (r[1], r[2]) for r in df.select("t", *parse_transform_columns(F.col("t"))).collect()} == rows
-    kinds = {"decimal(9,2)": ("decimal", 9, 2, None, "decimal(9,2)"), "decimal(40,50)": ("decimal", 40, 50, None, None), "decimal(9,256)": (None,) * 5, "fixed[16]": ("fixed", None, None, 16, "binary"), "timestampz": ("timestampz", None, None, None, "timestamp"), "String": (None,) * 5, "int": ("int", None, None, None, "int")}
+    kinds = {"decimal(9,2)": ("decimal", 9, 2, None, "decimal(9,2)"), "decimal(40,50)": ("decimal", 40, 50, None, None), "decimal(9,256)": (None,) * 5, "fixed[16]": ("fixed", None, None, 16, "binary"), "fixed[18446744073709551615]": ("fixed", None, None, 2**64 - 1, "binary"), "fixed[18446744073709551616]": (None,) * 5, "fixed[000000000000000000000000007]": ("fixed", None, None, 7, "binary"), "timestampz": ("timestampz", None, None, None, "timestamp"), "String": (None,) * 5, "int": ("int", None, None, None, "int")}
     df = spark.createDataFrame([(t,) for t in kinds], "t string")
     cols = type_columns(F.col("t"))
     assert {r[0]: tuple(r)[1:] for r in df.select("t", *cols.values(), spark_type_column(F.col("t"))).collect()} == kinds
@@ -139,13 +146,74 @@ def test_pruning_keeps_results(spark):
     assert set(df.agg(*(f.alias(f"c{i}") for i, f in enumerate(flags))).first()) == {0}
 
 
+LONG, INT = 2**63, 2**31
+MOMENTS = [dt.datetime(1970, 1, 1), dt.datetime(1969, 12, 31, 23, 59, 59, 999999), dt.datetime(2024, 2, 29, 12), dt.datetime(1, 1, 1), dt.datetime(9999, 12, 31, 23, 59, 59, 999999), dt.datetime(1969, 1, 1)]
+DECIMALS = [Decimal(x) for x in ("0", "1.5", "1.50", "5", "3", "-0.01", "-3.99", "9999999.99", "-9999999.99", "2.505")]
+#: type of the field, of the column, values, and literals that Spark compares with them
+KINDS = [
+    ("int", "int", [0, 1, -1, 7, -10, INT - 1, -INT], [0, 7, -10, INT - 1, -INT, -INT + 5, INT, 2**40, 1.5, Decimal("6.5"), Decimal(7)]),
+    ("long", "bigint", [0, 1, -1, 7, -10, LONG - 1, -LONG, 2**53 + 1], [0, 7, -10, LONG - 1, -LONG, -LONG + 3, 2.0**53, Decimal(7), 6.999]),
+    ("decimal(9,2)", "decimal(9,2)", [d for d in DECIMALS if d != Decimal("2.505")], [*DECIMALS, 3, 5, -4, 10**12, Decimal("1E+7"), 0.5]),
+    ("decimal(30,2)", "decimal(30,2)", [d for d in DECIMALS if d != Decimal("2.505")] + [Decimal("-9" * 1 + "9" * 27 + ".99")], [*DECIMALS, 3, 5, Decimal("-9" + "9" * 27 + ".99")]),
+    ("date", "date", [m.date() for m in MOMENTS], [m.date() for m in MOMENTS] + [dt.datetime(2024, 2, 29), dt.datetime(2024, 2, 29, 3)]),
+    ("timestamp", "timestamp_ntz", MOMENTS, [*MOMENTS, dt.date(2024, 2, 29), dt.date(1970, 1, 1), dt.datetime(2024, 2, 29, 12, tzinfo=dt.UTC)]),
+    ("timestampz", "timestamp", [m.replace(tzinfo=dt.UTC) for m in MOMENTS if 1 < m.year < 9999], [*(m.replace(tzinfo=dt.UTC) for m in MOMENTS if 1 < m.year < 9999), dt.datetime(2024, 2, 29, 12, tzinfo=dt.timezone(dt.timedelta(hours=5))), dt.datetime(2024, 2, 29, 7), dt.date(2024, 2, 29)]),
+    ("string", "string", ["", "a", "ab", "abc", "b", "🙂🙂x", "ÿ"], ["", "a", "ab", "abc", "🙂🙂", "ÿ"]),
+    ("uuid", "string", ["f79c3e09-677c-4bbd-a479-3f349cb785e7", "F79C3E09-677C-4BBD-A479-3F349CB785E7", "x", ""], ["f79c3e09-677c-4bbd-a479-3f349cb785e7", "x", ""]),
+    ("binary", "binary", [bytearray(b) for b in (b"", b"a", b"abc", b"\xff\0", b"abcde")], [b"", b"a", b"abc", b"\xff\0"]),
+    ("boolean", "boolean", [True, False], [True, False]),
+]
+
+
+@pytest.mark.parametrize("name,column_type,values,literals", KINDS, ids=[k[0] for k in KINDS])
+def test_pruning_loses_no_row_of_any_type(spark, name, column_type, values, literals):
+    kind = parse_primitive(name)
+    df = spark.createDataFrame([(v,) for v in [*values, None]], f"c {column_type}")
+    schema = Schema(0, (StructField(1, "c", False, kind),))
+    transforms = [Transform("identity"), Transform("void")]
+    for t in [Transform(n, a) for n in ("bucket", "truncate") for a in (1, 3, 16, 50, 1000, 2**32 - 1)] + [Transform(n) for n in ("year", "month", "day", "hour")]:
+        try:
+            apply_transform(t, F.col("c"), df.schema["c"].dataType)
+            transforms.append(t)
+        except TransformError:
+            pass
+    spec = PartitionSpec(0, tuple(PartitionField(1, 1000 + i, f"p{i}", t) for i, t in enumerate(transforms)))
+    parts = with_partition_columns(df, schema, spec).cache()
+    predicates = [Compare("c", op, v) for op in ("=", "!=", "<", "<=", ">", ">=") for v in literals] + [IsNull("c"), IsNull("c", True), In("c", tuple(literals[:2])), In("c", (literals[-1],)), In("c", (literals[0], None))]
+    if name == "string":
+        predicates += [StartsWith("c", v) for v in literals]
+    predicates += [Not(p) for p in predicates]
+    checks, projected = [], 0
+    for f in spec.fields:
+        for p in predicates:
+            q = project(p, PartitionSpec(0, (f,)), schema)
+            if q is not None:
+                projected += 1
+                checks.append((f.transform, p, F.count(F.when(to_column(p) & ~F.coalesce(to_column(q), F.lit(False)), 1))))
+    assert projected > 20
+    found = parts.agg(*(c.alias(f"c{i}") for i, (_, _, c) in enumerate(checks))).first()
+    assert [(str(t), p) for (t, p, _), n in zip(checks, found) if n] == []
+
+
+def test_pruning_uses_exact_literals():
+    def of(kind, transform, p):
+        return project(p, PartitionSpec(0, (PartitionField(1, 1000, "p", transform),)), Schema(0, (StructField(1, "c", False, parse_primitive(kind)),)))
+
+    assert of("decimal(9,2)", Transform("bucket", 16), Compare("c", "=", Decimal("1.5"))) == Compare("p", "=", (slow_murmur3(unscaled_bytes(Decimal("1.50"), 2)) & (2**31 - 1)) % 16)
+    assert of("decimal(9,2)", Transform("bucket", 16), Compare("c", "=", 3)) == Compare("p", "=", (slow_murmur3(unscaled_bytes(Decimal("3.00"), 2)) & (2**31 - 1)) % 16)
+    assert of("decimal(9,2)", Transform("truncate", 50), Compare("c", "<=", 5)) == Or((Compare("p", "<=", Decimal("5.00")), IsNull("p")))
+    assert of("timestamp", Transform("bucket", 1000), Compare("c", "=", dt.date(2024, 1, 1))) == of("timestamp", Transform("bucket", 1000), Compare("c", "=", dt.datetime(2024, 1, 1)))
+    assert of("long", Transform("truncate", 10), IsNull("c", True)) is None and of("string", Transform("truncate", 10), IsNull("c", True)) == IsNull("p", True)
+    assert of("decimal(9,2)", Transform("bucket", 16), Compare("c", "=", Decimal("2.505"))) is None and of("int", Transform("bucket", 16), Compare("c", "=", 1.0)) is None
+
+
 def test_projections():
     p = lambda q: project(q, PartitionSpec(0, (PartitionField(3, 1, "d", Transform("day")),)), SCHEMA)
     assert p(Compare("ts", ">", dt.datetime(1970, 1, 2, 5))) == Compare("d", ">=", 1)
     assert p(Not(Compare("ts", ">=", dt.datetime(1970, 1, 2, 5)))) == Compare("d", "<=", 1)
     assert p(Compare("ts", "!=", dt.datetime(1970, 1, 2))) is None and p(Or((Compare("ts", "=", dt.datetime(1970, 1, 2)), Compare("n", "=", 1)))) is None
     assert p(Compare("ts", ">", dt.datetime(1970, 1, 2, 5, tzinfo=dt.UTC))) is None and p(In("ts", ())) == In("d", ())
-    assert partition_value(Transform("hour"), dt.datetime(1969, 12, 31, 23, 59)) == -1 and partition_value(Transform("bucket", 16), 34) == 2017239379 % 16
+    assert partition_value(Transform("hour"), dt.datetime(1969, 12, 31, 23, 59), Primitive("timestamp")) == -1 and partition_value(Transform("bucket", 16), 34, Primitive("int")) == 2017239379 % 16
 
 
 def test_pruned_scan_lists_few_folders(spark, tmp_path):
