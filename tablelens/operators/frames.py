@@ -344,3 +344,50 @@ def required_nulls(df: DataFrame, columns: list[str]) -> DataFrame:
     """(column, nulls) of columns that may not be null; one pass, no shuffle of rows."""
     counts = df.agg(*(F.count(F.when(F.col(f"`{c}`").isNull(), 1)).alias(c) for c in columns))
     return counts.select(F.explode(F.array(*(F.struct(F.lit(c).alias("column"), F.col(f"`{c}`").alias("nulls")) for c in columns))).alias("r")).select("r.column", "r.nulls")
+
+
+# ---------------------------------------------------------------- checks by a schema
+
+
+def schema_duplicates(df: DataFrame, schema: M.Schema) -> DataFrame:
+    """identifier_duplicates() by the identifier fields of a schema, which are top-level
+    fields; none, or one that the schema lacks, is an error."""
+    names = {f.id: f.name for f in schema.fields}
+    ids = schema.identifier_field_ids or ()
+    if not ids or not set(ids) <= set(names):
+        raise ValueError(f"schema {schema.schema_id} has no identifier fields of its own")
+    return identifier_duplicates(df, [names[i] for i in ids])
+
+
+_Rule = tuple[str, Callable[[Column], Column]]
+
+
+def _rules(kind: M.FieldType, path: str) -> Iterator[_Rule]:
+    """What must not be null inside a value: (path, whether it is in some value)."""
+    if isinstance(kind, M.Struct):
+        for f in kind.fields:
+            at = f"{path}.{f.name}"
+            if f.required:
+                yield at, lambda v, n=f.name: v.isNotNull() & v.getField(n).isNull()
+            yield from ((p, lambda v, n=f.name, r=rule: r(v.getField(n))) for p, rule in _rules(f.field_type, at))
+    elif isinstance(kind, M.ListType):
+        if kind.element_required:
+            yield f"{path}.element", lambda v: F.exists(v, lambda x: x.isNull())
+        yield from ((p, lambda v, r=rule: F.exists(v, lambda x: r(x))) for p, rule in _rules(kind.element, f"{path}.element"))
+    elif isinstance(kind, M.MapType):
+        if kind.value_required:
+            yield f"{path}.value", lambda v: F.exists(F.map_values(v), lambda x: x.isNull())
+        yield from ((p, lambda v, r=rule: F.exists(F.map_keys(v), lambda x: r(x))) for p, rule in _rules(kind.key, f"{path}.key"))
+        yield from ((p, lambda v, r=rule: F.exists(F.map_values(v), lambda x: r(x))) for p, rule in _rules(kind.value, f"{path}.value"))
+
+
+def required_violations(df: DataFrame, schema: M.Schema) -> DataFrame:
+    """(path, nulls): of each required field, element and map value of a schema, at any
+    depth, the number of rows in which it is null somewhere while what holds it is not.
+    One pass, no shuffle of rows."""
+    found = [(f.name, F.col(f"`{f.name}`").isNull()) for f in schema.fields if f.required]
+    found += [(p, rule(F.col(f"`{f.name}`"))) for f in schema.fields for p, rule in _rules(f.field_type, f.name)]
+    if not found:
+        return df.sparkSession.createDataFrame([], "path string, nulls bigint")
+    counts = df.agg(*(F.count(F.when(c, 1)).alias(f"n{i}") for i, (_, c) in enumerate(found)))
+    return counts.select(F.explode(F.array(*(F.struct(F.lit(p).alias("path"), F.col(f"n{i}").alias("nulls")) for i, (p, _) in enumerate(found)))).alias("r")).select("r.path", "r.nulls")

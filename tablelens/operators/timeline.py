@@ -8,30 +8,35 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tablelens.operators import hierarchy
-from tablelens.shared import materialize
+from tablelens.shared import materialize, with_previous
 
 SNAPSHOT_LINKS = hierarchy.Links(group="table_uuid", node="snapshot_id", parent="parent_snapshot_id", version="loaded_at", order="timestamp_ms")
 MAIN = "main"
 
 
-def latest(df: DataFrame, keys: Sequence[str], version: str, *more: str) -> DataFrame:
-    """The row of each key with the greatest version; among equal ones by more."""
-    rest = [c for c in df.columns if c not in keys]
-    picked = df.groupBy(*keys).agg(F.max_by(F.struct(*rest), F.struct(version, *more)).alias("r"))
+def latest(df: DataFrame, keys: Sequence[str], version: str, *more: str, keep: Sequence[str] | None = None) -> DataFrame:
+    """The row of each key with the greatest version; among equal ones by more. Of the
+    columns only those to keep are read and shuffled; all of them by default."""
+    rest = [c for c in (df.columns if keep is None else keep) if c not in keys]
+    picked = df.groupBy(*keys).agg(F.max_by(F.struct(*(F.col(f"`{c}`") for c in rest)), F.struct(version, *more)).alias("r"))
     return picked.select(*keys, *(F.col(f"r.`{c}`").alias(c) for c in rest))
 
 
-def latest_snapshots(snapshots: DataFrame) -> DataFrame:
-    return latest(snapshots, ["table_uuid", "snapshot_id"], "loaded_at", "timestamp_ms", "parent_snapshot_id")
+def latest_snapshots(snapshots: DataFrame, *keep: str) -> DataFrame:
+    return latest(snapshots, ["table_uuid", "snapshot_id"], "loaded_at", "timestamp_ms", "parent_snapshot_id", keep=keep or None)
 
 
-def latest_metadata(table_metadata: DataFrame) -> DataFrame:
+def latest_metadata(table_metadata: DataFrame, *keep: str) -> DataFrame:
     """The state of each table in its last file: by last_updated_ms, then file name."""
-    return latest(table_metadata, ["table_uuid"], "last_updated_ms", "metadata_file", "delivered_at")
+    return latest(table_metadata, ["table_uuid"], "last_updated_ms", "metadata_file", "delivered_at", keep=keep or None)
+
+
+def latest_refs(refs: DataFrame) -> DataFrame:
+    return latest(refs, ["table_uuid", "ref_name"], "loaded_at", "snapshot_id", keep=["snapshot_id", "ref_type", "min_snapshots_to_keep", "max_snapshot_age_ms", "max_ref_age_ms"])
 
 
 def by_operation(snapshots: DataFrame, operations: Sequence[str]) -> DataFrame:
@@ -39,27 +44,27 @@ def by_operation(snapshots: DataFrame, operations: Sequence[str]) -> DataFrame:
     return snapshots.filter(F.col("operation").isin(*operations))
 
 
-def current_snapshots(table_metadata: DataFrame, snapshots: DataFrame) -> DataFrame:
+def current_snapshots(table_metadata: DataFrame, snapshots: DataFrame, *keep: str) -> DataFrame:
     """The current snapshot of each table. Tables whose current_snapshot_id is null
     or -1 are empty and have none; a pointer to nothing has none either."""
-    now = latest_metadata(table_metadata.select("table_uuid", "metadata_file", "last_updated_ms", "delivered_at", "current_snapshot_id"))
+    now = latest_metadata(table_metadata, "current_snapshot_id")
     now = now.filter(F.col("current_snapshot_id").isNotNull() & (F.col("current_snapshot_id") != -1)).select("table_uuid", F.col("current_snapshot_id").alias("snapshot_id"))
-    return latest_snapshots(snapshots).join(now, ["table_uuid", "snapshot_id"])
+    return latest_snapshots(snapshots, *keep).join(now, ["table_uuid", "snapshot_id"])
 
 
 def current_schemas(table_metadata: DataFrame, schema_fields: DataFrame) -> DataFrame:
     """The top-level fields of each table's current schema."""
-    now = latest_metadata(table_metadata.select("table_uuid", "metadata_file", "last_updated_ms", "delivered_at", "current_schema_id"))
-    fields = latest(schema_fields, ["table_uuid", "schema_id", "id"], "loaded_at", "name", "field_type")
+    now = latest_metadata(table_metadata, "current_schema_id")
+    fields = latest(schema_fields, ["table_uuid", "schema_id", "id"], "loaded_at", "name", "field_type", keep=["pos", "name", "required", "field_type", "doc"])
     return fields.join(now.select("table_uuid", F.col("current_schema_id").alias("schema_id")), ["table_uuid", "schema_id"])
 
 
 def schemas_at_snapshots(snapshots: DataFrame, table_metadata: DataFrame, schema_fields: DataFrame) -> DataFrame:
     """(table_uuid, snapshot_id, schema_id, known, fields): the schema each snapshot
     was written with, else the table's current one; known where its fields are there."""
-    now = latest_metadata(table_metadata.select("table_uuid", "metadata_file", "last_updated_ms", "delivered_at", "current_schema_id")).select("table_uuid", F.col("current_schema_id").cast("bigint").alias("current"))
+    now = latest_metadata(table_metadata, "current_schema_id").select("table_uuid", F.col("current_schema_id").cast("bigint").alias("current"))
     sizes = schema_fields.groupBy("table_uuid", F.col("schema_id").cast("bigint").alias("schema_id")).agg(F.count_distinct("id").alias("fields"))
-    at = latest_snapshots(snapshots).select("table_uuid", "snapshot_id", "schema_id").join(now, "table_uuid", "left")
+    at = latest_snapshots(snapshots, "schema_id").join(now, "table_uuid", "left")
     at = at.select("table_uuid", "snapshot_id", F.coalesce("schema_id", "current").alias("schema_id"))
     return at.join(sizes, ["table_uuid", "schema_id"], "left").select("table_uuid", "snapshot_id", "schema_id", F.col("fields").isNotNull().alias("known"), F.coalesce("fields", F.lit(0)).alias("fields"))
 
@@ -84,17 +89,11 @@ def ancestors(snapshots: DataFrame, starts: DataFrame, cyclic: bool = True) -> D
     return paths.select(F.col("g").alias("table_uuid"), F.col("node").alias("start_id"), F.posexplode(chain).alias("pos", "snapshot_id"))
 
 
-def in_sequence(snapshots: DataFrame, span: int = 1024) -> DataFrame:
-    """Each snapshot with the one before it by sequence number (then id), of its
-    table. Numbered in spans first, then the spans, so that a table with many
-    snapshots is not sorted by one task."""
-    rows = latest_snapshots(snapshots).select("table_uuid", "snapshot_id", "sequence_number", F.floor(F.col("sequence_number") / span).alias("span"))
-    within = Window.partitionBy("table_uuid", "span").orderBy("sequence_number", "snapshot_id")
-    local = rows.withColumn("lag", F.lag("snapshot_id").over(within))
-    ends = rows.groupBy(F.col("table_uuid").alias("et"), F.col("span").alias("es")).agg(F.max(F.struct("sequence_number", "snapshot_id")).alias("last"))
-    ends = ends.select("et", "es", F.lag("last.snapshot_id").over(Window.partitionBy("et").orderBy("es")).alias("before"))
-    joined = local.join(ends, F.col("table_uuid").eqNullSafe(F.col("et")) & (F.col("span") == F.col("es")))
-    return joined.select("table_uuid", "snapshot_id", "sequence_number", F.coalesce("lag", "before").alias("previous_id"))
+def in_sequence(snapshots: DataFrame) -> DataFrame:
+    """Each snapshot with the one before it by sequence number (null first), then id,
+    of its table."""
+    rows = latest_snapshots(snapshots, "sequence_number")
+    return with_previous(rows, "table_uuid", ["sequence_number", "snapshot_id"], "snapshot_id", "previous_id")
 
 
 def as_of(table_metadata: DataFrame, timestamp_ms: int) -> DataFrame:
@@ -104,14 +103,33 @@ def as_of(table_metadata: DataFrame, timestamp_ms: int) -> DataFrame:
     return then.agg(F.max(F.struct("last_updated_ms", "metadata_file", "delivered_at", F.expr("nullif(current_snapshot_id, -1)").alias("s"))).alias("m")).select("table_uuid", F.col("m.s").alias("snapshot_id"))
 
 
+def snapshot_log(table_metadata: DataFrame) -> DataFrame:
+    """(table_uuid, snapshot_id, timestamp_ms): each change of a table's current snapshot
+    (null where it became empty), as its delivered files tell."""
+    keys = ["table_uuid", "metadata_file"]
+    files = latest(table_metadata, keys, "delivered_at", "last_updated_ms", keep=["last_updated_ms", "current_snapshot_id"])
+    states = files.select("table_uuid", "metadata_file", F.col("last_updated_ms").alias("timestamp_ms"), F.struct(F.expr("nullif(current_snapshot_id, -1)").alias("s")).alias("now"))
+    steps = with_previous(states, "table_uuid", ["timestamp_ms", "metadata_file"], "now", "then")
+    changed = steps.filter(F.col("then").isNull() | ~F.col("then.s").eqNullSafe(F.col("now.s")))
+    return changed.select("table_uuid", F.col("now.s").alias("snapshot_id"), "timestamp_ms")
+
+
+def as_of_log(log: DataFrame, timestamp_ms: int) -> DataFrame:
+    """(table_uuid, snapshot_id): the snapshot that was current at a time, by a snapshot
+    log (table_uuid, snapshot_id, timestamp_ms; pos where several entries have one time)."""
+    place = F.col("pos") if "pos" in log.columns else F.lit(0)
+    then = log.filter(F.col("timestamp_ms") <= timestamp_ms).groupBy("table_uuid")
+    return then.agg(F.max(F.struct("timestamp_ms", place.alias("pos"), "snapshot_id")).alias("m")).select("table_uuid", F.col("m.snapshot_id").alias("snapshot_id"))
+
+
 def resolve_refs(table_metadata: DataFrame, refs: DataFrame, name: str = MAIN) -> DataFrame:
     """(table_uuid, snapshot_id) that a name stands for in each table: the ref, as
     loaded last; for main in a table without any refs, its current snapshot."""
-    named = latest(refs, ["table_uuid", "ref_name"], "loaded_at", "snapshot_id")
+    named = latest_refs(refs)
     found = named.filter(F.col("ref_name") == name).select("table_uuid", "snapshot_id")
     if name != MAIN:
         return found
-    now = latest_metadata(table_metadata.select("table_uuid", "metadata_file", "last_updated_ms", "delivered_at", "current_snapshot_id"))
+    now = latest_metadata(table_metadata, "current_snapshot_id")
     now = now.filter(F.col("current_snapshot_id").isNotNull() & (F.col("current_snapshot_id") != -1))
     return found.unionByName(now.join(refs.select("table_uuid").distinct(), "table_uuid", "left_anti").select("table_uuid", F.col("current_snapshot_id").alias("snapshot_id")))
 
@@ -120,8 +138,8 @@ def live_refs(refs: DataFrame, snapshots: DataFrame, now_ms: int) -> DataFrame:
     """The refs as loaded last, with expired: older than max_ref_age_ms, by the
     time of the snapshot they point to. main never expires; a limit of null is
     none; a ref to a snapshot that isn't there has no age."""
-    at = latest_snapshots(snapshots).select("table_uuid", "snapshot_id", F.col("timestamp_ms").alias("at"))
-    joined = latest(refs, ["table_uuid", "ref_name"], "loaded_at", "snapshot_id").join(at, ["table_uuid", "snapshot_id"], "left")
+    at = latest_snapshots(snapshots, "timestamp_ms").withColumnRenamed("timestamp_ms", "at")
+    joined = latest_refs(refs).join(at, ["table_uuid", "snapshot_id"], "left")
     too_old = (F.lit(now_ms) - F.col("at") > F.col("max_ref_age_ms")) & (F.col("ref_name") != MAIN)
     return joined.withColumn("expired", F.coalesce(too_old, F.lit(False))).drop("at")
 
@@ -137,7 +155,7 @@ def expire_candidates(refs: DataFrame, snapshots: DataFrame, now_ms: int, cyclic
     """
     live = live_refs(refs, snapshots, now_ms).filter(~F.col("expired"))
     chains = ancestors(snapshots, live.filter(F.col("ref_type") == "branch").select("table_uuid", "snapshot_id"), cyclic)
-    rows = latest_snapshots(snapshots).select("table_uuid", "snapshot_id", "timestamp_ms", "expired_at")
+    rows = latest_snapshots(snapshots, "timestamp_ms", "expired_at")
     branches = live.filter(F.col("ref_type") == "branch").groupBy("table_uuid", F.col("snapshot_id").alias("start_id")).agg(F.max(F.coalesce("min_snapshots_to_keep", F.lit(1))).alias("keep"), F.max("max_snapshot_age_ms").alias("age"))
     chained = chains.join(branches, ["table_uuid", "start_id"]).join(rows, ["table_uuid", "snapshot_id"])
     young = F.coalesce(F.lit(now_ms) - F.col("timestamp_ms") <= F.col("age"), F.lit(False))
@@ -148,7 +166,7 @@ def expire_candidates(refs: DataFrame, snapshots: DataFrame, now_ms: int, cyclic
 
 def metadata_log(table_metadata: DataFrame, keep: int | None = None) -> DataFrame:
     """The entries of each table's last metadata log, newest pos 0; of at most keep entries."""
-    now = latest_metadata(table_metadata.select("table_uuid", "metadata_file", "last_updated_ms", "delivered_at", "metadata_log"))
+    now = latest_metadata(table_metadata, "metadata_log")
     order = F.reverse(F.array_sort(F.transform("metadata_log", lambda e: F.struct(e["timestamp_ms"].alias("timestamp_ms"), e["metadata_file"].alias("file")))))
     entries = now.select("table_uuid", F.posexplode(order if keep is None else F.slice(order, 1, keep)).alias("pos", "e"))
     return entries.select("table_uuid", "pos", F.col("e.file").alias("metadata_file"), F.col("e.timestamp_ms").alias("timestamp_ms"))
@@ -156,16 +174,17 @@ def metadata_log(table_metadata: DataFrame, keep: int | None = None) -> DataFram
 
 def table_properties(table_metadata: DataFrame) -> DataFrame:
     """(table_uuid, key, value) of each table's last file."""
-    now = latest_metadata(table_metadata.select("table_uuid", "metadata_file", "last_updated_ms", "delivered_at", "properties"))
+    now = latest_metadata(table_metadata, "properties")
     return now.select("table_uuid", F.explode("properties").alias("key", "value"))
 
 
 def summary_entries(snapshots: DataFrame) -> DataFrame:
     """(table_uuid, snapshot_id, operation, key, value) of each snapshot's summary."""
-    return latest_snapshots(snapshots).select("table_uuid", "snapshot_id", "operation", F.explode("summary").alias("key", "value"))
+    return latest_snapshots(snapshots, "operation", "summary").select("table_uuid", "snapshot_id", "operation", F.explode("summary").alias("key", "value"))
 
 
 def summed(snapshots: DataFrame, key: str) -> DataFrame:
     """Of each operation the number of snapshots and the sum of a number in their summaries."""
-    value: Column = F.col("summary")[key].try_cast("bigint")
-    return latest_snapshots(snapshots).groupBy("operation").agg(F.count("*").alias("snapshots"), F.sum(value).alias("total"))
+    value = F.col("value").try_cast("bigint")
+    numbers = latest_snapshots(snapshots.withColumn("value", F.col("summary")[key]), "operation", "value")
+    return numbers.groupBy("operation").agg(F.count("*").alias("snapshots"), F.sum(value).alias("total"))

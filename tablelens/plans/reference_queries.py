@@ -9,6 +9,7 @@ from decimal import Decimal
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tablelens import model as M
 from tablelens.codec import parse_table_metadata
 from tablelens.functions.ordering import sort_columns
 from tablelens.functions.transforms import apply_transform, parse_transform_columns, with_partition_columns
@@ -16,7 +17,7 @@ from tablelens.model import NameMapping, NameMappings, PartitionField, Partition
 from tablelens.operators import drift, frames, timeline
 from tablelens.plans.core_queries import _DEEP, _P1, table
 from tablelens.plans.pruning import And, Compare, In, Not, prune
-from tablelens.shared import stored_once
+from tablelens.shared import stored_once, with_position
 from tablelens.types import Primitive, spark_type_column, type_columns
 
 NOW_MS = 1_735_689_600_000  # 2025-01-01
@@ -151,31 +152,78 @@ def name_mapping_resolve(spark: SparkSession, sf_dir: str) -> DataFrame:
     return frames.map_names(table(spark, sf_dir, "events"), mappings, _renamed_events())
 
 
+_TEXTS = M.MapType(91, Primitive("string"), 92, True, Primitive("string"))
+_LOG = M.ListType(93, True, M.Struct((StructField(94, "metadata_file", True, Primitive("string")), StructField(95, "timestamp_ms", True, Primitive("long")))))
+#: What rows of snapshots and of table_metadata should hold.
+_SNAPSHOTS = Schema(
+    0,
+    tuple(StructField(i, n, True, k) for i, (n, k) in enumerate([("table_uuid", Primitive("string")), ("snapshot_id", Primitive("long")), ("parent_snapshot_id", Primitive("long")), ("operation", Primitive("string")), ("summary", _TEXTS), ("schema_id", Primitive("long")), ("loaded_at", Primitive("timestamp"))])),
+    identifier_field_ids=(0, 1),
+)
+_METADATA = Schema(0, (StructField(1, "table_uuid", True, Primitive("string")), StructField(2, "metadata_file", True, Primitive("string")), StructField(3, "properties", False, _TEXTS), StructField(4, "metadata_log", True, _LOG)))
+#: The same with other names and another order inside, and a field that is not written yet.
+_METADATA_NOW = Schema(
+    1,
+    (
+        StructField(2, "file", True, Primitive("string")), StructField(1, "table_uuid", True, Primitive("string")),
+        StructField(4, "log", False, M.ListType(93, False, M.Struct((StructField(96, "size", False, Primitive("long")), StructField(95, "at", False, Primitive("long")), StructField(94, "name", False, Primitive("string")))))),
+    ),
+)
+
+
+def _log_entries(projected: DataFrame) -> DataFrame:
+    return projected.select("table_uuid", "file", F.posexplode("log").alias("pos", "e")).select("table_uuid", "file", "pos", "e.size", "e.at", "e.name")
+
+
+def project_nested_by_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Log entries inside metadata rows, renamed and reordered by field id."""
+    return _log_entries(frames.project_by_id(table(spark, sf_dir, "table_metadata"), _METADATA, _METADATA_NOW))
+
+
+def name_mapping_nested(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same for files without field ids, by inner mappings."""
+    inner = (NameMapping(("entry_time", "timestamp_ms"), 95), NameMapping(("metadata_file",), 94))
+    mappings = NameMappings((NameMapping(("metadata_file",), 2), NameMapping(("table_uuid",), 1), NameMapping(("metadata_log",), 4, (NameMapping(("element",), 93, inner),))))
+    return _log_entries(frames.map_names(table(spark, sf_dir, "table_metadata"), mappings, _METADATA_NOW))
+
+
 def identifier_uniqueness(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return frames.identifier_duplicates(table(spark, sf_dir, "snapshots"), ["table_uuid", "snapshot_id"])
+    return frames.schema_duplicates(table(spark, sf_dir, "snapshots"), _SNAPSHOTS)
 
 
 def required_nulls(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = frames.required_nulls(table(spark, sf_dir, "snapshots"), ["parent_snapshot_id", "operation", "summary", "schema_id", "loaded_at"])
-    return found.withColumnRenamed("column", "column_name")
+    return frames.required_violations(table(spark, sf_dir, "snapshots"), _SNAPSHOTS)
+
+
+def required_nested(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return frames.required_violations(table(spark, sf_dir, "table_metadata"), _METADATA)
 
 
 def sort_order_apply(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """orders in total order by a sort order, with the values that it compares."""
+    """orders numbered in the total order of a sort order, with the values that it compares."""
     schema = Schema(0, (StructField(1, "o_custkey", True, Primitive("long")), StructField(2, "o_orderdate", True, Primitive("timestamp")), StructField(3, "o_orderkey", True, Primitive("long"))))
     fields = (SortField(1, Transform("bucket", 16), "asc", "nulls-first"), SortField(2, Transform("month"), "desc", "nulls-last"), SortField(3, Transform("identity"), "asc", "nulls-last"))
     df = table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", "o_orderdate")
-    ordered = df.orderBy(*sort_columns(SortOrder(1, fields), schema, df))
     bucket = apply_transform(Transform("bucket", 16), F.col("o_custkey"), df.schema["o_custkey"].dataType)
     month = apply_transform(Transform("month"), F.col("o_orderdate"), df.schema["o_orderdate"].dataType)
-    return ordered.select(bucket.alias("cust_bucket"), month.alias("order_month"), "o_orderkey")
+    return with_position(df, sort_columns(SortOrder(1, fields), schema, df)).select(bucket.alias("cust_bucket"), month.alias("order_month"), "o_orderkey", "position")
+
+
+def sort_order_nulls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Snapshots, which lack parents, operations and schemas here and there, numbered in
+    the order of a sort order with each direction and null order."""
+    schema = Schema(0, tuple(StructField(i, n, False, Primitive(k)) for i, (n, k) in enumerate([("table_uuid", "string"), ("snapshot_id", "long"), ("schema_id", "long"), ("operation", "string"), ("parent_snapshot_id", "long")])))
+    fields = [(2, "identity", "desc", "nulls-first"), (3, "identity", "asc", "nulls-last"), (4, "identity", "desc", "nulls-last"), (0, "identity", "asc", "nulls-first"), (1, "identity", "asc", "nulls-first")]
+    df = timeline.latest_snapshots(table(spark, sf_dir, "snapshots"), "schema_id", "operation", "parent_snapshot_id")
+    order = SortOrder(1, tuple(SortField(i, Transform(t), d, n) for i, t, d, n in fields))
+    return with_position(df, sort_columns(order, schema, df)).select("table_uuid", "snapshot_id", "position")
 
 
 _SNAPSHOT_COLUMNS = ["table_uuid", "snapshot_id", "parent_snapshot_id", "sequence_number", "timestamp_ms", "manifest_list", "operation", "schema_id"]
 
 
 def snapshots(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return timeline.latest_snapshots(table(spark, sf_dir, "snapshots")).select(*_SNAPSHOT_COLUMNS)
+    return timeline.latest_snapshots(table(spark, sf_dir, "snapshots"), *_SNAPSHOT_COLUMNS)
 
 
 def snapshot_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -191,11 +239,11 @@ def snapshots_by_operation(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def current_snapshot(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return timeline.current_snapshots(table(spark, sf_dir, "table_metadata"), table(spark, sf_dir, "snapshots")).select(*_SNAPSHOT_COLUMNS)
+    return timeline.current_snapshots(table(spark, sf_dir, "table_metadata"), table(spark, sf_dir, "snapshots"), *_SNAPSHOT_COLUMNS)
 
 
 def _lineage(spark: SparkSession, sf_dir: str, cyclic: bool) -> DataFrame:
-    starts = timeline.current_snapshots(table(spark, sf_dir, "table_metadata"), table(spark, sf_dir, "snapshots")).select("table_uuid", "snapshot_id")
+    starts = timeline.current_snapshots(table(spark, sf_dir, "table_metadata"), table(spark, sf_dir, "snapshots"), "timestamp_ms").select("table_uuid", "snapshot_id")
     return timeline.ancestors(table(spark, sf_dir, "snapshots"), starts, cyclic)
 
 
@@ -216,6 +264,14 @@ def as_of_timestamp(spark: SparkSession, sf_dir: str) -> DataFrame:
     return timeline.as_of(table(spark, sf_dir, "table_metadata"), AS_OF_MS)
 
 
+def as_of_snapshot_log(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return timeline.as_of_log(timeline.snapshot_log(table(spark, sf_dir, "table_metadata")), AS_OF_MS)
+
+
+def snapshot_log(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return timeline.snapshot_log(table(spark, sf_dir, "table_metadata"))
+
+
 def resolve_ref(spark: SparkSession, sf_dir: str) -> DataFrame:
     return timeline.resolve_refs(table(spark, sf_dir, "table_metadata"), table(spark, sf_dir, "refs"))
 
@@ -274,8 +330,11 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "schema_at_snapshot": schema_at_snapshot,
     "project_by_field_id": project_by_field_id,
     "name_mapping_resolve": name_mapping_resolve,
+    "project_nested_by_id": project_nested_by_id,
+    "name_mapping_nested": name_mapping_nested,
     "identifier_uniqueness": identifier_uniqueness,
     "required_nulls": required_nulls,
+    "required_nested": required_nested,
     "transform_void": _transform("void", "orders", "o_orderkey", "o_orderpriority"),
     "transform_identity": _transform("identity", "orders", "o_orderkey", "o_orderpriority"),
     "transform_year": _transform("year", "orders", "o_orderkey", "o_orderdate"),
@@ -291,6 +350,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "pruned_scan": pruned_scan,
     "pruned_decimal": pruned_decimal,
     "sort_order_apply": sort_order_apply,
+    "sort_order_nulls": sort_order_nulls,
     "snapshots": snapshots,
     "snapshot_summary": snapshot_summary,
     "summary_totals": summary_totals,
@@ -300,6 +360,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "snapshot_lineage_whole": snapshot_lineage_whole,
     "snapshot_sequence": snapshot_sequence,
     "as_of_timestamp": as_of_timestamp,
+    "as_of_snapshot_log": as_of_snapshot_log,
+    "snapshot_log": snapshot_log,
     "resolve_ref": resolve_ref,
     "refs": refs,
     "expire_candidates": expire_candidates,
@@ -386,7 +448,8 @@ SQL = {
     "transform_bucket_string": _bucket_text_sql("part", "p_partkey", "p_name", 16),
     "transform_truncate_int": "SELECT o_orderkey, o_custkey - ((o_custkey % 10) + 10) % 10 AS part FROM orders",
     "transform_truncate_string": "SELECT p_partkey, left(p_name, 3) AS part FROM part",
-    "sort_order_apply": _bucket_sql("orders", "o_orderkey", "o_custkey", 16, ", o_orderdate") + "SELECT bucket AS cust_bucket, ((year(o_orderdate) - 1970) * 12 + month(o_orderdate) - 1)::INTEGER AS order_month, o_orderkey FROM b12 ORDER BY 1, 2 DESC, 3",
+    "sort_order_apply": _bucket_sql("orders", "o_orderkey", "o_custkey", 16, ", o_orderdate") + "SELECT *, row_number() OVER (ORDER BY cust_bucket ASC NULLS FIRST, order_month DESC NULLS LAST, o_orderkey ASC NULLS LAST) AS position FROM (SELECT bucket AS cust_bucket, ((year(o_orderdate) - 1970) * 12 + month(o_orderdate) - 1)::INTEGER AS order_month, o_orderkey FROM b12)",
+    "sort_order_nulls": f"SELECT table_uuid, snapshot_id, row_number() OVER (ORDER BY schema_id DESC NULLS FIRST, operation ASC NULLS LAST, parent_snapshot_id DESC NULLS LAST, table_uuid ASC NULLS FIRST, snapshot_id ASC NULLS FIRST) AS position FROM {_LATEST_SNAPSHOTS}",
     "type_to_spark": f"""
         SELECT field_type, CASE WHEN field_type IN ({_PLAIN_TYPES}) THEN field_type WHEN d THEN 'decimal' WHEN f THEN 'fixed' END AS kind,
                CASE WHEN d THEN regexp_extract(field_type, '([0-9]+),', 1)::INTEGER END AS precision, CASE WHEN d THEN regexp_extract(field_type, ',([0-9]+)', 1)::INTEGER END AS scale,
@@ -410,14 +473,21 @@ SQL = {
     "project_by_field_id": "SELECT event_id, ts AS happened, event_type AS kind, value AS amount, NULL::VARCHAR AS note FROM events",
     "name_mapping_resolve": "SELECT event_id, ts AS happened, event_type AS kind, value AS amount, NULL::VARCHAR AS note FROM events",
     "identifier_uniqueness": "SELECT table_uuid, snapshot_id, count(*) AS rows FROM snapshots GROUP BY ALL HAVING count(*) > 1",
-    "required_nulls": " UNION ALL ".join(f"SELECT '{c}' AS column_name, count(*) FILTER ({c} IS NULL) AS nulls FROM snapshots" for c in ("parent_snapshot_id", "operation", "summary", "schema_id", "loaded_at")),
+    "required_nulls": " UNION ALL ".join(f"SELECT '{c}' AS path, count(*) FILTER ({c} IS NULL) AS nulls FROM snapshots" for c in ("table_uuid", "snapshot_id", "parent_snapshot_id", "operation", "summary", "schema_id", "loaded_at"))
+    + " UNION ALL SELECT 'summary.value', count(*) FILTER (len(list_filter(map_values(summary), lambda x: x IS NULL)) > 0) FROM snapshots",
+    "required_nested": " UNION ALL ".join(f"SELECT '{p}' AS path, count(*) FILTER ({c}) AS nulls FROM table_metadata" for p, c in (
+        ("table_uuid", "table_uuid IS NULL"), ("metadata_file", "metadata_file IS NULL"), ("metadata_log", "metadata_log IS NULL"), ("properties.value", "len(list_filter(map_values(properties), lambda x: x IS NULL)) > 0"),
+        ("metadata_log.element", "len(list_filter(metadata_log, lambda x: x IS NULL)) > 0"),
+        *((f"metadata_log.element.{f}", f"len(list_filter(metadata_log, lambda x: x IS NOT NULL AND x.{f} IS NULL)) > 0") for f in ("metadata_file", "timestamp_ms")),
+    )),
+    **dict.fromkeys(("project_nested_by_id", "name_mapping_nested"), "SELECT table_uuid, metadata_file AS file, (generate_subscripts(metadata_log, 1) - 1)::INTEGER AS pos, NULL::BIGINT AS size, unnest(metadata_log).timestamp_ms AS at, unnest(metadata_log).metadata_file AS name FROM table_metadata"),
     "snapshots": f"SELECT {', '.join(_SNAPSHOT_COLUMNS)} FROM {_LATEST_SNAPSHOTS}",
     "snapshot_summary": f"SELECT table_uuid, snapshot_id, operation, e.key AS key, e.value AS value FROM (SELECT table_uuid, snapshot_id, operation, unnest(map_entries(summary)) AS e FROM {_LATEST_SNAPSHOTS})",
     "summary_totals": f"SELECT operation, count(*) AS snapshots, sum(try_cast(summary['added-records'] AS BIGINT))::BIGINT AS total FROM {_LATEST_SNAPSHOTS} GROUP BY 1",
     "snapshots_by_operation": "SELECT table_uuid, snapshot_id, operation, timestamp_ms FROM snapshots WHERE operation IN ('append', 'delete')",
     "current_snapshot": f"SELECT {', '.join(_SNAPSHOT_COLUMNS)} FROM {_CURRENT}",
     "snapshot_lineage": _UP + f" SELECT u.t AS table_uuid, u.s AS start_id, (len(u.path) - 1)::INTEGER AS pos, u.seen AS snapshot_id FROM up u JOIN {_CURRENT} c ON c.table_uuid = u.t AND c.snapshot_id = u.s WHERE (u.t, u.s) NOT IN (SELECT (t, s) FROM up WHERE loops)",
-    "snapshot_sequence": f"SELECT table_uuid, snapshot_id, sequence_number, lag(snapshot_id) OVER (PARTITION BY table_uuid ORDER BY sequence_number, snapshot_id) AS previous_id FROM {_LATEST_SNAPSHOTS}",
+    "snapshot_sequence": f"SELECT table_uuid, snapshot_id, sequence_number, lag(snapshot_id) OVER (PARTITION BY table_uuid ORDER BY sequence_number NULLS FIRST, snapshot_id) AS previous_id FROM {_LATEST_SNAPSHOTS}",
     "as_of_timestamp": f"SELECT table_uuid, nullif(current_snapshot_id, -1) AS snapshot_id FROM table_metadata WHERE last_updated_ms <= {AS_OF_MS} QUALIFY row_number() OVER (PARTITION BY table_uuid ORDER BY last_updated_ms DESC, metadata_file DESC, delivered_at DESC) = 1",
     "resolve_ref": f"""
         SELECT table_uuid, snapshot_id FROM {_LATEST_REFS} WHERE ref_name = 'main'
@@ -440,3 +510,12 @@ SQL = {
             FROM (SELECT table_uuid, unnest(metadata_log) AS e FROM {_LATEST_METADATA})) WHERE rn <= 5""",
     "table_properties": f"SELECT table_uuid, e.key AS key, e.value AS value FROM (SELECT table_uuid, unnest(map_entries(properties)) AS e FROM {_LATEST_METADATA})",
 }
+
+_SNAPSHOT_LOG = """
+WITH files AS (SELECT table_uuid, metadata_file, last_updated_ms AS timestamp_ms, nullif(current_snapshot_id, -1) AS snapshot_id FROM table_metadata
+    QUALIFY row_number() OVER (PARTITION BY table_uuid, metadata_file ORDER BY delivered_at DESC, last_updated_ms DESC) = 1),
+log AS (SELECT table_uuid, snapshot_id, timestamp_ms FROM files
+    WINDOW w AS (PARTITION BY table_uuid ORDER BY timestamp_ms NULLS FIRST, metadata_file) QUALIFY row_number() OVER w = 1 OR snapshot_id IS DISTINCT FROM lag(snapshot_id) OVER w)
+"""
+SQL["snapshot_log"] = _SNAPSHOT_LOG + "SELECT * FROM log"
+SQL["as_of_snapshot_log"] = _SNAPSHOT_LOG + f"SELECT table_uuid, snapshot_id FROM log WHERE timestamp_ms <= {AS_OF_MS} QUALIFY row_number() OVER (PARTITION BY table_uuid ORDER BY timestamp_ms DESC, snapshot_id DESC NULLS LAST) = 1"

@@ -14,7 +14,7 @@ import uuid
 import zipfile
 from pathlib import Path
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 _DIR_KEY = "spark.checkpoint.dir"
@@ -77,6 +77,40 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     return write_shared(df, name)[0]
 
 
+def _ranged(df: DataFrame, order: list[Column]) -> tuple[DataFrame, DataFrame]:
+    """(df written in ranges of an order, which _part numbers; rows of each range). Rows
+    that the order doesn't tell apart share a range, so it should end in a key."""
+    whole = materialize(df.repartitionByRange(*order).withColumn("_part", F.spark_partition_id()), "ranged")
+    return whole, whole.groupBy(F.col("_part").alias("_p")).agg(F.count("*").alias("_n"))
+
+
+def with_position(df: DataFrame, order: list[Column], name: str = "position") -> DataFrame:
+    """df with each row's number, from 1, in a total order. No task sorts more than one
+    range of it: rows are numbered within ranges, behind the sizes of those before,
+    of which there are as many as shuffle partitions."""
+    whole, sizes = _ranged(df, order)
+    bases = sizes.select("_p", F.coalesce(F.sum("_n").over(Window.orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_base"))
+    within = F.row_number().over(Window.partitionBy("_part").orderBy(*order))
+    return whole.withColumn(name, within).join(bases, F.col("_part") == F.col("_p")).withColumn(name, F.col(name) + F.col("_base")).drop("_part", "_p", "_base")
+
+
+def with_previous(df: DataFrame, group: str, order: list[str], value: str, name: str) -> DataFrame:
+    """df with the value of the row before in its group (null is a group too), by order.
+    Ranges as in with_position, so that neither a large group nor many equal numbers
+    are sorted by one task; the last row of a range goes before the first of the next."""
+    columns = [group, *order]
+    whole, _ = _ranged(df, [F.col(c) for c in columns])
+    # of a range the last row, then of all ranges before: empty ranges have none
+    last = whole.groupBy(F.col("_part").alias("_p")).agg(F.max(F.struct(*columns, F.col(value).alias("_v"))).alias("_last"))
+    before = last.select("_p", F.lag("_last").over(Window.orderBy("_p")).alias("_last"))
+    within = Window.partitionBy("_part").orderBy(*columns)
+    local = whole.withColumns({"_row": F.row_number().over(within), "_lag": F.lag(F.struct(F.col(group).alias("g"), F.col(value).alias("v"))).over(within)})
+    joined = local.join(before, F.col("_part") == F.col("_p"))
+    own = F.when(F.col("_lag.g").eqNullSafe(F.col(group)), F.col("_lag.v"))
+    edge = F.when(F.col("_last").isNotNull() & F.col(f"_last.{group}").eqNullSafe(F.col(group)), F.col("_last._v"))
+    return joined.withColumn(name, F.when(F.col("_row") > 1, own).otherwise(edge)).drop("_part", "_p", "_row", "_lag", "_last")
+
+
 def stored_once(df: DataFrame, name: str, *by: str) -> str:
     """The folder of df written partitioned by columns, for as long as the session
     lasts: written at the first call of that name for the files that df reads, in

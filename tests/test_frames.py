@@ -14,6 +14,7 @@ from tablelens.operators import drift, frames, timeline
 from tablelens.plans import reference_queries
 from tablelens.sources.datasource import register
 from tablelens.sources.files import check_metadata, read_metadata, write_documents, write_metadata
+from tablelens.shared import with_position, with_previous
 from tablelens.types import Primitive, UnsupportedTypeError
 from tablelens.validate import validate
 
@@ -67,6 +68,60 @@ def test_bulk_reader_sink_and_source(spark, md, tmp_path):
     assert sorted(r["error"] is None for r in check_metadata(spark, str(tmp_path / "bad")).collect() if r["error"] is None or "JSON" in r["error"]).count(True) == 1
 
 
+def test_source_packs_files_and_tells_bad_ones(spark, tmp_path):
+    for i in range(5):
+        (tmp_path / "a").mkdir(exist_ok=True)
+        (tmp_path / "a" / f"{i}.json").write_text("\ufeff" + json.dumps(TABLE) if i else "{")
+    (tmp_path / "_hidden").mkdir()
+    (tmp_path / "_hidden" / "x.json").write_text("{")
+    register(spark)
+    for path in (str(tmp_path), tmp_path.as_uri()):
+        source = spark.read.format("tablemeta")
+        assert source.option("badfiles", "skip").load(path).count() == 4
+        assert source.option("badfiles", "skip").load(path).rdd.getNumPartitions() == 1
+        assert [r["file"].endswith("a/0.json") for r in spark.read.format("tablemeta").option("table", "errors").load(path).collect()] == [True]
+        with pytest.raises(Exception, match="0.json"):
+            spark.read.format("tablemeta").load(path).collect()
+
+
+def test_checks_by_schema(spark):
+    text = Primitive("string")
+    inner = M.Struct((M.StructField(4, "a", True, text), M.StructField(5, "b", False, M.ListType(6, True, text))))
+    schema = M.Schema(0, (M.StructField(1, "k", True, text), M.StructField(2, "s", False, inner), M.StructField(3, "m", False, M.MapType(7, text, 8, True, inner))), (1,))
+    df = spark.createDataFrame([("x", ("1", ["p", None]), {"q": (None, [None])}), ("x", None, None), (None, (None, None), {"q": None, "r": ("1", ["2"])})], "k string, s struct<a:string,b:array<string>>, m map<string,struct<a:string,b:array<string>>>")
+    assert {r["path"]: r["nulls"] for r in frames.required_violations(df, schema).collect()} == {"k": 1, "s.a": 1, "s.b.element": 1, "m.value": 1, "m.value.a": 1, "m.value.b.element": 1}
+    assert [tuple(r) for r in frames.schema_duplicates(df, schema).collect()] == [("x", 2)]
+    assert frames.required_violations(df, M.Schema(0, ())).count() == 0
+    with pytest.raises(ValueError):
+        frames.schema_duplicates(df, M.Schema(0, schema.fields))
+
+
+def test_positions_and_neighbours(spark):
+    rows = [(t, n, i) for t in ("a", "b", None) for n in (None, 1, 1, 2) for i in range(3)]
+    df = spark.createDataFrame([(t, n, 100 * k + i) for k, (t, n, i) in enumerate(rows)], "t string, n int, i int").repartition(7)
+    got = {r["i"]: r["p"] for r in with_previous(df, "t", ["n", "i"], "i", "p").collect()}
+    order = lambda r: (r[0] is not None, r[0] or "", r[1] is not None, r[1] or 0, r[2])
+    ranked = sorted(((t, n, 100 * k + i) for k, (t, n, i) in enumerate(rows)), key=order)
+    assert got == {r[2]: (ranked[j - 1][2] if j and ranked[j - 1][0] == r[0] else None) for j, r in enumerate(ranked)}
+    numbered = with_position(df, [F.col("t").asc_nulls_first(), F.col("n").asc_nulls_first(), F.col("i")])
+    assert {r["i"]: r["position"] for r in numbered.collect()} == {r[2]: j + 1 for j, r in enumerate(ranked)}
+    assert with_previous(df.limit(0), "t", ["n"], "i", "p").count() == 0 == with_position(df.limit(0), [F.col("i")]).count()
+
+
+def test_sequence_without_numbers(spark):
+    rows = [("a", 1, None), ("a", 2, 5), ("a", 3, None), (None, 4, 1)]
+    df = spark.createDataFrame([(t, i, n, None, 0, None) for t, i, n in rows], "table_uuid string, snapshot_id bigint, sequence_number bigint, parent_snapshot_id bigint, timestamp_ms bigint, loaded_at timestamp_ntz")
+    assert {r["snapshot_id"]: r["previous_id"] for r in timeline.in_sequence(df).collect()} == {1: None, 3: 1, 2: 3, 4: None}
+
+
+def test_snapshot_log(spark):
+    files = [("t", "f1", 10, 1), ("t", "f2", 20, 1), ("t", "f3", 30, -1), ("t", "f4", 30, 2), ("u", "g", 5, None)]
+    df = spark.createDataFrame([(t, f, ms, None, s) for t, f, ms, s in files], "table_uuid string, metadata_file string, last_updated_ms bigint, delivered_at timestamp_ntz, current_snapshot_id bigint")
+    log = timeline.snapshot_log(df)
+    assert sorted(map(str, (tuple(r) for r in log.collect()))) == sorted(map(str, [("t", 1, 10), ("t", None, 30), ("t", 2, 30), ("u", None, 5)]))
+    assert {tuple(r) for r in timeline.as_of_log(log, 25).collect()} == {("t", 1), ("u", None)}
+
+
 def test_parse_documents(spark):
     rows = [(1, json.dumps(TABLE)), (2, "{"), (3, None), (4, "﻿" + json.dumps(FULL))]
     got = {r["k"]: r for r in frames.parse_documents(spark.createDataFrame(rows, "k int, body string"), "k", "body").collect()}
