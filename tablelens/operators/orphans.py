@@ -1,119 +1,245 @@
 """References to records that do not exist.
 
-Keyed state, maintained incrementally: an index of parents (per key the first
-arrival and the first deletion) and the references seen so far. New references
-probe the index, arriving parents resolve the references that wait for them,
-deletions open them again. A batch may hold any mix of references, parents and
-deletions in any order; feeding batches one by one or all at once gives the
-same state, because the index is a minimum per key.
-
-Parents are aggregated before they are shuffled; references never are gathered
-by key: they probe the index by a join, in which hot keys are salted.
+Keyed state, maintained batch by batch: an index of parents (per key when it is
+there) and the references with what has happened to them. A batch may hold any mix
+of references, arrivals and deletions. Its new references probe the index; keys
+whose times it changes have their references looked up again, so that arrivals
+resolve the orphans that wait for them and deletions reopen those in order. Only
+references that are new or whose key has changed are worked out and written: the
+state is a log, and of the rows of one reference or key the last batch's holds.
+
+The log is stored in buckets by a hash of the key. A batch reads only the buckets
+that its keys are in, so that its work follows its own size; see ``step``. Batches in
+any order give the same state, since times decide, not the order in which they come.
+
+Parents are aggregated before they are shuffled. References are never gathered by
+key: they meet the index in a join, where Spark splits hot keys at run time.
 """
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tablelens.shared import materialize
+from tablelens.shared import drop_table, exact, materialize, new_path, with_previous
 
-HOT_REFERENCES = 200_000
-MAX_SALTS = 64
 REFERENCE = ("ref_kind", "table_uuid", "record_key", "target_kind", "target_id", "first_seen")
 PARENT = ("target_kind", "table_uuid", "target_id", "arrived", "deleted")
+_KEY = ("target_kind", "table_uuid", "target_id")
+_ID = ("ref_kind", "record_key", *_KEY)
+_INDEX_DDL = "target_kind string, table_uuid string, target_id bigint, arrived timestamp_ntz, deleted timestamp_ntz, times array<struct<at:timestamp_ntz,there:boolean>>, v int, bucket int"
+_LOG_DDL = "ref_kind string, record_key string, target_kind string, table_uuid string, target_id bigint, first_seen timestamp_ntz, moves array<struct<at:timestamp_ntz,what:string>>, v int, bucket int"
+_DDL = {"index": _INDEX_DDL, "references": _LOG_DDL}
+_BEGIN = "0001-01-01"
 
 
 @dataclass
 class OrphanState:
-    """index: PARENT columns, one row per key; references: REFERENCE columns, one
-    row per distinct reference with its earliest arrival."""
-
-    index: DataFrame | None = None
-    references: DataFrame | None = None
-
-
-def _index(parents: DataFrame) -> DataFrame:
-    return parents.groupBy("target_kind", "table_uuid", "target_id").agg(F.min("arrived").alias("arrived"), F.min("deleted").alias("deleted"))
-
-
-def _references(refs: DataFrame) -> DataFrame:
-    return refs.filter(F.col("target_id").isNotNull()).groupBy("ref_kind", "table_uuid", "record_key", "target_kind", "target_id").agg(F.min("first_seen").alias("first_seen"))
-
-
-def advance(state: OrphanState, references: DataFrame, parents: DataFrame) -> OrphanState:
-    """The state after one more batch."""
-    refs, index = references.select(*REFERENCE), parents.select(*PARENT)
-    if state.references is not None:
-        refs = state.references.unionByName(refs)
-    if state.index is not None:
-        index = state.index.unionByName(index)
-    return OrphanState(_index(index), _references(refs))
-
-
-def _hot_keys(refs: DataFrame) -> DataFrame | None:
-    """(hk, ht, hi, salts) of the keys with more than HOT_REFERENCES references, at
-    most one per so many references; None where there is none, so that the index
-    need not be shuffled again for the salt."""
-    counts = refs.groupBy(F.col("target_kind").alias("hk"), F.col("table_uuid").alias("ht"), F.col("target_id").alias("hi")).agg(F.count("*").alias("n")).filter(F.col("n") > HOT_REFERENCES)
-    hot = materialize(counts.select("hk", "ht", "hi", F.least(F.ceil(F.col("n") / HOT_REFERENCES), F.lit(MAX_SALTS)).alias("salts")), "hot")
-    return hot if hot.limit(1).count() else None
-
-
-def lifecycles(state: OrphanState, salted: bool = True) -> DataFrame:
-    """Each reference with opened, resolved and reopened, any of them null.
-
-    opened: it arrived while its target was not there; resolved: the time at
-    which the target arrived for a waiting reference; reopened: the time at which
-    the target of a reference that was in order was deleted. A target is there
-    from its arrival (inclusive) until its deletion (exclusive), and never again
-    after that. Without a known time (null) a reference counts as first of all.
-    """
-    refs = materialize(state.references, "references") if salted else state.references
-    i = state.index.select(F.col("target_kind").alias("ik"), F.col("table_uuid").alias("it"), F.col("target_id").alias("ii"), "arrived", "deleted")
-    same = (F.col("target_kind") == F.col("ik")) & F.col("table_uuid").eqNullSafe(F.col("it")) & (F.col("target_id") == F.col("ii"))
-    hot = _hot_keys(refs) if salted else None
-    if hot is not None:
-        on = lambda k, t, d: (F.col(k) == F.col("hk")) & F.col(t).eqNullSafe(F.col("ht")) & (F.col(d) == F.col("hi"))
-        refs = refs.join(hot, on("target_kind", "table_uuid", "target_id"), "left").withColumn("salt", F.pmod(F.xxhash64("record_key"), F.coalesce("salts", F.lit(1))).cast("int")).drop("hk", "ht", "hi", "salts")
-        i = i.join(hot, on("ik", "it", "ii"), "left").withColumn("isalt", F.explode(F.sequence(F.lit(0), F.coalesce(F.col("salts"), F.lit(1)).cast("int") - 1))).drop("hk", "ht", "hi", "salts")
-        same = same & (F.col("salt") == F.col("isalt"))
-    at = F.coalesce("first_seen", F.lit("0001-01-01").cast("timestamp_ntz"))
-    joined = refs.join(i, same, "left")
+    """The state after the batches so far: the folder of each, by its number, for the
+    two logs. returns: whether a parent that arrives after its deletion is there
+    again; if not, it is there from its first arrival until its first deletion."""
+
+    folder: str
+    buckets: int
+    returns: bool = False
+    batches: dict[int, str] = field(default_factory=dict)
+
+    @classmethod
+    def new(cls, spark: SparkSession, folder: str | None = None, returns: bool = False, buckets: int | None = None) -> OrphanState:
+        """An empty state; as many buckets as shuffle partitions, so that what a join
+        puts into one task lies in one bucket."""
+        return cls(folder or new_path(spark, "orphans"), buckets or int(spark.conf.get("spark.sql.shuffle.partitions")), returns)
+
+    def log(self, spark: SparkSession, part: str, buckets: list[int] | None = None) -> DataFrame:
+        """The rows of a log, of the given buckets or of all."""
+        paths = [f"{path}/{part}" for _, path in sorted(self.batches.items())]
+        if not paths:
+            return spark.createDataFrame([], _DDL[part])
+        rows = spark.read.schema(_DDL[part]).parquet(paths[0])
+        for path in paths[1:]:
+            rows = rows.unionByName(spark.read.schema(_DDL[part]).parquet(path))
+        return rows if buckets is None or len(buckets) >= self.buckets else rows.filter(F.col("bucket").isin(buckets))
+
+
+def _bucket(n: int) -> Column:
+    """By the columns, and in the order, in which _key_join shuffles."""
+    return F.pmod(F.hash("target_kind", F.coalesce("table_uuid", F.lit("")), F.col("table_uuid").isNull(), "target_id"), F.lit(n)).cast("int")
+
+
+def _key_join(left: DataFrame, right: DataFrame, how: str) -> DataFrame:
+    """left joined with right, whose key columns go by other names, by key; null is a table too."""
+    r = right.select(F.col("target_kind").alias("_k"), F.coalesce("table_uuid", F.lit("")).alias("_t"), F.col("table_uuid").isNull().alias("_n"), F.col("target_id").alias("_i"), *(c for c in right.columns if c not in (*_KEY, "v", "bucket")))
+    t = left.withColumns({"_lt": F.coalesce("table_uuid", F.lit("")), "_ln": F.col("table_uuid").isNull()})
+    on = (F.col("target_kind") == F.col("_k")) & (F.col("_lt") == F.col("_t")) & (F.col("_ln") == F.col("_n")) & (F.col("target_id") == F.col("_i"))
+    return t.join(r, on, how).drop("_k", "_t", "_n", "_i", "_lt", "_ln")
+
+
+def _times() -> Column:
+    """When a parent is there, by its first arrival and first deletion."""
     lives = F.col("arrived").isNotNull() & (F.col("deleted").isNull() | (F.col("arrived") < F.col("deleted")))
-    there = F.coalesce(lives & (F.col("arrived") <= at) & (F.col("deleted").isNull() | (at < F.col("deleted"))), F.lit(False))
-    resolved = F.when(~there & lives & (F.col("arrived") > at), F.col("arrived"))
-    ever = there | resolved.isNotNull()
-    return joined.select(
-        "ref_kind", "table_uuid", "record_key", "target_id", "first_seen",
-        F.when(~there, at).alias("opened"), resolved.alias("resolved"), F.when(ever, F.col("deleted")).alias("reopened"),
-    )
-
-
-def orphans_on_arrival(state: OrphanState) -> DataFrame:
+    event = lambda at, there: F.struct(F.col(at).alias("at"), F.lit(there).alias("there"))
+    return F.when(lives & F.col("deleted").isNull(), F.array(event("arrived", True))).when(lives, F.array(event("arrived", True), event("deleted", False)))
+
+
+def _latest_index(log: DataFrame, v: int, returns: bool) -> DataFrame:
+    """(key, times, changed) of each key of an index log; changed by batch v or not."""
+    changed = (F.max("v") == v).alias("changed")
+    if returns:
+        return log.groupBy(*_KEY).agg(F.max_by("times", "v").alias("times"), changed)
+    least = log.groupBy(*_KEY).agg(F.min("arrived").alias("arrived"), F.min("deleted").alias("deleted"), changed)
+    return least.select(*_KEY, _times().alias("times"), "changed")
+
+
+def _merged_index(state: DataFrame, parents: DataFrame, returns: bool) -> DataFrame:
+    """(key, arrived, deleted, times, changed): the index with a batch of parents taken up."""
+    if not returns:
+        old = state.select(*_KEY, "arrived", "deleted", F.col("arrived").alias("old_a"), F.col("deleted").alias("old_d"))
+        none = F.lit(None).cast("timestamp_ntz")
+        both = old.unionByName(parents.withColumns({"old_a": none, "old_d": none}))
+        least = both.groupBy(*_KEY).agg(*(F.min(c).alias(c) for c in ("arrived", "deleted", "old_a", "old_d")))
+        changed = ~(F.col("arrived").eqNullSafe(F.col("old_a")) & F.col("deleted").eqNullSafe(F.col("old_d")))
+        times = F.lit(None).cast("array<struct<at:timestamp_ntz,there:boolean>>")  # follow from the two
+        return least.select(*_KEY, "arrived", "deleted", times.alias("times"), changed.alias("changed"))
+    # changes of being there or not are all that is kept of a key; a deletion at the time of an arrival goes first
+    last = state.groupBy(*_KEY).agg(F.max_by("times", "v").alias("times"))
+    moves = F.explode(F.array(F.struct(F.col("arrived").alias("at"), F.lit(True).alias("there")), F.struct(F.col("deleted").alias("at"), F.lit(False).alias("there"))))
+    new = parents.select(*_KEY, moves.alias("e")).filter(F.col("e.at").isNotNull()).distinct()
+    events = last.select(*_KEY, F.explode("times").alias("e")).unionByName(new).select(F.struct(*_KEY).alias("key"), "e.at", "e.there")
+    before = with_previous(events, "key", ["at", "there"], "there", "before")
+    kept = before.filter(F.col("there") != F.coalesce("before", F.lit(False)))
+    times = kept.groupBy("key").agg(F.array_sort(F.collect_list(F.struct("at", "there"))).alias("times")).select("key.*", "times")
+    old = last.withColumnRenamed("times", "old_times")
+    none = F.lit(None).cast("timestamp_ntz")
+    return _key_join(times, old, "left").select(*_KEY, none.alias("arrived"), none.alias("deleted"), "times", (~F.col("times").eqNullSafe(F.col("old_times"))).alias("changed"))
+
+
+def _moves(seen: Column, times: Column) -> Column:
+    """What happens to a reference first seen at a time: opened where its target is not
+    there then; afterwards resolved and reopened as the target comes and goes."""
+    times = F.coalesce(times, F.array().cast("array<struct<at:timestamp_ntz,there:boolean>>"))
+    past = F.filter(times, lambda e: e["at"] <= seen)
+    there = F.coalesce(F.get(past, F.size(past) - 1)["there"], F.lit(False))
+    later = F.transform(F.filter(times, lambda e: e["at"] > seen), lambda e: F.struct(e["at"].alias("at"), F.when(e["there"], "resolved").otherwise("reopened").alias("what")))
+    return F.when(there, later).otherwise(F.concat(F.array(F.struct(seen.alias("at"), F.lit("opened").alias("what"))), later))
+
+
+def step(state: OrphanState, references: DataFrame, parents: DataFrame, version: int | None = None) -> OrphanState:
+    """The state after one more batch, of references (REFERENCE columns) and parents
+    (PARENT columns: when one arrived, and when it was deleted, either of them null).
+
+    A reference without target_id is none; a null table_uuid is a table of its own; a
+    reference or parent delivered again changes nothing but its times (the earliest
+    count). version is the batch's number, by default the next; a batch taken up again
+    under its number, after a failure, replaces what it had written.
+    """
+    spark = references.sparkSession
+    v = max(state.batches, default=-1) + 1 if version is None else version
+    before = OrphanState(state.folder, state.buckets, state.returns, {n: p for n, p in state.batches.items() if n < v})
+    bucket = _bucket(state.buckets)
+    refs = references.select(*_ID, "first_seen").filter(F.col("target_id").isNotNull())
+    parents = parents.select(*PARENT).filter(F.col("target_id").isNotNull())
+    touched: list[int] | None = None
+    if before.batches:
+        first = refs.select(*_KEY).unionByName(parents.select(*_KEY)).select(bucket.alias("b")).take(16 * state.buckets)
+        if len(first) < 16 * state.buckets:  # more keys than that are in nearly all buckets
+            touched = sorted({r[0] for r in first})
+    path = f"{state.folder}/batch-{v}"
+    index = _merged_index(before.log(spark, "index", touched), parents, state.returns)
+    index.filter("changed").drop("changed").withColumns({"v": F.lit(v), "bucket": bucket}).write.mode("overwrite").partitionBy("bucket").parquet(f"{path}/index")
+    after = OrphanState(state.folder, state.buckets, state.returns, {**before.batches, v: path})
+    index = _latest_index(after.log(spark, "index", touched), v, state.returns)
+
+    known = before.log(spark, "references", touched).select(*_ID, "first_seen", F.col("first_seen").alias("old_seen"), F.lit(True).alias("known"))
+    both = known.unionByName(refs.withColumns({"old_seen": F.lit(None).cast("timestamp_ntz"), "known": F.lit(False)}))
+    least = both.groupBy(*_ID).agg(F.min("first_seen").alias("first_seen"), F.min("old_seen").alias("old_seen"), F.max("known").alias("known"))
+    probed = _key_join(least, index.select(*_KEY, "times", "changed"), "left")
+    affected = probed.filter(~F.col("known") | ~F.col("first_seen").eqNullSafe(F.col("old_seen")) | F.coalesce("changed", F.lit(False)))
+    seen = F.coalesce("first_seen", F.lit(_BEGIN).cast("timestamp_ntz"))
+    out = affected.select(*_ID, "first_seen", _moves(seen, F.col("times")).alias("moves"), F.lit(v).alias("v"), bucket.alias("bucket"))
+    out.write.mode("overwrite").partitionBy("bucket").parquet(f"{path}/references")
+    return after
+
+
+def compact(spark: SparkSession, state: OrphanState) -> OrphanState:
+    """The state with its logs in one, under the number of its last batch."""
+    if len(state.batches) < 2:
+        return state
+    v = max(state.batches)
+    path = f"{state.folder}/whole-{v}"
+    index = state.log(spark, "index").groupBy(*_KEY, "bucket").agg(F.min("arrived").alias("arrived"), F.min("deleted").alias("deleted"), F.max_by("times", "v").alias("times"))
+    index.withColumn("v", F.lit(v)).write.mode("overwrite").partitionBy("bucket").parquet(f"{path}/index")
+    references(spark, state).withColumns({"v": F.lit(v), "bucket": _bucket(state.buckets)}).write.mode("overwrite").partitionBy("bucket").parquet(f"{path}/references")
+    return OrphanState(state.folder, state.buckets, state.returns, {v: path})
+
+
+def drop(spark: SparkSession, state: OrphanState) -> None:
+    drop_table(spark, state.folder)
+
+
+# ---------------------------------------------------------------- what the state tells
+
+
+def references(spark: SparkSession, state: OrphanState) -> DataFrame:
+    """(ref_kind, record_key, target_kind, table_uuid, target_id, first_seen, moves) of
+    each reference, as its last batch left it. moves are in order of time: opened (it
+    arrived while its target was not there), resolved (the target has arrived),
+    reopened (the target has been deleted). A target is there from its arrival
+    (inclusive) until its deletion (exclusive). A reference without a known time
+    counts as first of all."""
+    rows = state.log(spark, "references")
+    if len(state.batches) < 2:
+        return rows.select(*_ID, "first_seen", "moves")
+    return rows.groupBy(*_ID).agg(F.max(F.struct("v", "first_seen", "moves")).alias("m")).select(*_ID, "m.first_seen", "m.moves")
+
+
+def pending(spark: SparkSession, state: OrphanState) -> DataFrame:
+    """The references that wait for their target at the end."""
+    return references(spark, state).filter((F.size("moves") > 0) & (F.element_at("moves", -1)["what"] != "resolved"))
+
+
+def orphans_on_arrival(spark: SparkSession, state: OrphanState) -> DataFrame:
     """The references whose target was not there when they first arrived."""
-    return lifecycles(state).filter(F.col("opened").isNotNull()).select("ref_kind", "table_uuid", "record_key", "target_id")
+    opened = (F.size("moves") > 0) & (F.get("moves", F.lit(0))["what"] == "opened")
+    return references(spark, state).filter(opened).select("ref_kind", "table_uuid", "record_key", "target_id")
 
 
-def open_counts(state: OrphanState, period: str = "month") -> DataFrame:
+def open_counts(spark: SparkSession, state: OrphanState, period: str = "month") -> DataFrame:
     """(ref_kind, table_uuid, period, opened, resolved, reopened, open_at_end): the
     periodic snapshot of counts per table, for each period with an event."""
-    from pyspark.sql import Window
-
-    moves = F.explode(F.array(
-        F.struct(F.col("opened").alias("at"), F.lit("opened").alias("what")),
-        F.struct(F.col("resolved").alias("at"), F.lit("resolved").alias("what")),
-        F.struct(F.col("reopened").alias("at"), F.lit("reopened").alias("what")),
-    ))
-    events = lifecycles(state).select("ref_kind", "table_uuid", moves.alias("m")).filter(F.col("m.at").isNotNull())
+    events = references(spark, state).select("ref_kind", "table_uuid", F.explode("moves").alias("m"))
     n = lambda what: F.count(F.when(F.col("m.what") == what, 1)).alias(what)
     counts = events.groupBy("ref_kind", "table_uuid", F.date_trunc(period, F.col("m.at")).cast("timestamp_ntz").alias("period")).agg(n("opened"), n("resolved"), n("reopened"))
-    so_far = Window.partitionBy("ref_kind", "table_uuid").orderBy("period").rowsBetween(Window.unboundedPreceding, 0)
+    so_far = Window.partitionBy("ref_kind", "table_uuid").orderBy("period").rowsBetween(Window.unboundedPreceding, 0)  # one row a period
     return counts.withColumn("open_at_end", F.sum(F.col("opened") - F.col("resolved") + F.col("reopened")).over(so_far))
 
 
+def in_batches(references: DataFrame, parents: DataFrame, n: int) -> list[tuple[DataFrame, DataFrame]]:
+    """References and parents in n batches by the time at which they came: equal spans
+    from the first to the last time. An arrival and a deletion are two events. What
+    has no time is in the first batch."""
+    ends = references.select(F.min("first_seen").alias("a"), F.max("first_seen").alias("z")).unionByName(parents.select(F.min("arrived").alias("a"), F.max(F.greatest("arrived", "deleted")).alias("z")))
+    row = ends.agg(F.min("a"), F.max("z")).first()
+    if n < 2 or row[0] is None or row[1] is None or row[0] == row[1]:
+        return [(references, parents)]
+    cuts = [row[0] + (row[1] - row[0]) * i / n for i in range(1, n)]
+
+    def within(at: str, i: int) -> Column:
+        """Whether a time is in batch i; null is in the first."""
+        lit = lambda t: F.lit(t.isoformat(" ")).cast("timestamp_ntz")
+        if i == 0:
+            return F.col(at).isNull() | (F.col(at) < lit(cuts[0]))
+        return (F.col(at) >= lit(cuts[i - 1])) & ((F.col(at) < lit(cuts[i])) if i < n - 1 else F.lit(True))
+
+    out = []
+    for i in range(n):
+        arrivals = parents.filter(F.col("arrived").isNotNull() & within("arrived", i)).withColumn("deleted", F.lit(None).cast("timestamp_ntz"))
+        deletions = parents.filter(F.col("deleted").isNotNull() & within("deleted", i)).withColumn("arrived", F.lit(None).cast("timestamp_ntz"))
+        out.append((references.filter(within("first_seen", i)), arrivals.unionByName(deletions)))
+    return out
+
+
 # ---------------------------------------------------------------- the tables of this project
 
 
@@ -126,7 +252,6 @@ def metadata_batch(table_metadata: DataFrame, snapshots: DataFrame, schema_field
     current_snapshot_id (null and -1 are none), source_id and refs.snapshot_id
     against schemas, snapshots and fields (ids inside types count)."""
     from tablelens.operators.drift import flatten_fields
-    from tablelens.shared import exact
 
     table_metadata = exact(table_metadata, "table_uuid", "metadata_file", "delivered_at", "current_schema_id", "current_snapshot_id")
     snapshots = exact(snapshots, "table_uuid", "snapshot_id", "loaded_at", "expired_at")
@@ -152,4 +277,5 @@ def metadata_batch(table_metadata: DataFrame, snapshots: DataFrame, schema_field
     schemas = fields.select(F.lit("schema").alias("target_kind"), "table_uuid", F.col("schema_id").cast("bigint").alias("target_id"), F.col("loaded_at").alias("arrived"), never.alias("deleted"))
     forms = fields.groupBy("table_uuid", "id", "field_type").agg(F.min("loaded_at").alias("loaded_at")).select("table_uuid", F.lit(0).alias("schema_id"), F.col("id").cast("int").alias("id"), F.lit("").alias("name"), "field_type", "loaded_at")
     inner = flatten_fields(forms).select(F.lit("field").alias("target_kind"), "table_uuid", F.col("id").cast("bigint").alias("target_id"), F.col("loaded_at").alias("arrived"), never.alias("deleted"))
+    inner = materialize(inner, "fields")  # types are read once, however many batches follow
     return references, parents.unionByName(schemas).unionByName(inner)

@@ -64,12 +64,18 @@ def exact(df: DataFrame, *names: str) -> DataFrame:
     return numbered.select(*(F.col(f"c{have.index(n)}").alias(n) for n in names))
 
 
+def new_path(spark: SparkSession, name: str) -> str:
+    """A path in the shared folder for an intermediate table, deleted when the session ends."""
+    path = f"{shared_dir(spark)}/tablelens/{name}-{uuid.uuid4().hex}"
+    _delete_on_exit(spark, path)
+    return path
+
+
 def write_shared(df: DataFrame, name: str) -> tuple[DataFrame, str]:
     """Writes df as a table in the shared folder; returns it read back, and its path."""
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/tablelens/{name}-{uuid.uuid4().hex}"
+    path = new_path(spark, name)
     df.write.parquet(path)
-    _delete_on_exit(spark, path)
     return spark.read.schema(df.schema).parquet(path), path
 
 
