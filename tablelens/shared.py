@@ -83,7 +83,7 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     return write_shared(df, name)[0]
 
 
-def _ranged(df: DataFrame, order: list[Column]) -> tuple[DataFrame, DataFrame]:
+def ranged(df: DataFrame, order: list[Column]) -> tuple[DataFrame, DataFrame]:
     """(df written in ranges of an order, which _part numbers; rows of each range). Rows
     that the order doesn't tell apart share a range, so it should end in a key."""
     whole = materialize(df.repartitionByRange(*order).withColumn("_part", F.spark_partition_id()), "ranged")
@@ -94,7 +94,7 @@ def with_position(df: DataFrame, order: list[Column], name: str = "position") ->
     """df with each row's number, from 1, in a total order. No task sorts more than one
     range of it: rows are numbered within ranges, behind the sizes of those before,
     of which there are as many as shuffle partitions."""
-    whole, sizes = _ranged(df, order)
+    whole, sizes = ranged(df, order)
     bases = sizes.select("_p", F.coalesce(F.sum("_n").over(Window.orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_base"))
     within = F.row_number().over(Window.partitionBy("_part").orderBy(*order))
     return whole.withColumn(name, within).join(bases, F.col("_part") == F.col("_p")).withColumn(name, F.col(name) + F.col("_base")).drop("_part", "_p", "_base")
@@ -105,7 +105,7 @@ def with_previous(df: DataFrame, group: str, order: list[str], value: str, name:
     Ranges as in with_position, so that neither a large group nor many equal numbers
     are sorted by one task; the last row of a range goes before the first of the next."""
     columns = [group, *order]
-    whole, _ = _ranged(df, [F.col(c) for c in columns])
+    whole, _ = ranged(df, [F.col(c) for c in columns])
     # of a range the last row, then of all ranges before: empty ranges have none
     last = whole.groupBy(F.col("_part").alias("_p")).agg(F.max(F.struct(*columns, F.col(value).alias("_v"))).alias("_last"))
     before = last.select("_p", F.lag("_last").over(Window.orderBy("_p")).alias("_last"))
