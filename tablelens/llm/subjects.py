@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tablelens.llm.common import canonical_source
-from tablelens.shared import exact, ship
+from tablelens.shared import exact, materialize, ship
 
 _WORD = re.compile(r"[A-ZÀ-ÖØ-ÞŒ]?[a-zß-öø-ÿœ]+|[A-ZÀ-ÖØ-ÞŒ]+(?![a-zß-öø-ÿœ])")
 _BOT = re.compile(r"bot\b|robot|\bauto", re.I)
@@ -60,14 +60,15 @@ class Lines:
 
 def read_lines(text: str | None) -> Lines:
     """Message lines, changed lines and file names of a commit. A text without a
-    diff is all message. Null and empty texts have no lines."""
+    diff is all message. Null and empty texts have no lines. Lines with +++ or --- are
+    headers between a file's name and its first hunk only; within hunks they are changes."""
     out: list[tuple[int, list[str]]] = []
     changed = single = files = 0
-    in_diff, bot = False, False
+    in_diff, in_hunk, bot = False, False, False
     find = _WORD.findall
     for line in (text or "").splitlines():
         if line.startswith("diff --git "):
-            in_diff = True
+            in_diff, in_hunk = True, False
             files += 1
             words = find(line[11:].removeprefix("a/").partition(" b/")[0])
             out.append((PATH, words))
@@ -76,7 +77,9 @@ def read_lines(text: str | None) -> Lines:
                 out.append((MESSAGE, find(line)))
                 if not bot and _BOT.search(line):
                     bot = True
-        elif (line[:1] == "+" and not line.startswith("+++ ")) or (line[:1] == "-" and not line.startswith("--- ")):
+        elif line.startswith("@@"):
+            in_hunk = True
+        elif line[:1] in ("+", "-") and (in_hunk or not line.startswith(("+++ ", "--- "))):
             words = find(line)
             changed += 1
             if words:
@@ -427,8 +430,8 @@ def _calibrate(x: np.ndarray, source: np.ndarray, y: np.ndarray, order: list[int
 
 def fit_subjects(docs: DataFrame, labels: DataFrame, subjects: DataFrame, sample: int = 10_000, longest: int = 20_000, sample_chars: int = 24_000_000) -> SubjectModel:
     """A model from at most ``sample`` labelled documents, taken by a hash of
-    doc_id, and of those as many as have ``sample_chars`` characters together, which
-    bounds the driver's memory; labelled documents of more than ``longest``
+    doc_id, and of those as many as have ``sample_chars`` characters together, chosen
+    before any text goes to the driver, which bounds its memory; labelled documents of more than ``longest``
     characters are no training rows. Everything else than this fit sees all
     documents, whole.
 
@@ -443,14 +446,15 @@ def fit_subjects(docs: DataFrame, labels: DataFrame, subjects: DataFrame, sample
     )
     labelled = exact(docs, "doc_id", "text", "source").select("doc_id", "text", canonical_source(F.col("source")).alias("source")).filter(F.length("text") <= longest)
     picked = picked.withColumnRenamed("doc_id", "labelled_id")  # at most sample rows
-    rows = labelled.join(F.broadcast(picked), F.col("doc_id") == F.col("labelled_id")).select(F.xxhash64("doc_id").alias("h"), "doc_id", "text", "source", "labels").collect()
-    rows.sort(key=lambda r: (r["h"], r["doc_id"], r["text"]))
-    ends = np.cumsum([len(r["text"]) for r in rows])
-    rows = [r for r, end in zip(rows, ends) if end <= sample_chars]
+    joined = labelled.join(F.broadcast(picked), F.col("doc_id") == F.col("labelled_id")).select(F.xxhash64("doc_id").alias("h"), "doc_id", "text", "source", "labels")
+    joined = materialize(joined, "labelled")  # at most sample rows of at most longest characters
+    sizes = joined.select("h", "doc_id", F.length("text").alias("n")).orderBy("h", "doc_id", "text").collect()
+    within = int((np.cumsum([r["n"] for r in sizes]) <= sample_chars).sum()) if sizes else 0
+    rows = joined.orderBy("h", "doc_id", "text").limit(within).collect()  # of at most sample_chars characters
     return train([r["text"] for r in rows], [r["source"] or "" for r in rows], [frozenset(r["labels"]) for r in rows], names)
 
 
-def _predict(batches: Iterator[pa.RecordBatch], model: SubjectModel) -> Iterator[pa.RecordBatch]:
+def _predict(batches: Iterator[pa.RecordBatch], model: SubjectModel, keep: tuple[str, ...]) -> Iterator[pa.RecordBatch]:
     none = len(model.sources)
     k = len(model.subjects)
     for batch in batches:

@@ -27,3 +27,11 @@ def test_shares_are_near_their_targets(spark):
     total = sum(r["target_share"] for r in there)
     assert len(shares) == 8 and all(abs(r["actual_share"] - r["target_share"] / total) < 0.01 for r in there)
     assert all(r["most_repeats"] <= r["max_repeats"] for r in shares)
+
+
+def test_shortages_are_passed_on(spark):
+    tree = queries.p7_short_tree(spark, "/root/testdata/sf0.1").collect()
+    for level in (lambda r: r["source"], lambda r: r["lang"] and not r["source"], lambda r: not r["lang"]):
+        own = [r for r in tree if level(r)]
+        assert any(r["budget"] < r["wanted"] - 1 for r in own) and any(r["budget"] > r["wanted"] + 1 for r in own)
+    assert all(abs(r["tokens"] - r["budget"]) < 20_000 for r in tree)

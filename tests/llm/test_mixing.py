@@ -41,11 +41,43 @@ def test_budget_is_never_over_capacity_nor_lost():
 
 
 def test_largest_exact_total():
-    root = Node("r", 1.0, children=[Node("a", 0.5, children=leaves(100, repeats=1)), Node("b", 0.3, children=leaves(10, repeats=3)), Node("c", 0.2, children=[])])
-    assert largest_exact(root) == pytest.approx(30 * 0.8 / 0.3)
-    plan = {s: (e, r) for s, _, _, e, r in plan_budgets([("a", "en", 100), ("b", "en", 10)], {"a": (0.5, 1), "b": (0.3, 3), "c": (0.2, 5)})}
+    assert largest_exact({"a": (0.5, 100.0), "b": (0.3, 30.0), "c": (0.2, 0.0)}) == pytest.approx(30 * 0.8 / 0.3)
+    plan = {s: (e, r) for s, _, _, e, r in plan_budgets([("a", "en", 100), ("b", "en", 10)], {"a": (0.5, 1), "b": (0.3, 3), "c": (0.2, 5)}).leaves}
     assert plan == {"a": (0, 50), "b": (3, 0)}
-    assert largest_exact(Node("r", 1.0)) == 0.0 and plan_budgets([], {"a": (1.0, 1)}) == []
+    assert largest_exact({}) == 0.0 and plan_budgets([], {"a": (1.0, 1)}).leaves == []
+
+
+def test_tree_by_hand():
+    leaves = [("a", "en", 100), ("b", "en", 1000), ("a", "de", 50), ("c", "en", 400), ("x", "en", 9)]
+    weights = {"a": (0.4, 1), "b": (0.2, 1), "c": (0.4, 2)}
+    plan = plan_budgets(leaves, weights, 1000, {"a": "code", "b": "code"}, {"en": 0.5, "de": 0.5})
+    nodes = {n[:3]: n[3:] for n in plan.nodes}
+    # code 600: de can hold 50 of its 300, en takes the rest; there a holds 100 of 367, b takes the rest
+    assert {k: v[3] for k, v in nodes.items()} == pytest.approx({
+        ("code", None, None): 600, ("code", "de", None): 50, ("code", "de", "a"): 50, ("code", "en", None): 550, ("code", "en", "a"): 100, ("code", "en", "b"): 450,
+        ("other", None, None): 400, ("other", "en", None): 400, ("other", "en", "c"): 400,
+    })
+    assert nodes["code", "de", "a"][:3] == pytest.approx((0.3, 300, 50)) and nodes["code", "en", "b"][:2] == pytest.approx((0.1, 100))
+    assert {(s, lang): (e, r) for s, lang, _, e, r in plan.leaves} == {("a", "de"): (1, 0), ("a", "en"): (1, 0), ("b", "en"): (0, 450), ("c", "en"): (1, 0)}
+    # more than the domain holds: the other domain takes it, up to its repeats
+    plan = plan_budgets(leaves, weights, 2500, {"a": "code", "b": "code"}, {"en": 0.5, "de": 0.5})
+    assert {n[0]: n[6] for n in plan.nodes if n[1] is None} == pytest.approx({"code": 1150, "other": 800})
+    # a language that is not named has no part, unless "*" gives it one
+    plan = plan_budgets(leaves, weights, 100, None, {"de": 1.0})
+    assert {n[:3]: n[6] for n in plan.nodes if n[2]} == pytest.approx({("other", "de", "a"): 50, ("other", "en", "a"): 0, ("other", "en", "b"): 0, ("other", "en", "c"): 0})
+
+
+def test_sources_keep_their_shares_whatever_the_domains():
+    leaves = [(s, lang, n) for s, lang, n in [("a", "en", 500), ("a", "de", 10), ("b", "en", 40), ("b", "fr", 300), ("c", "de", 77)]]
+    weights = {"a": (0.5, 1), "b": (0.3, 2), "c": (0.2, 3)}
+    for domains in (None, {"a": "x", "b": "x", "c": "y"}, {"a": "x", "c": "x"}):
+        plan = plan_budgets(leaves, weights, None, domains)
+        got = {}
+        for _, _, source, _, _, _, budget in plan.nodes:
+            if source:
+                got[source] = got.get(source, 0) + budget
+        total = sum(got.values())
+        assert total == pytest.approx(510 / 0.5) and {s: b / total for s, b in got.items()} == pytest.approx({"a": 0.5, "b": 0.3, "c": 0.2})
 
 
 def corpus(spark, n=600):
@@ -86,6 +118,9 @@ def test_shares_and_repeats(spark, monkeypatch, bits, total):
         assert whole <= total and shares["big"]["most_repeats"] == 1
     assert sum(r["actual_share"] for r in shares.values()) == pytest.approx(1.0)
     assert {c["lang"] for c in chosen} <= {"en", "de", "fr", "und"}
+    tree = mix.tree.collect()
+    assert sum(r["tokens"] for r in tree if r["lang"] is None) == whole == sum(r["tokens"] for r in tree if r["source"])
+    assert all(abs(r["tokens"] - r["budget"]) < 70 for r in tree if r["source"])
     again = {(r["doc_id"], r["repeats"]) for r in mix_sources(docs.repartition(7), w, total=total).documents.collect()}
     assert again == {(r["doc_id"], r["repeats"]) for r in chosen}
     other = {(r["doc_id"], r["repeats"]) for r in mix_sources(docs, w, seed=7, total=total).documents.collect()}
