@@ -3,16 +3,17 @@
 The model is trained on the driver from a bounded sample of labelled documents
 (``sample`` of fit_subjects) and applied to every document, whole texts.
 
-1. Terms: of each word of the sample the subject whose documents it stands in.
-   A word that the sample lacks is matched by its accents, its stem, or one
+1. Terms: of each word of the sample the subject whose documents it stands in, or
+   the subjects, where it is as telling for several. A word that the sample lacks is matched by its accents, its stem, or one
    slip of the pen.
 2. Lines: a message line or changed line with terms is weighed by the words
    around them, learned as a logistic model, so that passing mentions and word
    lists count little. Unchanged lines are never read.
 3. Chain: one link per subject over the evidence of its terms, the document's
-   structure and source, and the labels of the links before it. Links share the
-   weights of the evidence; each has its own of co-occurrence. Evidence for
-   training is cross-fitted, and the links' outputs are calibrated on it.
+   structure and source, and the labels of the links before it. A link's weights of
+   evidence are shared ones and its own difference from them; bias, source,
+   co-occurrence and what it makes of a document without its terms are its own.
+   Evidence for training is cross-fitted, and each link's output is calibrated on it.
 4. Decoding: beam search over the chain gives the best combination of labels.
 """
 
@@ -37,6 +38,8 @@ _WORD = re.compile(r"[A-ZÀ-ÖØ-ÞŒ]?[a-zß-öø-ÿœ]+|[A-ZÀ-ÖØ-ÞŒ]+(?![
 _BOT = re.compile(r"bot\b|robot|\bauto", re.I)
 MESSAGE, CHANGE, PATH = 0, 1, 2
 _EVIDENCE = 34
+SHARED_TERM = 5  # documents of each that make a word a term of two subjects
+_OWN = 0.5  # scale of a link's difference from the shared weights
 
 
 def fold(word: str) -> str:
@@ -94,12 +97,12 @@ def read_lines(text: str | None) -> Lines:
 
 @dataclass
 class Terms:
-    """Folded word -> number of its subject; plain words that are no term."""
+    """Folded word -> numbers of its subjects; plain words that are no term."""
 
-    subject: dict[str, int]
+    subject: dict[str, tuple[int, ...]]
     plain: set[str]
-    slips: dict[str, int] = field(default_factory=dict)
-    cache: dict[str, int] = field(default_factory=dict)
+    slips: dict[str, tuple[int, ...]] = field(default_factory=dict)
+    cache: dict[str, tuple[int, ...]] = field(default_factory=dict)
 
     def __post_init__(self) -> None:
         if not self.slips:
@@ -107,10 +110,10 @@ class Terms:
                 if len(word) >= 5:
                     for i in range(len(word)):
                         cut = word[:i] + word[i + 1 :]
-                        self.slips[cut] = -1 if self.slips.get(cut, s) != s else s
+                        self.slips[cut] = () if self.slips.get(cut, s) != s else s
 
-    def of(self, raw: str) -> int:
-        """The subject of a word, or -1."""
+    def of(self, raw: str) -> tuple[int, ...]:
+        """The subjects of a word, mostly none or one."""
         known = self.cache.get(raw)
         if known is None:
             known = self._match(fold(raw))
@@ -119,12 +122,12 @@ class Terms:
             self.cache[raw] = known
         return known
 
-    def _match(self, word: str) -> int:
+    def _match(self, word: str) -> tuple[int, ...]:
         s = self.subject.get(word)
         if s is not None:
             return s
         if len(word) < 4 or word in self.plain:
-            return -1
+            return ()
         for cut in range(1, min(5, len(word) - 3)):  # endings
             stem = word[:-cut]
             s = self.subject.get(stem)
@@ -137,16 +140,16 @@ class Terms:
                     return s
         if len(word) >= 5:  # one letter left out, put in, changed or swapped with the next
             s = self.slips.get(word)
-            if s is not None and s >= 0:
+            if s:
                 return s
             for i in range(len(word)):
                 cut_word = word[:i] + word[i + 1 :]
                 s = self.subject.get(cut_word) if len(cut_word) >= 5 else None
                 if s is None:
                     s = self.slips.get(cut_word)
-                if s is not None and s >= 0:
+                if s:
                     return s
-        return -1
+        return ()
 
 
 def learn_terms(docs: list[Lines], labels: list[frozenset[int]], n_subjects: int, rounds: int = 2) -> Terms:
@@ -155,7 +158,7 @@ def learn_terms(docs: list[Lines], labels: list[frozenset[int]], n_subjects: int
     words of others don't outnumber them, which keeps word lists out."""
     bags = [{fold(w) for zone, words in d.lines if zone != PATH for w in words if len(w) > 2} for d in docs]
     base = np.bincount([s for y in labels for s in y], minlength=n_subjects) / max(1, len(docs))
-    terms: dict[str, int] = {}
+    terms: dict[str, tuple[int, ...]] = {}
     total: Counter = Counter()
     for step in range(rounds):
         by: defaultdict[str, Counter] = defaultdict(Counter)
@@ -169,12 +172,19 @@ def learn_terms(docs: list[Lines], labels: list[frozenset[int]], n_subjects: int
                     by[w][s] += 1
         terms = {}
         for w, counts in by.items():
-            s, k = max(counts.items(), key=lambda x: (x[1], -x[0]))
-            n = total[w]
-            share = (k + 2 * base[s]) / (n + 2)
-            others = sum(counts.values()) - k
-            if k >= 2 and share >= 0.4 and share * (1 - base[s]) >= 4 * base[s] * (1 - share) and k > 1.4 * max((c for o, c in counts.items() if o != s), default=0) and others <= 1.2 * k:
-                terms[w] = s
+            telling = []
+            for s, k in sorted(counts.items(), key=lambda x: (-x[1], x[0])):
+                share = (k + 2 * base[s]) / (total[w] + 2)
+                if k >= 2 and share >= 0.4 and share * (1 - base[s]) >= 4 * base[s] * (1 - share):
+                    telling.append(s)
+            if not telling or telling[0] != min(counts, key=lambda s: (-counts[s], s)):
+                continue
+            first = telling[0]
+            k = counts[first]
+            if k > 1.4 * max((c for o, c in counts.items() if o != first), default=0) and sum(counts.values()) - k <= 1.2 * k:
+                terms[w] = (first,)
+            elif len(telling) == 2 and counts[telling[1]] >= SHARED_TERM:  # as telling for one as for the other
+                terms[w] = tuple(sorted(telling))
     plain = {w for w, n in total.items() if n >= 4 and w not in terms}
     return Terms(terms, plain)
 
@@ -196,15 +206,15 @@ def hits_of(doc: Lines, terms: Terms) -> list[Hit]:
     for zone, words in doc.lines:
         found: dict[int, set[str]] | None = None
         for w in words:
-            s = known(w)
-            if s is None:
-                s = of(w)
-            if s >= 0:
+            its = known(w)
+            if its is None:
+                its = of(w)
+            for s in its:
                 if found is None:
                     found = {}
                 found.setdefault(s, set()).add(w)
         if found:
-            rest = [w.lower() for w in words if terms.of(w) < 0]
+            rest = [w.lower() for w in words if not of(w)]
             mark = ("m:", "c:", "p:")[zone]
             context = [mark + w for w in rest] + [mark + "#", f"{mark}#{min(len(rest), 4)}", f"{mark}@{min(len(found), 3)}"]
             context += [f"{mark}{a}_{b}" for a, b in zip(rest, rest[1:])]
@@ -298,17 +308,34 @@ def evidence(doc: Lines, hits: list[Hit], gate: dict[str, float], n_subjects: in
 # ---------------------------------------------------------------- the chain
 
 
+@dataclass
+class Links:
+    """The links' weights. own: (subjects, bias, sources + 1, no evidence, earlier labels)."""
+
+    evidence: np.ndarray  # (subjects, evidence)
+    own: np.ndarray
+    n_sources: int
+
+    def fixed(self, x: np.ndarray, source: np.ndarray) -> np.ndarray:
+        """What does not depend on labels: (documents, subjects)."""
+        none = ~x.any(axis=2)
+        return np.einsum("nsf,sf->ns", x, self.evidence) + self.own[:, 0] + self.own[:, 1:][:, source].T + none * self.own[:, 2 + self.n_sources]
+
+    @property
+    def after(self) -> np.ndarray:
+        return self.own[:, 3 + self.n_sources :]
+
+
 @dataclass
 class SubjectModel:
     subjects: list[str]
     order: list[int]
     terms: Terms
     gate: dict[str, float]
-    shared: np.ndarray  # of evidence
-    own: np.ndarray  # (subjects, 1 + sources + subjects): bias, source, earlier labels
+    links: Links
     sources: dict[str, int]
-    slope: float = 1.0
-    shift: float = 0.0
+    slope: np.ndarray
+    shift: np.ndarray
     beam: int = 4
 
     def features(self, text: str | None) -> np.ndarray | None:
@@ -321,13 +348,13 @@ class SubjectModel:
         """The best combination of labels of each document, by beam search:
         x (documents, subjects, evidence), source numbers; a boolean array."""
         n, k = len(x), len(self.subjects)
-        fixed = x @ self.shared + self.own[:, 0] + self.own[:, 1:][:, source].T
+        fixed, some = self.links.fixed(x, source), x.any(axis=2)
         labels = np.zeros((n, 1, k), bool)
         score = np.zeros((n, 1))
-        after = self.own[:, 1 + len(self.sources) + 1 :]
+        after = self.links.after
         for s in self.order:
             z = fixed[:, s, None] + labels @ after[s]
-            z = np.where(x[:, s, None, :].any(axis=-1), self.slope * z + self.shift, -30.0)
+            z = np.where(some[:, s, None], self.slope[s] * z + self.shift[s], z)
             yes = np.concatenate([labels, labels], axis=1)
             yes[:, labels.shape[1] :, s] = True
             both = np.concatenate([score - np.logaddexp(0, z), score - np.logaddexp(0, -z)], axis=1)
@@ -337,48 +364,53 @@ class SubjectModel:
         return labels[:, 0]
 
 
-def _chain(x: np.ndarray, source: np.ndarray, y: np.ndarray, order: list[int], n_sources: int, l2: float) -> tuple[np.ndarray, np.ndarray]:
-    """Fits all links at once: shared weights of evidence, own ones of bias,
-    source and earlier labels. Documents without evidence for a subject are no
-    rows of its link: no term, no label."""
+def _chain(x: np.ndarray, source: np.ndarray, y: np.ndarray, order: list[int], n_sources: int, l2: float) -> Links:
+    """Fits all links at once. Documents without evidence for a subject are rows of its
+    link too, those alike as one row with their number as weight."""
     n, k, f = x.shape
-    per = 1 + n_sources + 1 + k
-    rows, cols, vals, ys = [], [], [], []
+    per = 1 + n_sources + 1 + 1 + k + f
+    rows, cols, vals, ys, weight = [], [], [], [], []
     count = 0
+
+    def add(r: np.ndarray, c: np.ndarray, v: np.ndarray) -> None:
+        rows.append(r)
+        cols.append(c)
+        vals.append(v)
+
     for place, s in enumerate(order):
-        at = np.flatnonzero(x[:, s].any(axis=1))
+        some = x[:, s].any(axis=1)
+        at, rest = np.flatnonzero(some), np.flatnonzero(~some)
+        earlier = order[:place]
+        like = np.column_stack([source[rest], y[rest][:, earlier], y[rest, s]]).astype(np.int64)
+        kinds, size = np.unique(like, axis=0, return_counts=True) if len(rest) else (np.zeros((0, place + 2), np.int64), np.zeros(0))
+        base = f + s * per
         block = x[at, s]
         r, c = np.nonzero(block)
-        rows.append(r + count)
-        cols.append(c)
-        vals.append(block[r, c])
-        base = f + s * per
-        here = np.arange(len(at)) + count
-        rows.append(here)
-        cols.append(np.full(len(at), base))
-        vals.append(np.ones(len(at)))
-        rows.append(here)
-        cols.append(base + 1 + source[at])
-        vals.append(np.full(len(at), 0.5))
-        for before in order[:place]:
-            on = here[y[at, before]]
-            rows.append(on)
-            cols.append(np.full(len(on), base + 1 + n_sources + 1 + before))
-            vals.append(np.full(len(on), 0.7))
-        ys.append(y[at, s])
-        count += len(at)
-    width = f + k * per
-    w = _fit_logistic(np.concatenate(rows), np.concatenate(cols).astype(np.int64), np.concatenate(vals), np.concatenate(ys).astype(float), width, l2, steps=300)
-    own = w[f:].reshape(k, per).copy()
-    own[:, 1 : 1 + n_sources + 1] *= 0.5
-    own[:, 1 + n_sources + 1 :] *= 0.7
-    return w[:f], own
+        add(r + count, c, block[r, c])
+        add(r + count, c + base + per - f, _OWN * block[r, c])
+        here = np.arange(len(at) + len(kinds)) + count
+        add(here, np.full(len(here), base), np.ones(len(here)))
+        add(here, base + 1 + np.concatenate([source[at], kinds[:, 0]]), np.full(len(here), 0.5))
+        add(here[len(at) :], np.full(len(kinds), base + 2 + n_sources), np.ones(len(kinds)))
+        labels = np.concatenate([y[at][:, earlier], kinds[:, 1:-1].astype(bool)])
+        for i, before in enumerate(earlier):
+            on = here[labels[:, i]]
+            add(on, np.full(len(on), base + 3 + n_sources + before), np.full(len(on), 0.7))
+        ys.append(np.concatenate([y[at, s], kinds[:, -1]]))
+        weight.append(np.concatenate([np.ones(len(at)), size]))
+        count += len(here)
+    w = _fit_logistic(np.concatenate(rows), np.concatenate(cols).astype(np.int64), np.concatenate(vals), np.concatenate(ys).astype(float), f + k * per, l2, steps=300, weight=np.concatenate(weight))
+    own = w[f:].reshape(k, per)
+    links = Links(w[:f] + _OWN * own[:, per - f :], own[:, : per - f].copy(), n_sources)
+    links.own[:, 1 : 2 + n_sources] *= 0.5
+    links.own[:, 3 + n_sources :] *= 0.7
+    return links
 
 
 def train(texts: list[str | None], sources: list[str], labels: list[frozenset[str]], subjects: list[str], folds: int = 3) -> SubjectModel:
     """A model from labelled documents; an empty set of labels means no subject."""
     if not subjects:
-        return SubjectModel([], [], Terms({}, set()), {}, np.zeros(_EVIDENCE), np.zeros((0, 2)), {})
+        return SubjectModel([], [], Terms({}, set()), {}, Links(np.zeros((0, _EVIDENCE)), np.zeros((0, 3)), 0), {}, np.ones(0), np.zeros(0))
     number = {s: k for k, s in enumerate(subjects)}
     y_sets = [frozenset(number[s] for s in y if s in number) for y in labels]
     names = [s for s, n in Counter(sources).most_common() if n >= 20]
@@ -402,27 +434,33 @@ def train(texts: list[str | None], sources: list[str], labels: list[frozenset[st
     order = sorted(range(k), key=lambda s: (-int(y[:, s].sum()), subjects[s]))
     half = np.arange(len(docs)) % 2 == 0
     # calibration on documents the chain did not see
-    shared, own = _chain(x[half], src[half], y[half], order, len(source_of), 1.0)
-    slope, shift = _calibrate(x[~half], src[~half], y[~half], order, shared, own, len(source_of))
-    shared, own = _chain(x, src, y, order, len(source_of), 1.0)
-    return SubjectModel(subjects, order, terms, gate, shared, own, source_of, slope, shift)
+    links = _chain(x[half], src[half], y[half], order, len(source_of), 1.0)
+    slope, shift = _calibrate(x[~half], src[~half], y[~half], order, links)
+    links = _chain(x, src, y, order, len(source_of), 1.0)
+    return SubjectModel(subjects, order, terms, gate, links, source_of, slope, shift)
 
 
-def _calibrate(x: np.ndarray, source: np.ndarray, y: np.ndarray, order: list[int], shared: np.ndarray, own: np.ndarray, n_sources: int) -> tuple[float, float]:
-    """Slope and shift of the links' outputs, by logistic regression on held-out documents."""
-    after = own[:, 1 + n_sources + 1 :]
-    zs, ys = [], []
-    for place, s in enumerate(order):
-        at = np.flatnonzero(x[:, s].any(axis=1))
-        before = order[:place]
-        zs.append(x[at, s] @ shared + own[s, 0] + own[s, 1 + source[at]] + y[at][:, before] @ after[s, before])
-        ys.append(y[at, s])
-    z, t = np.concatenate(zs), np.concatenate(ys).astype(float)
-    if len(t) < 50 or t.min() == t.max():
-        return 1.0, 0.0
+def _slope_and_shift(z: np.ndarray, t: np.ndarray, least: int, otherwise: tuple[float, float]) -> tuple[float, float]:
+    """By logistic regression; otherwise where there are too few documents of a kind."""
     n = len(t)
+    if min(t.sum(), n - t.sum()) < least:
+        return otherwise
     w = _fit_logistic(np.repeat(np.arange(n), 2), np.tile([0, 1], n), np.stack([z, np.ones(n)], 1).ravel(), t, 2, 1.0, steps=200)
-    return (float(w[0]), float(w[1])) if w[0] > 0.05 else (1.0, 0.0)
+    return (float(w[0]), float(w[1])) if w[0] > 0.05 else otherwise
+
+
+def _calibrate(x: np.ndarray, source: np.ndarray, y: np.ndarray, order: list[int], links: Links) -> tuple[np.ndarray, np.ndarray]:
+    """Slope and shift of each link's output on held-out documents with evidence; those
+    of all links together where one has few."""
+    fixed, some = links.fixed(x, source), x.any(axis=2)
+    zs, ts = {}, {}
+    for place, s in enumerate(order):
+        at, earlier = np.flatnonzero(some[:, s]), order[:place]
+        zs[s] = fixed[at, s] + y[at][:, earlier] @ links.after[s, earlier]
+        ts[s] = y[at, s].astype(float)
+    everyone = _slope_and_shift(np.concatenate([zs[s] for s in order]), np.concatenate([ts[s] for s in order]), 10, (1.0, 0.0))
+    found = [_slope_and_shift(zs[s], ts[s], 100, everyone) for s in range(x.shape[1])]
+    return np.array([a for a, _ in found]), np.array([b for _, b in found])
 
 
 # ---------------------------------------------------------------- on Spark
@@ -457,25 +495,32 @@ def fit_subjects(docs: DataFrame, labels: DataFrame, subjects: DataFrame, sample
 def _predict(batches: Iterator[pa.RecordBatch], model: SubjectModel, keep: tuple[str, ...]) -> Iterator[pa.RecordBatch]:
     none = len(model.sources)
     k = len(model.subjects)
+    bare: dict[int, bool] = {}  # sources of which a document without any term has a subject
     for batch in batches:
-        ids, found, sources = [], [], []
-        for doc_id, text, source in zip(batch["doc_id"], batch["text"], batch["source"].to_pylist()):
-            x = model.features(text.as_py())
+        rows, found, sources = [], [], []
+        for row, (text, name) in enumerate(zip(batch["text"], batch["source"].to_pylist())):
+            x, source = model.features(text.as_py()), model.sources.get(name or "", none)
+            if x is None and k:
+                if source not in bare:
+                    bare[source] = bool(model.decode(np.zeros((1, k, _EVIDENCE)), np.array([source])).any())
+                x = np.zeros((k, _EVIDENCE)) if bare[source] and text.as_py() else None
             if x is not None:
-                ids.append(doc_id.as_py())
+                rows.append(row)
                 found.append(x)
-                sources.append(model.sources.get(source or "", none))
-        if not ids or not k:
+                sources.append(source)
+        if not rows or not k:
             continue
         labels = model.decode(np.stack(found), np.array(sources, int))
         doc, subject = np.nonzero(labels)
-        yield pa.RecordBatch.from_arrays([pa.array([ids[i] for i in doc], pa.int64()), pa.array([model.subjects[s] for s in subject], pa.string())], ["doc_id", "subject"])
+        at = pa.array([rows[i] for i in doc], pa.int64())
+        yield pa.RecordBatch.from_arrays([*(batch[c].take(at) for c in ("doc_id", *keep)), pa.array([model.subjects[s] for s in subject], pa.string())], ["doc_id", *keep, "subject"])
 
 
-def assign_subjects(docs: DataFrame, model: SubjectModel) -> DataFrame:
+def assign_subjects(docs: DataFrame, model: SubjectModel, *keep: str) -> DataFrame:
     """(doc_id, subject) of every document that is about a subject, from its whole
-    text. Null and empty texts have none. No shuffle; what is broadcast is the
-    model, which the training sample bounds."""
+    text; keep may be "source", in one spelling. Null and empty texts have none. No
+    shuffle; what is broadcast is the model, which the training sample bounds."""
     ship(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(model)
-    return exact(docs, "doc_id", "text", "source").select("doc_id", "text", canonical_source(F.col("source")).alias("source")).mapInArrow(lambda b: _predict(b, shared.value), "doc_id bigint, subject string")
+    rows = exact(docs, "doc_id", "text", "source").select("doc_id", "text", canonical_source(F.col("source")).alias("source"))
+    return rows.mapInArrow(lambda b: _predict(b, shared.value, keep), f"doc_id bigint, {''.join(f'{c} string, ' for c in keep)}subject string")

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from tablelens.llm import subjects
 from tablelens.llm.common import canonical_source
-from tablelens.llm.subjects import CHANGE, MESSAGE, PATH, Terms, assign_subjects, fit_subjects, read_lines, train
+from tablelens.llm.subjects import CHANGE, MESSAGE, PATH, Terms, assign_subjects, fit_subjects, learn_terms, read_lines, train
 
 DATA = os.environ.get("TEST_LABELS_DIR", "/root/testdata/sf0.1")
 
@@ -19,15 +19,25 @@ def test_lines():
     d = read_lines(text)
     assert d.lines == [(MESSAGE, ["Fix", "violin"]), (MESSAGE, ["body", "text"]), (PATH, ["src", "x", "y", "py"]), (CHANGE, ["old", "Name"]), (CHANGE, ["new", "Name", "foo", "Bar"])]
     assert d.n_changed == 2 and d.n_files == 1
+    sql = read_lines("x\ndiff --git a/q.sql b/q.sql\n--- a/q.sql\n+++ b/q.sql\n@@ -1,2 +1,2 @@\n--- quantum comment\n+++ counter\ndiff --git a/b.lua b/b.lua\n--- a/b.lua\n+++ b/b.lua\n@@ -1 +1 @@\n--- violin\n")
+    assert [w for zone, w in sql.lines if zone == CHANGE] == [["quantum", "comment"], ["counter"], ["violin"]] and sql.n_changed == 3
     for t in (None, "", "\n\n"):
         assert read_lines(t).lines == []
     assert len(read_lines("+x" * 1_000_000).lines) == 1
 
 
 def test_terms_by_form():
-    t = Terms({"molekul": 0, "harvest": 1, "galaxy": 2}, {"result", "harvey"})
+    t = Terms({"molekul": (0,), "harvest": (1,), "galaxy": (2,), "bondage": (0, 2)}, {"result", "harvey"})
     for raw, s in (("Molekül", 0), ("HARVESTS", 1), ("harvesting", 1), ("havrest", 1), ("harvvest", 1), ("harest", 1), ("galaxies", -1), ("result", -1), ("harvey", -1), ("Molekülzahl", 0), ("x", -1)):
-        assert t.of(raw) == s, raw
+        assert t.of(raw) == (() if s < 0 else (s,)), raw
+    assert t.of("Bondage") == (0, 2)
+
+
+def test_a_term_of_two_subjects():
+    docs = [read_lines(f"{w} here") for w in ["tempo", "tempo", "violin", "goal"] * 8 + ["plain"] * 150]
+    labels = [frozenset(s) for s in [{0}, {1}, {0}, {1}] * 8 + [()] * 150]
+    terms = learn_terms(docs, labels, 2)
+    assert terms.of("tempo") == (0, 1) and terms.of("violin") == (0,) and terms.of("goal") == (1,) and terms.of("here") == ()
 
 
 def synthetic(n, seed):
@@ -49,17 +59,16 @@ def test_chain_and_beam():
     texts, labels = synthetic(600, 1)
     model = train(texts, ["s"] * 600, labels, ["law", "music"])
     test, truth = synthetic(200, 2)
-    x = np.stack([f if (f := model.features(t)) is not None else np.zeros((2, len(model.shared))) for t in test])
+    x = np.stack([f if (f := model.features(t)) is not None else np.zeros((2, model.links.evidence.shape[1])) for t in test])
     got = model.decode(x, np.zeros(200, int))
     found = [frozenset(model.subjects[s] for s in np.flatnonzero(row)) for row in got]
     assert sum(a == b for a, b in zip(found, truth)) >= 190
     every = {}
-    fixed = x @ model.shared + model.own[:, 0] + model.own[:, 1]
-    after = model.own[:, 1 + len(model.sources) + 1 :]
+    fixed, after = model.links.fixed(x, np.zeros(200, int)), model.links.after
     for bits in range(4):  # the beam is wide enough for two subjects to be exact
         y = np.array([bits & 1, bits >> 1], bool)
-        z = np.stack([model.slope * (fixed[:, s] + (y * after[s])[model.order[: model.order.index(s)]].sum()) + model.shift for s in range(2)], 1)
-        z = np.where(x.any(axis=2), z, -30.0)
+        z = np.stack([fixed[:, s] + (y * after[s])[model.order[: model.order.index(s)]].sum() for s in range(2)], 1)
+        z = np.where(x.any(axis=2), model.slope * z + model.shift, z)
         every[bits] = -np.logaddexp(0, np.where(y, -z, z)).sum(axis=1)
     best = np.stack([every[b] for b in range(4)], 1).argmax(axis=1)
     assert (best == got @ np.array([1, 2])).all()
