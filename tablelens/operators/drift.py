@@ -1,13 +1,14 @@
 """Schemas that drift between files.
 
-Tagged-union inference: all schemas of a table are fused into one union whose
-paths (field ids, at any depth) keep every alternative form they ever had, as
-``(ordinal of the schema, name, type tag)``. A change is an alternative that
-appears or ends between two neighbouring ordinals.
-
-Forms are fused by (table, field id, block of ordinals). A block holds at most
-``BLOCK`` schemas plus the last one before it, so no group grows with the data,
-and their shuffle is by a key that no table dominates.
+Tagged-union inference: the schemas of a table are fused, one after the other, into a
+union whose paths (field ids, at any depth) keep every alternative form they ever had:
+name, type tag, and the run of neighbouring schemas with it. A change is an
+alternative that appears or ends between two neighbouring schemas.
+
+Schemas go through one shuffle only: a range partitioning by (table, schema), which
+puts neighbouring schemas next to each other and splits a table with a large part of
+all schemas. A task holds two schemas at a time. What lies between two partitions is
+compared from their outermost schemas, of which there are two a partition.
 """
 
 from __future__ import annotations
@@ -23,17 +24,15 @@ from typing import Any, NamedTuple
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tablelens import jsontext
 from tablelens.operators.fieldtree import NESTED, as_int, children, get, inner, opened, tag_of, type_tag
 from tablelens.shared import exact, materialize, ship
 
-BLOCK = 256
-SPAN = 1024
 HOT_ROWS = 100_000
-_KEPT = {"table_uuid": "string", "schema_id": "int", "loaded_at": "timestamp_ntz", "ord": "bigint", "prev_id": "int", "next_id": "int"}
+_KEPT = {"table_uuid": "string", "schema_id": "int", "loaded_at": "timestamp_ntz"}
 _FOUND = {"id": pa.int32(), "top_id": pa.int32(), "parent_id": pa.int32(), "name": pa.string(), "tag": pa.string()}
 
 
@@ -44,13 +43,10 @@ def _fields(fields: DataFrame) -> DataFrame:
     return typed.filter(F.col("table_uuid").isNotNull() & F.col("schema_id").isNotNull() & F.col("id").isNotNull())
 
 
-def latest_fields(fields: DataFrame, by_schema: bool = False) -> DataFrame:
+def latest_fields(fields: DataFrame) -> DataFrame:
     """Of several rows of a field (table, schema, id) the one loaded last; among
-    equal times the greatest (name, type). With by_schema the rows are partitioned
-    by (table, schema) for what follows, instead of being aggregated before the shuffle."""
-    rows = _fields(fields)
-    rows = rows.repartition("table_uuid", "schema_id") if by_schema else rows
-    best = rows.groupBy("table_uuid", "schema_id", "id").agg(F.max(F.struct("loaded_at", "name", "field_type")).alias("b"))
+    equal times the greatest (name, type)."""
+    best = _fields(fields).groupBy("table_uuid", "schema_id", "id").agg(F.max(F.struct("loaded_at", "name", "field_type")).alias("b"))
     return best.select("table_uuid", "schema_id", "id", "b.name", "b.field_type", "b.loaded_at")
 
 
@@ -73,7 +69,7 @@ def _flatten(batches: Iterator[pa.RecordBatch], kept: list[str]) -> Iterator[pa.
 
 def flatten_fields(fields: DataFrame, types: bool = False) -> DataFrame:
     """One row per field at any depth, those given and those inside their types:
-    (id, top_id, parent_id, name, tag), with table, schema, time and ordinals as given;
+    (id, top_id, parent_id, name, tag), with table, schema and time as given;
     with types also the given field_type that each was found in."""
     ship(fields.sparkSession)
     kinds = _KEPT | ({"field_type": "string"} if types else {})
@@ -82,77 +78,183 @@ def flatten_fields(fields: DataFrame, types: bool = False) -> DataFrame:
     return exact(fields, *dict.fromkeys([*kept, "id", "name", "field_type"])).mapInArrow(lambda b: _flatten(b, kept), schema)
 
 
-def schema_ordinals(fields: DataFrame) -> DataFrame:
-    """(table_uuid, schema_id, n, ord, prev_id, next_id) of the schemas present,
-    with their number of rows, numbered by schema_id. Counted in spans of ids
-    first, so that a table with a large part of all schemas is not sorted by one task."""
-    ids = _fields(fields).groupBy("table_uuid", "schema_id").agg(F.count("*").alias("n")).withColumn("span", F.floor(F.col("schema_id") / SPAN))
-    within = Window.partitionBy("table_uuid", "span").orderBy("schema_id")
-    spans = ids.groupBy("table_uuid", "span").agg(F.count("*").alias("c"), F.min("schema_id").alias("lo"), F.max("schema_id").alias("hi"))
-    over = Window.partitionBy("table_uuid").orderBy("span")
-    spans = spans.select(
-        "table_uuid", "span", F.lag("hi").over(over).alias("before"), F.lead("lo").over(over).alias("after"),
-        F.coalesce(F.sum("c").over(over.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("base"),
-    )
-    local = ids.select("table_uuid", "schema_id", "n", "span", F.row_number().over(within).alias("rn"), F.lag("schema_id").over(within).alias("lag"), F.lead("schema_id").over(within).alias("lead"))
-    return local.join(spans, ["table_uuid", "span"]).select("table_uuid", "schema_id", "n", (F.col("base") + F.col("rn") - 1).alias("ord"), F.coalesce("lag", "before").alias("prev_id"), F.coalesce("lead", "after").alias("next_id"))
-
-
-def placed_fields(fields: DataFrame, types: bool = False) -> DataFrame:
-    """All fields at any depth, as loaded last, with the ordinal of their schema.
-
-    One shuffle by (table, schema) serves the choice of the last row and the join
-    with the ordinals. Where some schema was sent so often that its rows would
-    fill a task, the last rows are picked by an aggregation that starts before a
-    shuffle of its own.
+# ---------------------------------------------------------------- the union
+
+#: Of a field in a schema: name, tag, and the id of the field that holds it.
+_Form = tuple[str | None, str | None, int | None]
+_EDGE = "table_uuid string, schema_id int, id int, name string, tag string, parent_id int, is_first boolean, is_last boolean"
+#: kind: run (an alternative from schema_id to to_id, n schemas), change (from schema_id to to_id), edge.
+_WALKED = f"kind string, {_EDGE}, to_id int, n bigint, change_kind string"
+_ARROW = {"string": pa.string(), "int": pa.int32(), "bigint": pa.int64(), "boolean": pa.bool_()}
+_WALKED_ARROW = pa.schema([(name, _ARROW[kind]) for name, kind in (c.split() for c in _WALKED.split(", "))])
+
+
+def _order(value: Any) -> tuple:
+    """For comparing values that may be null; null is least."""
+    return (False,) if value is None else (True, value)
+
+
+def _forms(rows: list[tuple]) -> dict[int, _Form]:
+    """The form of each id in a schema, of its rows (id, loaded_at, name, type) in that
+    order: of a field the last row holds, of an id given twice the form loaded last,
+    then the greatest."""
+    latest = {top: (at, name, text) for top, at, name, text in rows}
+    best: dict[int, tuple[tuple, _Form]] = {}
+
+    def see(field: int, at: Any, form: _Form) -> None:
+        old = best.get(field)
+        if old is None:
+            best[field] = ((), form) if at is None else ((at,), form)
+        else:
+            key = lambda t, f: (t, _order(f[0]), _order(f[1]), _order(f[2]))
+            new = () if at is None else (at,)
+            if key(new, form) > key(*old):
+                best[field] = (new, form)
+
+    for top, (at, name, text) in latest.items():
+        see(top, at, (name, None if text is None else tag_of(text), None))
+        if text is not None and "{" in text:
+            for field, above, inner_name, tag in inner(text):
+                if -(1 << 31) <= field < 1 << 31:
+                    see(field, at, (inner_name, tag, top if above is None else above))
+    return {field: form for field, (_, form) in best.items()}
+
+
+def _changes(old: dict[int, _Form], new: dict[int, _Form]) -> Iterator[tuple[int, str]]:
+    """(id, kind of change) from one schema to the next."""
+    for field, form in new.items():
+        was = old.get(field)
+        if was is None:
+            yield field, "added"
+            continue
+        if was[0] != form[0]:
+            yield field, "renamed"
+        if was[1] != form[1]:
+            yield field, "type_changed"
+    yield from ((field, "removed") for field in old if field not in new)
+
+
+class _Union:
+    """The union of a table's schemas in a partition, and the rows that it gives."""
+
+    def __init__(self, table: str):
+        self.table, self.schema, self.forms = table, None, {}
+        self.runs: dict[int, list] = {}  # id -> [form, first schema, number of schemas]
+
+    def take(self, schema: int, forms: dict[int, _Form]) -> Iterator[dict]:
+        """Fuses the next schema in; the changes, and the runs that have ended."""
+        if self.schema is not None:
+            for field, kind in _changes(self.forms, forms):
+                yield {"kind": "change", "table_uuid": self.table, "schema_id": self.schema, "to_id": schema, "id": field, "change_kind": kind}
+        yield from self.end({field for field, run in self.runs.items() if forms.get(field) != run[0]})
+        for field, form in forms.items():
+            self.runs.setdefault(field, [form, schema, 0])[2] += 1
+        self.schema, self.forms = schema, forms
+
+    def end(self, fields: set[int] | None = None) -> Iterator[dict]:
+        for field in list(self.runs) if fields is None else fields:
+            form, first, n = self.runs.pop(field)
+            yield {"kind": "run", "table_uuid": self.table, "schema_id": first, "to_id": self.schema, "id": field, "name": form[0], "tag": form[1], "parent_id": form[2], "n": n}
+
+    def edge(self, first: bool, last: bool) -> Iterator[dict]:
+        for field, form in self.forms.items():
+            yield {"kind": "edge", "table_uuid": self.table, "schema_id": self.schema, "id": field, "name": form[0], "tag": form[1], "parent_id": form[2], "is_first": first, "is_last": last}
+
+
+def _batches(rows: Iterator[dict]) -> Iterator[pa.RecordBatch]:
+    held: list[dict] = []
+
+    def batch() -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([(jsontext.texts if f.type == pa.string() else lambda v, t=f.type: pa.array(v, t))([r.get(f.name) for r in held]) for f in _WALKED_ARROW], schema=_WALKED_ARROW)
+
+    for row in rows:
+        held.append(row)
+        if len(held) >= 20_000:
+            yield batch()
+            held.clear()
+    if held:
+        yield batch()
+
+
+def _groups(batches: Iterator[pa.RecordBatch], columns: list[str]) -> Iterator[tuple[tuple, list[tuple]]]:
+    """((table, schema), rows of the columns) of each schema of a sorted partition."""
+    at, rows = None, []
+    for batch in batches:
+        for t, s, *rest in zip(*(batch[c].to_pylist() for c in ("table_uuid", "schema_id", *columns))):
+            if at != (t, s):
+                if at is not None:
+                    yield at, rows
+                at, rows = (t, s), []
+            rows.append(tuple(rest))
+    if at is not None:
+        yield at, rows
+
+
+def _fuse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def rows() -> Iterator[dict]:
+        union, n, first = None, 0, False
+        for (table, schema), fields in _groups(batches, ["id", "loaded_at", "name", "field_type"]):
+            if union is not None and first and n == 1:
+                yield from union.edge(True, False)
+            if union is None or union.table != table:
+                if union is not None:
+                    yield from union.end()
+                union = _Union(table)
+            yield from union.take(schema, _forms(fields))
+            n += 1
+            first = n == 1
+        if union is not None:
+            yield from union.edge(n == 1, True)
+            yield from union.end()
+
+    return _batches(rows())
+
+
+def _fuse_edges(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The changes from the last schema of a partition to the first of the next."""
+
+    def rows() -> Iterator[dict]:
+        before = None
+        for (table, schema), fields in _groups(batches, ["id", "name", "tag", "parent_id", "is_first", "is_last"]):
+            forms = {field: (name, tag, parent) for field, name, tag, parent, _, _ in fields}
+            if before and before[0] == table and before[3] and fields[0][4]:
+                for field, kind in _changes(before[2], forms):
+                    yield {"kind": "change", "table_uuid": table, "schema_id": before[1], "to_id": schema, "id": field, "change_kind": kind}
+            before = (table, schema, forms, fields[0][5])
+
+    return _batches(rows())
+
+
+def fuse(fields: DataFrame) -> DataFrame:
+    """The union of each table's schemas in rows (_WALKED), written: runs of alternatives
+    (cut where a partition ends), and the changes between neighbouring schemas.
+
+    Rows without table_uuid, schema_id or id are no fields. Where some schema was sent
+    so often that its rows would fill a task, the last rows are picked beforehand, by
+    an aggregation that starts before the shuffle.
     """
-    ordinals = materialize(schema_ordinals(fields), "ordinals")
-    hot = ordinals.filter(F.col("n") > HOT_ROWS).limit(1).count() > 0
-    return flatten_fields(latest_fields(fields, by_schema=not hot).join(ordinals.drop("n"), ["table_uuid", "schema_id"]), types)
-
-
-def fuse(placed: DataFrame) -> DataFrame:
-    """The union in rows: (table_uuid, id, block, ord, name, tag, schema_id, prev_id,
-    next_id), the form that each schema gives to an id; where one has an id twice,
-    the form loaded last (then the greatest) counts. A block also holds the last
-    form before it, so that each change lies within one block."""
-    blocks = F.array_distinct(F.array(F.floor(F.col("ord") / BLOCK), F.floor((F.col("ord") + 1) / BLOCK)))
-    forms = placed.select("table_uuid", "id", F.explode(blocks).alias("block"), "ord", "loaded_at", "name", "tag", "schema_id", "prev_id", "next_id")
-    order = Window.partitionBy("table_uuid", "id", "block").orderBy("ord", "loaded_at", "name", "tag")
-    return forms.withColumn("later", F.lead("ord").over(order)).filter(~F.col("later").eqNullSafe(F.col("ord"))).drop("later", "loaded_at")
+    ship(fields.sparkSession)
+    rows = _fields(fields)
+    hot = rows.groupBy("table_uuid", "schema_id").agg(F.count("*").alias("n")).filter(F.col("n") > HOT_ROWS).limit(1).count() > 0
+    rows = latest_fields(fields) if hot else rows
+    placed = rows.repartitionByRange("table_uuid", "schema_id").sortWithinPartitions("table_uuid", "schema_id", "id", "loaded_at", "name", "field_type")
+    return materialize(placed.mapInArrow(_fuse, _WALKED), "union")
 
 
 def changes(union: DataFrame) -> DataFrame:
-    """(table_uuid, from_schema_id, to_schema_id, id, change_kind): what appears
-    or ends in the union between neighbouring schemas."""
-    order = Window.partitionBy("table_uuid", "id", "block").orderBy("ord")
-    near = union.select("*", *(F.lag(c).over(order).alias(f"old_{c}") for c in ("ord", "name", "tag")), F.lead("ord").over(order).alias("next_ord"))
-    here = F.floor(F.col("ord") / BLOCK) == F.col("block")
-    leaves = F.floor((F.col("ord") + 1) / BLOCK) == F.col("block")
-    goes_on = F.coalesce(F.col("old_ord") == F.col("ord") - 1, F.lit(False))
-    stays = F.coalesce(F.col("next_ord") == F.col("ord") + 1, F.lit(False))
-
-    def event(when: Column, old: str, new: str, kind: str) -> Column:
-        return F.when(when, F.struct(F.col(old).alias("f"), F.col(new).alias("t"), F.lit(kind).alias("k")))
-
-    events = F.array(
-        event(F.col("prev_id").isNotNull() & here & ~goes_on, "prev_id", "schema_id", "added"),
-        event(F.col("next_id").isNotNull() & leaves & ~stays, "schema_id", "next_id", "removed"),
-        event(goes_on & ~F.col("old_name").eqNullSafe(F.col("name")), "prev_id", "schema_id", "renamed"),
-        event(goes_on & ~F.col("old_tag").eqNullSafe(F.col("tag")), "prev_id", "schema_id", "type_changed"),
-    )
-    found = near.select("table_uuid", "id", F.explode(events).alias("e")).filter(F.col("e").isNotNull())
-    return found.select("table_uuid", F.col("e.f").alias("from_schema_id"), F.col("e.t").alias("to_schema_id"), "id", F.col("e.k").alias("change_kind"))
+    """(table_uuid, from_schema_id, to_schema_id, id, change_kind) of a union."""
+    edges = union.filter(F.col("kind") == "edge").repartition("table_uuid").sortWithinPartitions("table_uuid", "schema_id", "id")
+    found = union.filter(F.col("kind") == "change").unionByName(edges.mapInArrow(_fuse_edges, _WALKED))
+    return found.select("table_uuid", F.col("schema_id").alias("from_schema_id"), F.col("to_id").alias("to_schema_id"), "id", "change_kind")
 
 
 def schema_changes(fields: DataFrame) -> DataFrame:
     """Every change between consecutive schemas of each table.
 
-    Rows without table_uuid, schema_id or id are no fields. Names are compared
-    exactly (null equals null); a table with one schema has no changes; an empty
-    input gives no rows.
+    Names are compared exactly (null equals null); a table with one schema has no
+    changes; an empty input gives no rows.
     """
-    return changes(fuse(placed_fields(fields)))
+    return changes(fuse(fields))
 
 
 # ---------------------------------------------------------------- the consistent shape
@@ -179,13 +281,14 @@ def fused_schema(fields: DataFrame) -> DataFrame:
     consistent shape of each table, a row per field id at any depth.
 
     name is that of the last schema with the field; alternatives lists each form
-    (name, tag) with its first and last ordinal and the number of schemas, by
-    first ordinal. Forms are counted before they are gathered, so that the list
-    is bounded by the number of different forms.
+    (name, tag) with its first and last schema and the number of schemas, by first
+    schema. Runs are summed up before they are gathered, so that the list is bounded
+    by the number of different forms.
     """
-    forms = placed_fields(fields).groupBy("table_uuid", "id", "name", "tag").agg(F.min("ord").alias("first"), F.max("ord").alias("last"), F.count_distinct("ord").alias("schemas"), F.max(F.struct("ord", "loaded_at", "parent_id")).alias("p"))
+    runs = fuse(fields).filter(F.col("kind") == "run")
+    forms = runs.groupBy("table_uuid", "id", "name", "tag").agg(F.min("schema_id").alias("first"), F.max("to_id").alias("last"), F.sum("n").alias("schemas"), F.max(F.struct("to_id", "parent_id")).alias("p"))
     union = forms.groupBy("table_uuid", "id").agg(
-        F.max(F.struct("last", "p.loaded_at", "p.parent_id", "name")).alias("now"),
+        F.max(F.struct("last", "p.parent_id", "name")).alias("now"),
         F.array_sort(F.collect_list(F.struct("first", "last", "name", "tag", "schemas"))).alias("alternatives"),
     )
     tags = union.withColumn("tags", F.array_sort(F.array_distinct(F.filter(F.col("alternatives.tag"), lambda x: x.isNotNull()))))
@@ -315,7 +418,7 @@ class _Node(NamedTuple):
 
 def _inner_nodes(kind: Any, parent: int, union: dict[int, dict[int, tuple]]) -> tuple[_Node | None, ...]:
     """The nodes under a type; union: by parent and id the present name, canonical type
-    and last ordinal of all inner fields that the table ever had."""
+    and last schema of all inner fields that the table ever had."""
     kind = opened(kind)
     ever, tag = union.get(parent, {}), type_tag(kind)
 
@@ -497,7 +600,7 @@ def unify_rows(rows: DataFrame, fields: DataFrame) -> DataFrame:
     Spark at run time. Each table's shape is bounded by its number of fields.
     """
     ship(rows.sparkSession)
-    every = materialize(placed_fields(fields, types=True), "fields")
+    every = materialize(flatten_fields(latest_fields(fields), types=True).withColumn("ord", F.col("schema_id")), "fields")
     flat = every.filter(F.col("parent_id").isNull())
     per_id = flat.groupBy(F.col("table_uuid").alias("ut"), F.col("id").alias("uid")).agg(F.max(F.struct("ord", "name")).alias("now"), F.array_sort(F.collect_set("tag")).alias("tags"))
     per_id = per_id.select("ut", "uid", F.col("now.name").alias("now_name"), canonical_type("tags").alias("canonical_type"))

@@ -20,7 +20,7 @@ def row(t, s, i, name, kind, day=0):
     return (t, s, 0, i, name, True, kind, None, T0 + dt.timedelta(days=day))
 
 
-def brute(rows):
+def schemas_of(rows):
     best = {}
     for t, s, _, i, name, _, kind, _, at in rows:
         if t is None or s is None or i is None:
@@ -28,12 +28,17 @@ def brute(rows):
         key = (at is not None, at or T0, name is not None, name or "", kind is not None, kind or "")
         if (t, s, i) not in best or key > best[(t, s, i)][0]:
             best[(t, s, i)] = (key, name, kind, at)
-    schemas, out = {}, []
+    schemas = {}
     for (t, s, i), (_, name, kind, at) in best.items():
         fields = [(i, name, plain(kind))] + [(f, n, g) for f, _, n, g in walk(kind or "")]
         for f, n, g in fields:
             schemas.setdefault(t, {}).setdefault(s, {})[f] = (n, g)
-    for t, by in schemas.items():
+    return schemas
+
+
+def brute(rows):
+    out = []
+    for t, by in schemas_of(rows).items():
         order = sorted(by)
         for a, b in zip(order, order[1:]):
             for f in by[a].keys() | by[b].keys():
@@ -83,20 +88,24 @@ def random_rows(seed):
     return rows
 
 
-@pytest.mark.parametrize("seed,block,hot", [(1, 256, 10**5), (2, 3, 2), (3, 1, 10**5)])
-def test_changes(spark, monkeypatch, seed, block, hot):
-    monkeypatch.setattr(drift, "BLOCK", block)
+@pytest.mark.parametrize("seed,parts,hot", [(1, 1, 10**5), (2, 4, 2), (3, 60, 10**5)])
+def test_changes(spark, monkeypatch, seed, parts, hot):
     monkeypatch.setattr(drift, "HOT_ROWS", hot)
+    was = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", parts)
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
     rows = random_rows(seed)
     got = drift.schema_changes(spark.createDataFrame(rows, SCHEMA)).collect()
+    shape = {(r["table_uuid"], r["id"]): r for r in drift.fused_schema(spark.createDataFrame(rows, SCHEMA)).collect()}
+    spark.conf.set("spark.sql.shuffle.partitions", was)
+    spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
     assert sorted((tuple(r) for r in got), key=str) == brute(rows)
-
-
-def test_ordinals_over_spans(spark):
-    ids = [-2000, -1, 0, 5, 1023, 1024, 5000]
-    rows = [row("a", s, 1, "n", "int") for s in ids]
-    got = sorted(tuple(r)[1:] for r in drift.schema_ordinals(spark.createDataFrame(rows, SCHEMA)).collect())
-    assert got == [(s, 1, k, ids[k - 1] if k else None, ids[k + 1] if k + 1 < len(ids) else None) for k, s in enumerate(ids)]
+    forms = {}
+    for t, by in schemas_of(rows).items():
+        for s, fields in by.items():
+            for i, form in fields.items():
+                forms.setdefault((t, i), {}).setdefault(form, []).append(s)
+    assert {k: sorted(map(str, ((a["name"], a["tag"], a["first"], a["last"], a["schemas"]) for a in r["alternatives"]))) for k, r in shape.items()} == {k: sorted(map(str, ((*f, min(x), max(x), len(x)) for f, x in v.items()))) for k, v in forms.items()}
 
 
 def test_fused_schema(spark):
