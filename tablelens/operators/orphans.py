@@ -63,56 +63,58 @@ class OrphanState:
         return rows if buckets is None or len(buckets) >= self.buckets else rows.filter(F.col("bucket").isin(buckets))
 
 
-def _bucket(n: int) -> Column:
-    """By the columns, and in the order, in which _key_join shuffles."""
-    return F.pmod(F.hash("target_kind", F.coalesce("table_uuid", F.lit("")), F.col("table_uuid").isNull(), "target_id"), F.lit(n)).cast("int")
+#: The key by whose columns everything is shuffled; null is a table too.
+_JOIN = ("target_kind", "_table", "_none", "target_id")
 
 
-def _key_join(left: DataFrame, right: DataFrame, how: str) -> DataFrame:
-    """left joined with right, whose key columns go by other names, by key; null is a table too."""
-    r = right.select(F.col("target_kind").alias("_k"), F.coalesce("table_uuid", F.lit("")).alias("_t"), F.col("table_uuid").isNull().alias("_n"), F.col("target_id").alias("_i"), *(c for c in right.columns if c not in (*_KEY, "v", "bucket")))
-    t = left.withColumns({"_lt": F.coalesce("table_uuid", F.lit("")), "_ln": F.col("table_uuid").isNull()})
-    on = (F.col("target_kind") == F.col("_k")) & (F.col("_lt") == F.col("_t")) & (F.col("_ln") == F.col("_n")) & (F.col("target_id") == F.col("_i"))
-    return t.join(r, on, how).drop("_k", "_t", "_n", "_i", "_lt", "_ln")
+def _with_join_key(df: DataFrame) -> DataFrame:
+    return df.withColumns({"_table": F.coalesce("table_uuid", F.lit("")), "_none": F.col("table_uuid").isNull()})
 
 
-def _times() -> Column:
-    """When a parent is there, by its first arrival and first deletion."""
-    lives = F.col("arrived").isNotNull() & (F.col("deleted").isNull() | (F.col("arrived") < F.col("deleted")))
-    event = lambda at, there: F.struct(F.col(at).alias("at"), F.lit(there).alias("there"))
-    return F.when(lives & F.col("deleted").isNull(), F.array(event("arrived", True))).when(lives, F.array(event("arrived", True), event("deleted", False)))
+def _bucket(n: int) -> Column:
+    """By the columns, and in the order, of the shuffles, so that a task's keys lie in few buckets."""
+    return F.pmod(F.hash("target_kind", F.coalesce("table_uuid", F.lit("")), F.col("table_uuid").isNull(), "target_id"), F.lit(n)).cast("int")
 
 
-def _latest_index(log: DataFrame, v: int, returns: bool) -> DataFrame:
-    """(key, times, changed) of each key of an index log; changed by batch v or not."""
-    changed = (F.max("v") == v).alias("changed")
-    if returns:
-        return log.groupBy(*_KEY).agg(F.max_by("times", "v").alias("times"), changed)
-    least = log.groupBy(*_KEY).agg(F.min("arrived").alias("arrived"), F.min("deleted").alias("deleted"), changed)
-    return least.select(*_KEY, _times().alias("times"), "changed")
+_EVENTS = "array<struct<at:timestamp_ntz,there:boolean>>"
 
 
-def _merged_index(state: DataFrame, parents: DataFrame, returns: bool) -> DataFrame:
-    """(key, arrived, deleted, times, changed): the index with a batch of parents taken up."""
+def _batch_index(parents: DataFrame, returns: bool) -> DataFrame:
+    """What a batch of parents adds to the index: (key, arrived, deleted, times)."""
+    none = F.lit(None)
     if not returns:
-        old = state.select(*_KEY, "arrived", "deleted", F.col("arrived").alias("old_a"), F.col("deleted").alias("old_d"))
-        none = F.lit(None).cast("timestamp_ntz")
-        both = old.unionByName(parents.withColumns({"old_a": none, "old_d": none}))
-        least = both.groupBy(*_KEY).agg(*(F.min(c).alias(c) for c in ("arrived", "deleted", "old_a", "old_d")))
-        changed = ~(F.col("arrived").eqNullSafe(F.col("old_a")) & F.col("deleted").eqNullSafe(F.col("old_d")))
-        times = F.lit(None).cast("array<struct<at:timestamp_ntz,there:boolean>>")  # follow from the two
-        return least.select(*_KEY, "arrived", "deleted", times.alias("times"), changed.alias("changed"))
-    # changes of being there or not are all that is kept of a key; a deletion at the time of an arrival goes first
-    last = state.groupBy(*_KEY).agg(F.max_by("times", "v").alias("times"))
+        least = _with_join_key(parents).groupBy(*_JOIN).agg(F.max("table_uuid").alias("table_uuid"), F.min("arrived").alias("arrived"), F.min("deleted").alias("deleted"))
+        return least.select(*_KEY, "arrived", "deleted", none.cast(_EVENTS).alias("times"))
     moves = F.explode(F.array(F.struct(F.col("arrived").alias("at"), F.lit(True).alias("there")), F.struct(F.col("deleted").alias("at"), F.lit(False).alias("there"))))
-    new = parents.select(*_KEY, moves.alias("e")).filter(F.col("e.at").isNotNull()).distinct()
-    events = last.select(*_KEY, F.explode("times").alias("e")).unionByName(new).select(F.struct(*_KEY).alias("key"), "e.at", "e.there")
-    before = with_previous(events, "key", ["at", "there"], "there", "before")
-    kept = before.filter(F.col("there") != F.coalesce("before", F.lit(False)))
-    times = kept.groupBy("key").agg(F.array_sort(F.collect_list(F.struct("at", "there"))).alias("times")).select("key.*", "times")
-    old = last.withColumnRenamed("times", "old_times")
-    none = F.lit(None).cast("timestamp_ntz")
-    return _key_join(times, old, "left").select(*_KEY, none.alias("arrived"), none.alias("deleted"), "times", (~F.col("times").eqNullSafe(F.col("old_times"))).alias("changed"))
+    events = parents.select(*_KEY, moves.alias("e")).filter(F.col("e.at").isNotNull()).select(*_KEY, "e.at", "e.there").distinct()
+    times = _turns(events, keep_first=True).groupBy(*_KEY).agg(F.collect_list(F.struct("at", "there")).alias("times"))
+    return times.select(*_KEY, none.cast("timestamp_ntz").alias("arrived"), none.cast("timestamp_ntz").alias("deleted"), "times")
+
+
+def _turns(events: DataFrame, keep_first: bool = False) -> DataFrame:
+    """Of the events (key, at, there) of each key those that change whether it is there; a
+    deletion at the time of an arrival goes first. No key is gathered before that."""
+    before = with_previous(events.withColumn("key", F.struct(*_KEY)), "key", ["at", "there"], "there", "before")
+    first = F.col("before").isNull() if keep_first else F.lit(False)
+    return before.filter(first | (F.col("there") != F.coalesce("before", F.lit(False)))).drop("key", "before")
+
+
+def _index(log: DataFrame, v: int, returns: bool) -> DataFrame:
+    """(_JOIN, times, changed) of each key of an index log: when it is there, and whether
+    batch v has changed that."""
+    rows = _with_join_key(log)
+    if returns:
+        events = log.select(*_KEY, F.explode("times").alias("e")).select(*_KEY, "e.at", "e.there").distinct()
+        times = _with_join_key(_turns(events)).groupBy(*_JOIN).agg(F.array_sort(F.collect_list(F.struct("at", "there"))).alias("times"))
+        new = rows.filter(F.col("v") == v).select(*_JOIN, F.lit(True).alias("changed")).distinct()
+        return times.join(new, list(_JOIN), "full").withColumn("changed", F.coalesce("changed", F.lit(False)))
+    old = lambda c: F.min(F.when(F.col("v") < v, F.col(c)))
+    least = rows.groupBy(*_JOIN).agg(F.min("arrived").alias("arrived"), F.min("deleted").alias("deleted"), old("arrived").alias("old_a"), old("deleted").alias("old_d"))
+    changed = ~(F.col("arrived").eqNullSafe(F.col("old_a")) & F.col("deleted").eqNullSafe(F.col("old_d")))
+    lives = F.col("arrived").isNotNull() & (F.col("deleted").isNull() | (F.col("arrived") < F.col("deleted")))
+    event = lambda at, there: F.struct(F.col(at).alias("at"), F.lit(there).alias("there"))
+    times = F.when(lives & F.col("deleted").isNull(), F.array(event("arrived", True))).when(lives, F.array(event("arrived", True), event("deleted", False)))
+    return least.select(*_JOIN, times.alias("times"), changed.alias("changed"))
 
 
 def _moves(seen: Column, times: Column) -> Column:
@@ -146,15 +148,14 @@ def step(state: OrphanState, references: DataFrame, parents: DataFrame, version:
         if len(first) < 16 * state.buckets:  # more keys than that are in nearly all buckets
             touched = sorted({r[0] for r in first})
     path = f"{state.folder}/batch-{v}"
-    index = _merged_index(before.log(spark, "index", touched), parents, state.returns)
-    index.filter("changed").drop("changed").withColumns({"v": F.lit(v), "bucket": bucket}).write.mode("overwrite").partitionBy("bucket").parquet(f"{path}/index")
+    _batch_index(parents, state.returns).withColumns({"v": F.lit(v), "bucket": bucket}).write.mode("overwrite").partitionBy("bucket").parquet(f"{path}/index")
     after = OrphanState(state.folder, state.buckets, state.returns, {**before.batches, v: path})
-    index = _latest_index(after.log(spark, "index", touched), v, state.returns)
+    index = _index(after.log(spark, "index", touched), v, state.returns)
 
     known = before.log(spark, "references", touched).select(*_ID, "first_seen", F.col("first_seen").alias("old_seen"), F.lit(True).alias("known"))
     both = known.unionByName(refs.withColumns({"old_seen": F.lit(None).cast("timestamp_ntz"), "known": F.lit(False)}))
     least = both.groupBy(*_ID).agg(F.min("first_seen").alias("first_seen"), F.min("old_seen").alias("old_seen"), F.max("known").alias("known"))
-    probed = _key_join(least, index.select(*_KEY, "times", "changed"), "left")
+    probed = _with_join_key(least).join(index, list(_JOIN), "left")
     affected = probed.filter(~F.col("known") | ~F.col("first_seen").eqNullSafe(F.col("old_seen")) | F.coalesce("changed", F.lit(False)))
     seen = F.coalesce("first_seen", F.lit(_BEGIN).cast("timestamp_ntz"))
     out = affected.select(*_ID, "first_seen", _moves(seen, F.col("times")).alias("moves"), F.lit(v).alias("v"), bucket.alias("bucket"))
@@ -168,7 +169,13 @@ def compact(spark: SparkSession, state: OrphanState) -> OrphanState:
         return state
     v = max(state.batches)
     path = f"{state.folder}/whole-{v}"
-    index = state.log(spark, "index").groupBy(*_KEY, "bucket").agg(F.min("arrived").alias("arrived"), F.min("deleted").alias("deleted"), F.max_by("times", "v").alias("times"))
+    rows = state.log(spark, "index")
+    if state.returns:
+        events = rows.select(*_KEY, F.explode("times").alias("e")).select(*_KEY, "e.at", "e.there").distinct()
+        whole = _turns(events).groupBy(*_KEY).agg(F.collect_list(F.struct("at", "there")).alias("times")).withColumns({c: F.lit(None).cast("timestamp_ntz") for c in ("arrived", "deleted")})
+    else:
+        whole = rows.groupBy(*_KEY).agg(F.min("arrived").alias("arrived"), F.min("deleted").alias("deleted")).withColumn("times", F.lit(None).cast(_EVENTS))
+    index = whole.withColumn("bucket", _bucket(state.buckets))
     index.withColumn("v", F.lit(v)).write.mode("overwrite").partitionBy("bucket").parquet(f"{path}/index")
     references(spark, state).withColumns({"v": F.lit(v), "bucket": _bucket(state.buckets)}).write.mode("overwrite").partitionBy("bucket").parquet(f"{path}/references")
     return OrphanState(state.folder, state.buckets, state.returns, {v: path})
