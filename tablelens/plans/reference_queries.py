@@ -15,6 +15,7 @@ from tablelens.functions.ordering import sort_columns
 from tablelens.functions.transforms import apply_transform, parse_transform_columns, with_partition_columns
 from tablelens.model import NameMapping, NameMappings, PartitionField, PartitionSpec, Schema, SortField, SortOrder, StructField, Transform
 from tablelens.operators import drift, frames, timeline
+from tablelens.plans import codec_sql
 from tablelens.plans.core_queries import _DEEP, _P1, table
 from tablelens.plans.pruning import And, Compare, In, Not, prune
 from tablelens.shared import stored_once, with_position
@@ -299,17 +300,25 @@ def table_properties(spark: SparkSession, sf_dir: str) -> DataFrame:
     return timeline.table_properties(table(spark, sf_dir, "table_metadata"))
 
 
-def parse_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Which bodies the strict codec takes, in the published spelling."""
-    found = frames.parse_documents(table(spark, sf_dir, "metadata_docs"), "meta_id", "body", "spec")
-    return found.select("meta_id", F.col("error").isNull().alias("accepted"), "table_uuid", "error")
+def _parse(dialect: str, errors: bool = False) -> Callable[[SparkSession, str], DataFrame]:
+    """Which bodies the strict codec takes in a dialect; with errors, why it rejects others."""
+
+    def query(spark: SparkSession, sf_dir: str) -> DataFrame:
+        found = frames.parse_documents(table(spark, sf_dir, "metadata_docs"), "meta_id", "body", dialect)
+        return found.filter(F.col("error").isNotNull()).select("meta_id", "error") if errors else found.select("meta_id", F.col("error").isNull().alias("accepted"), "table_uuid")
+
+    return query
 
 
-def roundtrip_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+def _round_trip(dialect: str) -> Callable[[SparkSession, str], DataFrame]:
     """Each body that is taken, written and read again: the same text both times."""
-    first = frames.parse_documents(table(spark, sf_dir, "metadata_docs"), "meta_id", "body", "spec").filter(F.col("error").isNull()).select("meta_id", F.col("text").alias("once"))
-    second = frames.parse_documents(first, "meta_id", "once", "spec").select(F.col("meta_id").alias("again_id"), F.col("text").alias("twice"))
-    return first.join(second, F.col("meta_id") == F.col("again_id")).select("meta_id", (F.col("once") == F.col("twice")).alias("same"))
+
+    def query(spark: SparkSession, sf_dir: str) -> DataFrame:
+        first = frames.parse_documents(table(spark, sf_dir, "metadata_docs"), "meta_id", "body", dialect).filter(F.col("error").isNull()).select("meta_id", F.col("text").alias("once"))
+        second = frames.parse_documents(first, "meta_id", "once", dialect).select(F.col("meta_id").alias("again_id"), F.col("text").alias("twice"))
+        return first.join(second, F.col("meta_id") == F.col("again_id")).select("meta_id", F.col("once").eqNullSafe(F.col("twice")).alias("same"))
+
+    return query
 
 
 def validate_metadata(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -318,8 +327,11 @@ def validate_metadata(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "events_by_day": events_by_day,
-    "parse_table_metadata": parse_documents,
-    "roundtrip_table_metadata": roundtrip_documents,
+    "parse_table_metadata": _parse("spec"),
+    "parse_table_metadata_strict": _parse("reference"),
+    "parse_errors": _parse("spec", errors=True),
+    "roundtrip_table_metadata": _round_trip("spec"),
+    "roundtrip_table_metadata_strict": _round_trip("reference"),
     "validate_metadata": validate_metadata,
     "type_to_spark": type_to_spark,
     "parse_transforms": parse_transforms,
@@ -519,3 +531,6 @@ log AS (SELECT table_uuid, snapshot_id, timestamp_ms FROM files
 """
 SQL["snapshot_log"] = _SNAPSHOT_LOG + "SELECT * FROM log"
 SQL["as_of_snapshot_log"] = _SNAPSHOT_LOG + f"SELECT table_uuid, snapshot_id FROM log WHERE timestamp_ms <= {AS_OF_MS} QUALIFY row_number() OVER (PARTITION BY table_uuid ORDER BY timestamp_ms DESC, snapshot_id DESC NULLS LAST) = 1"
+SQL["parse_table_metadata"], SQL["parse_table_metadata_strict"] = codec_sql.parsed("spec"), codec_sql.parsed("reference")
+SQL["roundtrip_table_metadata"], SQL["roundtrip_table_metadata_strict"] = codec_sql.round_trips("spec"), codec_sql.round_trips("reference")
+SQL["validate_metadata"] = codec_sql.violations()
