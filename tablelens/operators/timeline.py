@@ -153,15 +153,36 @@ def expire_candidates(refs: DataFrame, snapshots: DataFrame, now_ms: int, cyclic
     A chain that leads into a cycle ends where a snapshot would come again; without
     cyclic, a branch on or below one keeps its own snapshot only.
     """
-    live = live_refs(refs, snapshots, now_ms).filter(~F.col("expired"))
-    chains = ancestors(snapshots, live.filter(F.col("ref_type") == "branch").select("table_uuid", "snapshot_id"), cyclic)
-    rows = latest_snapshots(snapshots, "timestamp_ms", "expired_at")
-    branches = live.filter(F.col("ref_type") == "branch").groupBy("table_uuid", F.col("snapshot_id").alias("start_id")).agg(F.max(F.coalesce("min_snapshots_to_keep", F.lit(1))).alias("keep"), F.max("max_snapshot_age_ms").alias("age"))
-    chained = chains.join(branches, ["table_uuid", "start_id"]).join(rows, ["table_uuid", "snapshot_id"])
+    live = materialize(live_refs(refs, snapshots, now_ms).filter(~F.col("expired")), "live")
+    forest = materialize(hierarchy.resolve_forest(snapshots, SNAPSHOT_LINKS, shape=True), "forest")
+    branches = live.filter(F.col("ref_type") == "branch").groupBy(F.col("table_uuid").alias("bt"), F.col("snapshot_id").alias("bs")).agg(F.max(F.greatest(F.coalesce("min_snapshots_to_keep", F.lit(1)), F.lit(1))).alias("keep"), F.max("max_snapshot_age_ms").alias("age"))
+    # of the branches below a snapshot: the least level that they reach up to, and the greatest age
+    there = F.lit(True) if cyclic else F.col("level") >= 0
+    valued = forest.join(branches, F.col("g").eqNullSafe(F.col("bt")) & (F.col("node") == F.col("bs")), "left")
+    valued = valued.withColumns({"reach": F.when(there, F.col("tree_level") - F.col("keep")).cast("bigint"), "age": F.when(there, F.col("age")).cast("bigint")})
+    limits = hierarchy.fold_descendants(valued, {"reach": "min", "age": "max"}).withColumnsRenamed({"g": "fg", "node": "fn"})
+    placed = forest.join(limits, F.col("g").eqNullSafe(F.col("fg")) & (F.col("node") == F.col("fn")))
+    around = F.lit(None).cast("bigint")
+    if cyclic:
+        # a chain goes on from where the cycle is cut, around to where it came in: past all that
+        # holds the last of the ring, the parent of its first. A snapshot that it has passed
+        # before it passes at a lower position than so counted.
+        ends = forest.filter("closes_cycle").select(F.col("g").alias("eg"), F.col("root").alias("er"), F.col("parent").alias("ep"))
+        last = forest.select(F.col("g").alias("lg"), F.col("node").alias("ln"), F.col("number").alias("last_number"), F.col("tree_level").alias("last_level"))
+        rings = ends.join(last, F.col("eg").eqNullSafe(F.col("lg")) & (F.col("ep") == F.col("ln"))).drop("lg", "ln", "ep")
+        whole = valued.filter(F.col("level") < 0).groupBy(F.col("g").alias("wg"), F.col("root").alias("wr")).agg(F.min("reach").alias("ring_reach"), F.max("age").alias("ring_age"))
+        rings = rings.join(whole, F.col("eg").eqNullSafe(F.col("wg")) & (F.col("er") == F.col("wr"))).drop("wg", "wr")
+        on_ring = (F.col("number") <= F.col("last_number")) & (F.col("last_number") <= F.col("number") + F.col("descendants"))
+        placed = placed.join(rings, F.col("g").eqNullSafe(F.col("eg")) & (F.col("root") == F.col("er")) & (F.col("level") < 0) & on_ring, "left")
+        around = F.col("ring_age")
+        reached = (F.col("tree_level") > F.col("reach")) | (F.col("tree_level") - F.col("last_level") - 1 > F.col("ring_reach"))
+    else:
+        reached = F.col("tree_level") > F.col("reach")
+    placed = placed.select(F.col("g").alias("pg"), F.col("node").alias("pn"), F.coalesce(reached, F.lit(False)).alias("reached"), F.greatest("age", around).alias("age") if cyclic else F.col("age"))
+    rows = latest_snapshots(snapshots, "timestamp_ms", "expired_at").filter(F.col("expired_at").isNull()).join(placed, F.col("table_uuid").eqNullSafe(F.col("pg")) & (F.col("snapshot_id") == F.col("pn")), "left")
     young = F.coalesce(F.lit(now_ms) - F.col("timestamp_ms") <= F.col("age"), F.lit(False))
-    kept = chained.filter((F.col("pos") < F.greatest("keep", F.lit(1))) | young).select("table_uuid", "snapshot_id")
-    kept = kept.unionByName(live.select("table_uuid", "snapshot_id")).distinct()
-    return rows.filter(F.col("expired_at").isNull()).join(kept, ["table_uuid", "snapshot_id"], "left_anti").select("table_uuid", "snapshot_id")
+    gone = rows.filter(~(F.coalesce("reached", F.lit(False)) | young)).select("table_uuid", "snapshot_id")
+    return gone.join(live.select("table_uuid", "snapshot_id"), ["table_uuid", "snapshot_id"], "left_anti")
 
 
 def metadata_log(table_metadata: DataFrame, keep: int | None = None) -> DataFrame:
