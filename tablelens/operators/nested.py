@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 
 from tablelens import jsontext
 from tablelens.operators.fieldtree import as_int, described, get, objects, opened, type_tag
-from tablelens.shared import exact, shared_dir, ship
+from tablelens.shared import exact, new_path, ship
 
 #: What is not a node: a body, or a part of a document, that cannot be read.
 REJECT = "reject"
@@ -199,10 +199,9 @@ def flatten_documents(docs: DataFrame, tags: Collection[str] = TAGS, payloads: b
 
 
 def write_tables(nodes: DataFrame, path: str | None = None) -> str:
-    """Writes the nodes partitioned by tag; returns the folder."""
-    import uuid
-
-    path = path or f"{shared_dir(nodes.sparkSession)}/tablelens/nodes-{uuid.uuid4().hex}"
+    """Writes the nodes partitioned by tag; returns the folder, by default one in the
+    shared folder that goes when the session ends."""
+    path = path or new_path(nodes.sparkSession, "nodes")
     nodes.write.partitionBy("node_kind").parquet(path)
     return path
 

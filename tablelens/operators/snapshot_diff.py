@@ -28,9 +28,10 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tablelens.shared import exact, materialize, ship
+from tablelens.shared import arrow_batches, exact, materialize, ship
 
 CHUNK = 4
+BATCH_BYTES = "16m"  # of states that a task compares at a time
 HOT_DELIVERIES = 50_000
 _KEYS = ("snapshot-diff-01", "snapshot-diff-02", "snapshot-diff-03")  # of the hashes, 16 bytes each
 _STATE = "table_uuid string, file string, ms bigint, properties map<string,string>, metadata_log array<struct<metadata_file:string,timestamp_ms:bigint>>, is_first boolean, is_last boolean"
@@ -250,7 +251,8 @@ def snapshot_changes(deliveries: DataFrame) -> DataFrame:
     none = F.lit(None).cast("boolean")
     files = delivered_files(deliveries).repartitionByRange("table_uuid", "ms", "file").sortWithinPartitions("table_uuid", "ms", "file", "at", "h")
     states = files.select("table_uuid", "file", "ms", "properties", "metadata_log", none.alias("is_first"), none.alias("is_last"))
-    walked = materialize(states.mapInArrow(lambda b: _walk(b, False), f"{_STATE}, {_FOUND}"), "walked")
+    with arrow_batches(deliveries.sparkSession, BATCH_BYTES):
+        walked = materialize(states.mapInArrow(lambda b: _walk(b, False), f"{_STATE}, {_FOUND}"), "walked")
     edges = walked.filter(F.col("is_first").isNotNull()).select(*_NAMES).repartition("table_uuid").sortWithinPartitions("table_uuid", "ms", "file")
     between = edges.mapInArrow(lambda b: _walk(b, True), f"{_STATE}, {_FOUND}")
     found = ["table_uuid", F.col("file").alias("metadata_file"), F.col("kind").alias("record_kind"), "record_key", "change_kind", "value_then", "value_now"]

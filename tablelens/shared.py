@@ -12,6 +12,8 @@ import io
 import tempfile
 import uuid
 import zipfile
+from collections.abc import Iterator
+from contextlib import contextmanager
 from pathlib import Path
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -64,6 +66,19 @@ def exact(df: DataFrame, *names: str) -> DataFrame:
     return numbered.select(*(F.col(f"c{have.index(n)}").alias(n) for n in names))
 
 
+@contextmanager
+def arrow_batches(spark: SparkSession, size: str) -> Iterator[None]:
+    """What is run within hands Python batches of at most about so many bytes, so that rows
+    of any size don't add up to more than a task holds."""
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    before = spark.conf.get(key)
+    spark.conf.set(key, size)
+    try:
+        yield
+    finally:
+        spark.conf.set(key, before)
+
+
 def new_path(spark: SparkSession, name: str) -> str:
     """A path in the shared folder for an intermediate table, deleted when the session ends."""
     path = f"{shared_dir(spark)}/tablelens/{name}-{uuid.uuid4().hex}"
