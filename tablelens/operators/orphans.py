@@ -19,6 +19,7 @@ key: they meet the index in a join, where Spark splits hot keys at run time.
 from __future__ import annotations
 
 from dataclasses import dataclass, field
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -29,16 +30,20 @@ REFERENCE = ("ref_kind", "table_uuid", "record_key", "target_kind", "target_id",
 PARENT = ("target_kind", "table_uuid", "target_id", "arrived", "deleted")
 _KEY = ("target_kind", "table_uuid", "target_id")
 _ID = ("ref_kind", "record_key", *_KEY)
-_INDEX_DDL = "target_kind string, table_uuid string, target_id bigint, arrived timestamp_ntz, deleted timestamp_ntz, times array<struct<at:timestamp_ntz,there:boolean>>, v int, bucket int"
-_LOG_DDL = "ref_kind string, record_key string, target_kind string, table_uuid string, target_id bigint, first_seen timestamp_ntz, moves array<struct<at:timestamp_ntz,what:string>>, v int, bucket int"
-_DDL = {"index": _INDEX_DDL, "references": _LOG_DDL}
+#: A row of the state: of the index (arrived, deleted, times) or of the references (the rest).
+_COLUMNS = {
+    "target_kind": "string", "table_uuid": "string", "target_id": "bigint", "arrived": "timestamp_ntz", "deleted": "timestamp_ntz", "times": "array<struct<at:timestamp_ntz,there:boolean>>",
+    "ref_kind": "string", "record_key": "string", "first_seen": "timestamp_ntz", "moves": "array<struct<at:timestamp_ntz,what:string>>", "v": "int",
+}
+_DDL = ", ".join(f"{c} {t}" for c, t in {**_COLUMNS, "part": "string", "log": "string", "bucket": "int"}.items())
+_LOGS = {"index": ("arrived", "deleted", "times"), "references": ("ref_kind", "record_key", "first_seen", "moves")}
 _BEGIN = "0001-01-01"
 
 
 @dataclass
 class OrphanState:
-    """The state after the batches so far: the folder of each, by its number, for the
-    two logs. returns: whether a parent that arrives after its deletion is there
+    """The state after the batches so far: the name of each one's part of the two logs, by
+    its number. returns: whether a parent that arrives after its deletion is there
     again; if not, it is there from its first arrival until its first deletion."""
 
     folder: str
@@ -52,15 +57,25 @@ class OrphanState:
         puts into one task lies in one bucket."""
         return cls(folder or new_path(spark, "orphans"), buckets or int(spark.conf.get("spark.sql.shuffle.partitions")), returns)
 
-    def log(self, spark: SparkSession, part: str, buckets: list[int] | None = None) -> DataFrame:
+    def path(self, name: str) -> str:
+        return f"{self.folder}/part={name}"
+
+    def log(self, spark: SparkSession, log: str, buckets: list[int] | None = None) -> DataFrame:
         """The rows of a log, of the given buckets or of all."""
-        paths = [f"{path}/{part}" for _, path in sorted(self.batches.items())]
-        if not paths:
-            return spark.createDataFrame([], _DDL[part])
-        rows = spark.read.schema(_DDL[part]).parquet(paths[0])
-        for path in paths[1:]:
-            rows = rows.unionByName(spark.read.schema(_DDL[part]).parquet(path))
-        return rows if buckets is None or len(buckets) >= self.buckets else rows.filter(F.col("bucket").isin(buckets))
+        paths = [self.path(name) for _, name in sorted(self.batches.items())]
+        rows = spark.read.schema(_DDL).option("basePath", self.folder).parquet(*paths) if paths else spark.createDataFrame([], _DDL)
+        rows = rows.filter(F.col("log") == log) if buckets is None or len(buckets) >= self.buckets else rows.filter((F.col("log") == log) & F.col("bucket").isin(buckets))
+        return rows.select(*_KEY, *_LOGS[log], "v", "bucket")
+
+    def write(self, name: str, v: int, index: DataFrame, references: DataFrame) -> None:
+        """Writes both parts of a batch at once."""
+
+        def shaped(df: DataFrame, log: str) -> DataFrame:
+            have = {*_KEY, *_LOGS[log]}
+            columns = [(F.col(c) if c in have else F.lit(None)).cast(t).alias(c) for c, t in _COLUMNS.items() if c != "v"]
+            return df.select(*columns, F.lit(v).alias("v"), F.lit(log).alias("log"), _bucket(self.buckets).alias("bucket"))
+
+        shaped(index, "index").unionByName(shaped(references, "references")).write.mode("overwrite").partitionBy("log", "bucket").parquet(self.path(name))
 
 
 #: The key by whose columns everything is shuffled; null is a table too.
@@ -147,10 +162,8 @@ def step(state: OrphanState, references: DataFrame, parents: DataFrame, version:
         first = refs.select(*_KEY).unionByName(parents.select(*_KEY)).select(bucket.alias("b")).take(16 * state.buckets)
         if len(first) < 16 * state.buckets:  # more keys than that are in nearly all buckets
             touched = sorted({r[0] for r in first})
-    path = f"{state.folder}/batch-{v}"
-    _batch_index(parents, state.returns).withColumns({"v": F.lit(v), "bucket": bucket}).write.mode("overwrite").partitionBy("bucket").parquet(f"{path}/index")
-    after = OrphanState(state.folder, state.buckets, state.returns, {**before.batches, v: path})
-    index = _index(after.log(spark, "index", touched), v, state.returns)
+    own = _batch_index(parents, state.returns)
+    index = _index(before.log(spark, "index", touched).drop("bucket").unionByName(own.withColumn("v", F.lit(v))), v, state.returns)
 
     known = before.log(spark, "references", touched).select(*_ID, "first_seen", F.col("first_seen").alias("old_seen"), F.lit(True).alias("known"))
     both = known.unionByName(refs.withColumns({"old_seen": F.lit(None).cast("timestamp_ntz"), "known": F.lit(False)}))
@@ -158,9 +171,9 @@ def step(state: OrphanState, references: DataFrame, parents: DataFrame, version:
     probed = _with_join_key(least).join(index, list(_JOIN), "left")
     affected = probed.filter(~F.col("known") | ~F.col("first_seen").eqNullSafe(F.col("old_seen")) | F.coalesce("changed", F.lit(False)))
     seen = F.coalesce("first_seen", F.lit(_BEGIN).cast("timestamp_ntz"))
-    out = affected.select(*_ID, "first_seen", _moves(seen, F.col("times")).alias("moves"), F.lit(v).alias("v"), bucket.alias("bucket"))
-    out.write.mode("overwrite").partitionBy("bucket").parquet(f"{path}/references")
-    return after
+    name = f"batch-{v}"
+    state.write(name, v, own, affected.select(*_ID, "first_seen", _moves(seen, F.col("times")).alias("moves")))
+    return OrphanState(state.folder, state.buckets, state.returns, {**before.batches, v: name})
 
 
 def compact(spark: SparkSession, state: OrphanState) -> OrphanState:
@@ -168,21 +181,21 @@ def compact(spark: SparkSession, state: OrphanState) -> OrphanState:
     if len(state.batches) < 2:
         return state
     v = max(state.batches)
-    path = f"{state.folder}/whole-{v}"
+    name = f"whole-{v}"
     rows = state.log(spark, "index")
     if state.returns:
         events = rows.select(*_KEY, F.explode("times").alias("e")).select(*_KEY, "e.at", "e.there").distinct()
         whole = _turns(events).groupBy(*_KEY).agg(F.collect_list(F.struct("at", "there")).alias("times")).withColumns({c: F.lit(None).cast("timestamp_ntz") for c in ("arrived", "deleted")})
     else:
         whole = rows.groupBy(*_KEY).agg(F.min("arrived").alias("arrived"), F.min("deleted").alias("deleted")).withColumn("times", F.lit(None).cast(_EVENTS))
-    index = whole.withColumn("bucket", _bucket(state.buckets))
-    index.withColumn("v", F.lit(v)).write.mode("overwrite").partitionBy("bucket").parquet(f"{path}/index")
-    references(spark, state).withColumns({"v": F.lit(v), "bucket": _bucket(state.buckets)}).write.mode("overwrite").partitionBy("bucket").parquet(f"{path}/references")
-    return OrphanState(state.folder, state.buckets, state.returns, {v: path})
+    state.write(name, v, whole, references(spark, state))
+    return OrphanState(state.folder, state.buckets, state.returns, {v: name})
 
 
-def drop(spark: SparkSession, state: OrphanState) -> None:
-    drop_table(spark, state.folder)
+def drop(spark: SparkSession, state: OrphanState, *names: str) -> None:
+    """Deletes parts of the logs; all of the state where none are named."""
+    for path in [state.path(name) for name in names] or [state.folder]:
+        drop_table(spark, path)
 
 
 # ---------------------------------------------------------------- what the state tells
@@ -223,28 +236,26 @@ def open_counts(spark: SparkSession, state: OrphanState, period: str = "month")
 
 
 def in_batches(references: DataFrame, parents: DataFrame, n: int) -> list[tuple[DataFrame, DataFrame]]:
-    """References and parents in n batches by the time at which they came: equal spans
-    from the first to the last time. An arrival and a deletion are two events. What
+    """References and parents, written in n batches by the time at which they came: equal
+    spans from the first to the last time. An arrival and a deletion are two events. What
     has no time is in the first batch."""
     ends = references.select(F.min("first_seen").alias("a"), F.max("first_seen").alias("z")).unionByName(parents.select(F.min("arrived").alias("a"), F.max(F.greatest("arrived", "deleted")).alias("z")))
     row = ends.agg(F.min("a"), F.max("z")).first()
     if n < 2 or row[0] is None or row[1] is None or row[0] == row[1]:
         return [(references, parents)]
-    cuts = [row[0] + (row[1] - row[0]) * i / n for i in range(1, n)]
-
-    def within(at: str, i: int) -> Column:
-        """Whether a time is in batch i; null is in the first."""
-        lit = lambda t: F.lit(t.isoformat(" ")).cast("timestamp_ntz")
-        if i == 0:
-            return F.col(at).isNull() | (F.col(at) < lit(cuts[0]))
-        return (F.col(at) >= lit(cuts[i - 1])) & ((F.col(at) < lit(cuts[i])) if i < n - 1 else F.lit(True))
-
+    cuts = [F.lit((row[0] + (row[1] - row[0]) * i / n).isoformat(" ")).cast("timestamp_ntz") for i in range(1, n)]
+    number = lambda at: reduce(lambda a, b: a + b, (F.coalesce((at >= cut).cast("int"), F.lit(0)) for cut in cuts))
+    none = F.lit(None).cast("timestamp_ntz")
+    event = lambda arrived, deleted: F.struct(arrived.alias("arrived"), deleted.alias("deleted"), number(F.coalesce(arrived, deleted)).alias("batch"))
+    events = F.filter(F.array(event(F.col("arrived"), none), event(none, F.col("deleted"))), lambda e: e["arrived"].isNotNull() | e["deleted"].isNotNull())
+    refs = references.select(*REFERENCE, number(F.col("first_seen")).alias("batch"))
+    moves = parents.select("target_kind", "table_uuid", "target_id", F.explode(events).alias("e")).select("target_kind", "table_uuid", "target_id", "e.arrived", "e.deleted", "e.batch")
     out = []
-    for i in range(n):
-        arrivals = parents.filter(F.col("arrived").isNotNull() & within("arrived", i)).withColumn("deleted", F.lit(None).cast("timestamp_ntz"))
-        deletions = parents.filter(F.col("deleted").isNotNull() & within("deleted", i)).withColumn("arrived", F.lit(None).cast("timestamp_ntz"))
-        out.append((references.filter(within("first_seen", i)), arrivals.unionByName(deletions)))
-    return out
+    for df in (refs, moves):
+        path = new_path(df.sparkSession, "arrivals")
+        df.write.partitionBy("batch").parquet(path)
+        out.append(df.sparkSession.read.schema(df.schema).parquet(path))
+    return [tuple(df.filter(F.col("batch") == i).drop("batch") for df in out) for i in range(n)]
 
 
 # ---------------------------------------------------------------- the tables of this project

@@ -15,8 +15,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from tablelens.operators.orphans import PARENT, REFERENCE, OrphanState, compact, step
-from tablelens.shared import drop_table
+from tablelens.operators.orphans import PARENT, REFERENCE, OrphanState, compact, drop, step
 
 _REFERENCE_DDL = "ref_kind string, table_uuid string, record_key string, target_kind string, target_id bigint, first_seen timestamp_ntz"
 #: The columns of the stream: those of a reference or of a parent, the others null.
@@ -43,9 +42,8 @@ class OrphanTracker:
         if self.every and version % self.every == self.every - 1:
             new = compact(self.spark, new)
             for n in range(version - 2 * self.every + 1, version - self.every + 1):
-                drop_table(self.spark, f"{self.folder}/batch-{n}")
-                if n >= 0 and n % self.every == self.every - 1 and n < version - self.every:
-                    drop_table(self.spark, f"{self.folder}/whole-{n}")
+                drop(self.spark, new, f"batch-{n}")
+            drop(self.spark, new, f"whole-{version - 2 * self.every}")
         kept = json.dumps({"buckets": new.buckets, "returns": new.returns, "batches": new.batches})
         self.spark.createDataFrame([(kept,)], "value string").coalesce(1).write.mode("overwrite").text(f"{self.folder}/state-{version}")
 
