@@ -17,7 +17,7 @@ from collections.abc import Collection, Iterator
 from typing import Any
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tablelens import jsontext
@@ -206,6 +206,11 @@ def write_tables(nodes: DataFrame, path: str | None = None) -> str:
     return path
 
 
+def stored_tables(spark: SparkSession, path: str) -> DataFrame:
+    """The nodes that write_tables() wrote, none of them included."""
+    return spark.read.schema(_ROWS).parquet(path)
+
+
 def read_table(nodes: DataFrame, tag: str) -> DataFrame:
     """The flat table of one tag: keys, and the tag's own columns."""
     if tag not in SCHEMAS:

@@ -69,8 +69,8 @@ def _partitioned_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     their files; days with many rows are split over several tasks."""
     md = _events_metadata()
     events = table(spark, sf_dir, "events").select("event_id", "ts", "value")
-    path = stored_once(with_partition_columns(events, md.current_schema(), md.default_spec()), "events", "ts_day")
-    return spark.read.parquet(path)
+    parts = with_partition_columns(events, md.current_schema(), md.default_spec())
+    return spark.read.schema(parts.schema).parquet(stored_once(parts, "events", "ts_day"))
 
 
 def pruned_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
